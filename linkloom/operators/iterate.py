@@ -1,9 +1,12 @@
 """Driver-side loop helpers for iterative operators (PageRank, BFS, frontier).
 
-Each round is persisted so the next round reads cached partitions; every
-``every`` rounds the lineage is cut with a *reliable* ``checkpoint()`` into the
-session's ``spark.checkpoint.dir`` (a shared folder on a cluster), so a lost
-executor recomputes at most ``every`` rounds.
+Every round references the previous one more than once (join + aggregate +
+convergence check), so without a cut the logical plan doubles each round.
+Each round is therefore persisted (so the write does not recompute it) and
+cut with a *reliable* ``checkpoint()`` into ``spark.checkpoint.dir`` — a shared
+folder on a cluster — so a lost executor never forces a replay of earlier
+rounds.  The round tables are small next to the edge tables (one row per node
+or per reached pair), so the write costs about as much as one shuffle.
 """
 
 from __future__ import annotations
@@ -14,24 +17,23 @@ from pyspark.sql import DataFrame
 from linkloom.session import ensure_checkpoint_dir
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialize ``df`` once and return a plan-free (checkpointed) copy."""
+    ensure_checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
+
+
 class Rounds:
-    def __init__(self, every: int = 4):
-        self.every = max(1, every)
-        self._held: list[DataFrame] = []
+    """Keeps the current round checkpointed (kept for API symmetry)."""
+
+    def __init__(self, every: int = 1):
+        self.every = every
 
     def keep(self, df: DataFrame, step: int) -> DataFrame:
-        """Materialize ``df`` for round ``step``; release rounds before the previous one."""
-        if step > 0 and step % self.every == 0:
-            ensure_checkpoint_dir(df.sparkSession)
-            out = df.checkpoint(eager=True)
-        else:
-            out = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self._held.append(out)
-        while len(self._held) > 2:
-            self._held.pop(0).unpersist()
-        return out
+        return cut(df)
 
     def release(self):
-        for df in self._held:
-            df.unpersist()
-        self._held.clear()
+        pass
