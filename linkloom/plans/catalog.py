@@ -167,3 +167,41 @@ def flagship(spark, d):
     labels = FX.vectors(spark, d).select("site", "url", "cluster").withColumn("site", F.lit(FX.CLICK_SITE))
     out = c.join(labels, ["site", "url"], "left")
     return out.select("url", "cluster", *[r6(m).alias(m) for m in ("pagerank", "betweenness", "closeness", "in_degree", "out_degree")])
+
+
+# ------------------------------------------------------------------ F: text features
+
+from linkloom.operators import tfidf as TF  # noqa: E402
+
+
+@query("term_stats")
+def term_stats(spark, d):
+    v = TF.vocabulary(TF.term_counts(FX.english_docs(spark, d)))
+    return v.select("term", "df", "cf", "rank")
+
+
+@query("tfidf_weights")
+def tfidf_weights(spark, d):
+    w = TF.tfidf(FX.english_docs(spark, d))
+    return w.select("url", "term", "tf", "df", r6("w").alias("w"))
+
+
+@query("doc_keywords")
+def doc_keywords(spark, d):
+    kw = TF.doc_keywords(TF.tfidf(FX.english_docs(spark, d)), k=20)
+    return kw.select("url", TF.keyword_string(F.col("keywords")).alias("keywords"))
+
+
+@query("cluster_keywords")
+def cluster_keywords(spark, d):
+    docs = FX.labeled_english_docs(spark, d)
+    kw = TF.doc_keywords(TF.tfidf(docs), k=20)
+    ck = TF.cluster_keywords(kw, docs, k=15)
+    return ck.select("cluster", F.array_join("keywords", ", ").alias("keywords"))
+
+
+@query("tfidf_centroid_sim")
+def tfidf_centroid_sim(spark, d):
+    docs = FX.labeled_english_docs(spark, d)
+    sim = TF.centroid_similarity(TF.tfidf(docs), docs)
+    return sim.select("url", "cluster", r6("sim").alias("pillar_sim"))

@@ -95,3 +95,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     return e.select(F.lit("docs").alias("site"), F.col("vec_id").alias("url"),
                     F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("cluster"))
+
+
+def labeled_english_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents that have a vector; cluster = the vector's label."""
+    docs = english_docs(spark, sf_dir)
+    lab = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("url"), F.col("label").alias("cluster"))
+    return docs.join(lab, "url")

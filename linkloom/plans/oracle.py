@@ -290,3 +290,70 @@ SELECT a.url, round(coalesce(p.pagerank, 0), 6) AS pagerank, round(coalesce(b.be
        round(coalesce(c.closeness, 0), 6) AS closeness, round(d.in_degree, 6) AS in_degree, round(d.out_degree, 6) AS out_degree
 FROM art a LEFT JOIN pr_final p USING (url) LEFT JOIN bc_final b USING (url)
 LEFT JOIN cl_final c USING (url) LEFT JOIN deg_final d USING (url)"""
+
+
+# ------------------------------------------------------------------ F
+
+from linkloom.functions import text as T  # noqa: E402
+
+STOPS = "[" + ", ".join(q(w) for w in T.spark_stop_words()) + "]"
+
+
+def tfidf_ctes(docs_sql: str, max_features: int = 5000) -> str:
+    return f"""
+tdocs AS ({docs_sql}),
+toks AS (SELECT url, list_filter(regexp_extract_all(lower(coalesce(text, '')), {q(T.TOKEN_RE)}, 0),
+                                 lambda x: NOT list_contains({STOPS}, x)) AS t FROM tdocs),
+grams AS (SELECT url, unnest(list_concat(t, CASE WHEN len(t) >= 2
+            THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM toks),
+tf AS (SELECT url, term, count(*) AS tf FROM grams GROUP BY 1, 2),
+tstats AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1 HAVING count(*) >= 2),
+voc AS (SELECT * FROM (SELECT term, df, cf, row_number() OVER (ORDER BY cf DESC, term ASC) AS rank FROM tstats)
+        WHERE rank <= {max_features}),
+ndocs AS (SELECT count(*)::DOUBLE AS n FROM tdocs),
+w0 AS (SELECT tf.url, tf.term, tf.tf, voc.df, tf.tf * (ln((1.0 + ndocs.n) / (1.0 + voc.df)) + 1.0) AS w0
+       FROM tf JOIN voc USING (term) CROSS JOIN ndocs),
+tw AS (SELECT url, term, tf, df, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY url)) AS w FROM w0),
+dkw AS (SELECT * FROM (SELECT url, term, w, row_number() OVER (PARTITION BY url ORDER BY round(w, 12) DESC, term) AS rk FROM tw)
+        WHERE rk <= 20)"""
+
+
+EN_DOCS = "SELECT doc_id AS url, text FROM documents WHERE lang = 'en'"
+LABELED_DOCS = ("SELECT d.doc_id AS url, d.text, e.label AS cluster FROM documents d "
+                "JOIN embeddings e ON d.doc_id = e.vec_id WHERE d.lang = 'en'")
+
+
+@oracle("term_stats")
+def _():
+    return f"WITH {tfidf_ctes(EN_DOCS)} SELECT term, df, cf, rank FROM voc"
+
+
+@oracle("tfidf_weights")
+def _():
+    return f"WITH {tfidf_ctes(EN_DOCS)} SELECT url, term, tf, df, round(w, 6) AS w FROM tw"
+
+
+@oracle("doc_keywords")
+def _():
+    return f"WITH {tfidf_ctes(EN_DOCS)} SELECT url, array_to_string(list(term ORDER BY rk), '; ') AS keywords FROM dkw GROUP BY url"
+
+
+@oracle("cluster_keywords")
+def _():
+    return f"""WITH {tfidf_ctes(LABELED_DOCS)},
+csum AS (SELECT l.cluster, k.term, sum(k.w) AS score FROM dkw k JOIN tdocs l USING (url) GROUP BY 1, 2),
+crank AS (SELECT * FROM (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, term) AS rk
+          FROM csum) WHERE rk <= 15)
+SELECT cluster, array_to_string(list(term ORDER BY rk), ', ') AS keywords FROM crank GROUP BY cluster"""
+
+
+@oracle("tfidf_centroid_sim")
+def _():
+    return f"""WITH {tfidf_ctes(LABELED_DOCS)},
+members AS (SELECT cluster, count(*)::DOUBLE AS m FROM tdocs GROUP BY 1),
+mu AS (SELECT l.cluster, t.term, sum(t.w) / any_value(members.m) AS mu
+       FROM tw t JOIN tdocs l USING (url) JOIN members USING (cluster) GROUP BY 1, 2),
+cen AS (SELECT cluster, term, mu / (sqrt(sum(mu * mu) OVER (PARTITION BY cluster)) + 1e-9) AS c FROM mu),
+dots AS (SELECT t.url, sum(t.w * cen.c) AS sim FROM tw t JOIN tdocs l USING (url) JOIN cen ON cen.cluster = l.cluster AND cen.term = t.term
+         GROUP BY 1)
+SELECT l.url, l.cluster, round(coalesce(dots.sim, 0.0), 6) AS pillar_sim FROM tdocs l LEFT JOIN dots USING (url)"""
