@@ -205,3 +205,56 @@ def tfidf_centroid_sim(spark, d):
     docs = FX.labeled_english_docs(spark, d)
     sim = TF.centroid_similarity(TF.tfidf(docs), docs)
     return sim.select("url", "cluster", r6("sim").alias("pillar_sim"))
+
+
+# ------------------------------------------------------------------ G: vectors and similarity
+
+from linkloom.functions import vectors as V  # noqa: E402
+from linkloom.operators import similarity as S  # noqa: E402
+
+
+def _vecs_and_click_edges(spark, d):
+    vecs = FX.vectors(spark, d)
+    edges = FX.click_edges(spark, d).withColumn("site", F.lit("docs"))
+    return vecs, edges
+
+
+@query("dense_centroid_sim")
+def dense_centroid_sim(spark, d):
+    vecs = FX.vectors(spark, d)
+    cen = S.dense_centroids(vecs)
+    j = vecs.join(cen, ["site", "cluster"])
+    sim = V.dot(V.l2_normalize(F.col("vec"), 1e-9), F.col("centroid"))
+    return j.select("url", "cluster", r6(sim).alias("semantic_sim"))
+
+
+@query("nearest_centroid")
+def nearest_centroid(spark, d):
+    vecs = FX.vectors(spark, d)
+    nc = S.nearest_centroid(vecs, S.dense_centroids(vecs))
+    return nc.select("url", "cluster", r6("dist").alias("dist"))
+
+
+@query("topic_similarity")
+def topic_similarity(spark, d):
+    vecs = FX.vectors(spark, d)
+    topic = vecs.filter(F.col("url") == 0).select("site", F.col("vec").alias("tvec"))
+    return S.topic_similarity(vecs, topic).select("url", r6("sim").alias("sim"))
+
+
+@query("nearest_neighbors")
+def nearest_neighbors(spark, d):
+    top = S.topk_similar(FX.vectors(spark, d), k=5)
+    return top.select(F.col("source").alias("url"), F.col("target").alias("neighbor"), r6("sim").alias("sim"), "rank")
+
+
+@query("recommend_links")
+def recommend_links(spark, d):
+    vecs, edges = _vecs_and_click_edges(spark, d)
+    return S.recommend_links(vecs, edges, top_n=3, min_sim=0.25).drop("site")
+
+
+@query("recommend_links_strict")
+def recommend_links_strict(spark, d):
+    vecs, edges = _vecs_and_click_edges(spark, d)
+    return S.recommend_links(vecs, edges, top_n=3, min_sim=0.5).drop("site")

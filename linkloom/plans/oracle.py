@@ -357,3 +357,74 @@ cen AS (SELECT cluster, term, mu / (sqrt(sum(mu * mu) OVER (PARTITION BY cluster
 dots AS (SELECT t.url, sum(t.w * cen.c) AS sim FROM tw t JOIN tdocs l USING (url) JOIN cen ON cen.cluster = l.cluster AND cen.term = t.term
          GROUP BY 1)
 SELECT l.url, l.cluster, round(coalesce(dots.sim, 0.0), 6) AS pillar_sim FROM tdocs l LEFT JOIN dots USING (url)"""
+
+
+# ------------------------------------------------------------------ G
+
+VEC_CTES = """
+vecs AS (SELECT vec_id AS url, label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+vnorm AS (SELECT url, cluster, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS nrm FROM vecs),
+unit AS (SELECT url, cluster, CASE WHEN nrm > 0 THEN list_transform(v, lambda x: x / nrm) ELSE v END AS u FROM vnorm),
+unit9 AS (SELECT url, cluster, list_transform(v, lambda x: x / (nrm + 1e-9)) AS u FROM vnorm),
+cpos AS (SELECT cluster, unnest(range(1, len(u) + 1)) AS pos, unnest(u) AS x FROM unit9),
+cmean AS (SELECT cluster, list(m ORDER BY pos) AS mean FROM (SELECT cluster, pos, avg(x) AS m FROM cpos GROUP BY 1, 2) GROUP BY 1),
+cnorm AS (SELECT cluster, mean, sqrt(list_sum(list_transform(mean, lambda y: y * y))) AS nrm FROM cmean),
+cent AS (SELECT cluster, list_transform(mean, lambda x: x / (nrm + 1e-9)) AS c FROM cnorm)
+"""
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]))"
+
+
+@oracle("dense_centroid_sim")
+def _():
+    return f"""WITH {VEC_CTES}
+SELECT unit9.url, unit9.cluster, round({_dot('unit9.u', 'cent.c')}, 6) AS semantic_sim FROM unit9 JOIN cent USING (cluster)"""
+
+
+@oracle("nearest_centroid")
+def _():
+    d2 = "list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - c.c[i]) * (a.v[i] - c.c[i])))"
+    return f"""WITH {VEC_CTES},
+d AS (SELECT a.url, c.cluster, {d2} AS d2 FROM vecs a CROSS JOIN cent c),
+r AS (SELECT url, cluster, d2, row_number() OVER (PARTITION BY url ORDER BY d2, cluster) AS rn FROM d)
+SELECT url, cluster, round(sqrt(d2), 6) AS dist FROM r WHERE rn = 1"""
+
+
+@oracle("topic_similarity")
+def _():
+    return f"""WITH {VEC_CTES},
+t AS (SELECT v AS tv, nrm AS tn FROM vnorm WHERE url = 0)
+SELECT url, round(CASE WHEN nrm * tn > 0 THEN {_dot('v', 'tv')} / (nrm * tn) ELSE 0.0 END, 6) AS sim
+FROM vnorm CROSS JOIN t"""
+
+
+PAIRS = f"pairs AS (SELECT a.url AS source, b.url AS target, {_dot('a.u', 'b.u')} AS sim FROM unit a JOIN unit b ON a.url <> b.url)"
+
+
+@oracle("nearest_neighbors")
+def _():
+    return f"""WITH {VEC_CTES}, {PAIRS},
+r AS (SELECT source, target, sim, row_number() OVER (PARTITION BY source ORDER BY sim DESC, target) AS rank FROM pairs)
+SELECT source AS url, target AS neighbor, round(sim, 6) AS sim, rank FROM r WHERE rank <= 5"""
+
+
+def _recommend(min_sim: float) -> str:
+    from linkloom.operators.similarity import RECOMMEND_REASON
+    return f"""WITH {VEC_CTES}, {click_ctes()}, {PAIRS},
+ok AS (SELECT * FROM pairs p WHERE sim >= {min_sim}
+       AND NOT EXISTS (SELECT 1 FROM cedges e WHERE e.source = p.source AND e.target = p.target)),
+r AS (SELECT source, target, sim, row_number() OVER (PARTITION BY source ORDER BY sim DESC, target) AS rk FROM ok)
+SELECT source AS source_url, target AS target_url, round(sim, 4) AS similarity, {q(RECOMMEND_REASON)} AS reason
+FROM r WHERE rk <= 3"""
+
+
+@oracle("recommend_links")
+def _():
+    return _recommend(0.25)
+
+
+@oracle("recommend_links_strict")
+def _():
+    return _recommend(0.5)
