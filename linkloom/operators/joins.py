@@ -17,7 +17,12 @@ DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
 def join_side_table(big: DataFrame, small: DataFrame, on: list, how: str = "inner", spread_key: str = "url",
                     max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, salts: int = 64) -> DataFrame:
-    """Join ``big`` with a side table keyed by ``on``; broadcast when it is small."""
+    """Join ``big`` with a side table keyed by ``on``; broadcast when it is small.
+
+    The side table is persisted before it is counted, so the size check does
+    not compute it twice.
+    """
+    small = small.persist()
     n_small = small.count()
     if n_small <= max_rows:
         return big.join(F.broadcast(small), on, how)

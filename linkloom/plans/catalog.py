@@ -222,10 +222,8 @@ def _vecs_and_click_edges(spark, d):
 @query("dense_centroid_sim")
 def dense_centroid_sim(spark, d):
     vecs = FX.vectors(spark, d)
-    cen = S.dense_centroids(vecs)
-    j = vecs.join(cen, ["site", "cluster"])
-    sim = V.dot(V.l2_normalize(F.col("vec"), 1e-9), F.col("centroid"))
-    return j.select("url", "cluster", r6(sim).alias("semantic_sim"))
+    sim = S.semantic_similarity(vecs, S.dense_centroids(vecs))
+    return sim.select("url", "cluster", r6("sim").alias("semantic_sim"))
 
 
 @query("nearest_centroid")
@@ -258,3 +256,152 @@ def recommend_links(spark, d):
 def recommend_links_strict(spark, d):
     vecs, edges = _vecs_and_click_edges(spark, d)
     return S.recommend_links(vecs, edges, top_n=3, min_sim=0.5).drop("site")
+
+
+# ------------------------------------------------------------------ G9-G11 pillars
+
+from linkloom.operators import pillars as P  # noqa: E402
+
+
+@query("pillars")
+def pillars(spark, d):
+    mem = FX.article_members(spark, d)
+    sem = S.semantic_similarity(mem, S.dense_centroids(mem))
+    w = TF.tfidf(mem)
+    tsim = TF.centroid_similarity(w, mem)
+    ck = TF.cluster_keywords(TF.doc_keywords(w, k=20), mem, k=15)
+    pr = C.pagerank(FX.click_nodes(spark, d), FX.click_edges(spark, d)).withColumn("site", F.lit("docs"))
+    out = P.pillars(mem, sem, tsim, pr, ck)
+    return out.select("cluster", "url", "title", r6("pagerank").alias("pagerank"), "semantic_sim", "tfidf_sim",
+                      "total_sim", "cluster_keywords", "excerpt")
+
+
+# ------------------------------------------------------------------ H: reports
+
+from linkloom.operators import reports as R  # noqa: E402
+
+
+def _click_pagerank(spark, d):
+    return C.pagerank(FX.click_nodes(spark, d), FX.click_edges(spark, d))
+
+
+def _labeled_kw(spark, d):
+    docs = FX.labeled_english_docs(spark, d)
+    return TF.cluster_keywords(TF.doc_keywords(TF.tfidf(docs), k=20), docs, k=15)
+
+
+@query("overview")
+def overview(spark, d):
+    nodes = FX.report_nodes(spark, d)
+    cent = nodes.filter("is_article").select("site", "url")
+    return R.overview(nodes, FX.click_edges(spark, d), cent).drop("site")
+
+
+@query("cluster_distribution")
+def cluster_distribution(spark, d):
+    nodes = FX.report_nodes(spark, d).drop("cluster_keywords")
+    kw = _labeled_kw(spark, d).select(F.lit(FX.CLICK_SITE).alias("site"), "cluster",
+                                      F.array_join("keywords", ", ").alias("cluster_keywords"))
+    nodes = nodes.join(kw, ["site", "cluster"], "left")
+    return R.cluster_distribution(nodes).select("cluster", "count", "keywords")
+
+
+@query("authority_top25")
+def authority_top25(spark, d):
+    t = R.authority_table(_click_pagerank(spark, d), FX.report_nodes(spark, d), 25)
+    return t.select("url", r6("pagerank").alias("pagerank"), "cluster", "rank")
+
+
+@query("edges_head")
+def edges_head(spark, d):
+    return R.head(FX.click_edges(spark, d), [F.asc("source"), F.asc("target")], 200).select("source", "target", "weight")
+
+
+@query("priority_bands")
+def priority_bands(spark, d):
+    vecs, edges = _vecs_and_click_edges(spark, d)
+    return R.priority_bands(S.recommend_links(vecs, edges, top_n=3, min_sim=0.25)).select("band", "n")
+
+
+def _page_edges(spark, d):
+    return G.build_edges(G.keep_internal(G.resolve_links(G.page_links(FX.pages(spark, d)))))
+
+
+@query("anchor_search")
+def anchor_search(spark, d):
+    e = G.export_edges(_page_edges(spark, d))
+    return R.anchor_search(e, "the").select("source", "target", "weight", "anchors")
+
+
+@query("filtered_graph")
+def filtered_graph(spark, d):
+    _, e = R.filter_graph(FX.report_nodes(spark, d), FX.click_edges(spark, d), article_only=True,
+                          clusters=[0, 1, 2, 3, 4], min_weight=2, hide_cross=True)
+    return e.select("source", "target", "weight")
+
+
+@query("node_style")
+def node_style(spark, d):
+    st = R.node_style(FX.report_nodes(spark, d), _click_pagerank(spark, d))
+    return st.select("url", r6("size").alias("size"), "color")
+
+
+def _layout(spark, d):
+    v = FX.vectors(spark, d)
+    return v.select("site", "url", "cluster", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+
+
+@query("pixel_layout")
+def pixel_layout(spark, d):
+    return R.pixel_layout(_layout(spark, d)).select("url", "cluster", r6("px").alias("px"), r6("py").alias("py"))
+
+
+@query("cluster_centers")
+def cluster_centers(spark, d):
+    px = R.pixel_layout(_layout(spark, d))
+    nodes = px.select("site", "url", "cluster", F.lit(None).cast("string").alias("cluster_keywords"))
+    kw = _labeled_kw(spark, d).select("site", "cluster", F.array_join("keywords", ", ").alias("keywords"))
+    return R.cluster_centers(px, nodes, kw).select("cluster", r6("cx").alias("cx"), r6("cy").alias("cy"), "label")
+
+
+@query("node_labels")
+def node_labels(spark, d):
+    docs = FX.labeled_english_docs(spark, d)
+    sim = TF.centroid_similarity(TF.tfidf(docs), docs)
+    nodes = docs.select("site", "url", "cluster",
+                        F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80).alias("title")).join(
+        sim.select("site", "url", F.col("sim").alias("pillar_sim")), ["site", "url"], "left")
+    return R.node_tooltip(nodes).select("url", "label", "tooltip")
+
+
+@query("edge_tooltips")
+def edge_tooltips(spark, d):
+    return R.edge_tooltip(_page_edges(spark, d)).select("source", "target", "tooltip")
+
+
+@query("low_degree")
+def low_degree(spark, d):
+    deg = C.degrees(FX.click_nodes(spark, d), FX.click_edges(spark, d))
+    return R.low_degree(deg, max_in=10.0).select("url", "in_degree", "out_degree")
+
+
+@query("low_relevance")
+def low_relevance(spark, d):
+    docs = FX.labeled_english_docs(spark, d)
+    sim = TF.centroid_similarity(TF.tfidf(docs), docs).withColumnRenamed("sim", "pillar_sim")
+    return R.low_relevance(sim, 10).select("url", r6("pillar_sim").alias("pillar_sim"))
+
+
+@query("cluster_link_share")
+def cluster_link_share(spark, d):
+    s = R.cluster_link_share(FX.report_nodes(spark, d), FX.click_edges(spark, d))
+    return s.select("within_links", "cross_links", "total_links", r6("within_share").alias("within_share"))
+
+
+@query("snapshot_diff")
+def snapshot_diff(spark, d):
+    nodes = FX.click_nodes(spark, d)
+    a = C.degrees(nodes, FX.click_edges(spark, d))
+    t = FX.click_transitions(spark, d)
+    b = C.degrees(nodes, G.build_edges(G.crawled_links(t, FX.users_with(spark, d, FX.CRAWLED_RULE)), with_anchors=False))
+    return R.snapshot_diff(a, b, ["site", "url"], "in_degree").select("url", "in_degree_a", "in_degree_b", "delta")

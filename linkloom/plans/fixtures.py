@@ -29,8 +29,23 @@ ARTICLE_RULE = ("error", 100.0)
 DANGLING_RULE = ("error", 200.0)
 
 
+# Tables whose rows carry long text; per-row regex work on them is CPU-heavy.
+TEXT_TABLES = ("pages", "documents")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin rows over the default parallelism when the scan yields fewer
+    splits (a single-row-group file reads as one task).  On a cluster reading
+    many files the scan already has enough splits and this is a no-op."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 # ------------------------------------------------------------------ pages
@@ -102,3 +117,28 @@ def labeled_english_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = english_docs(spark, sf_dir)
     lab = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("url"), F.col("label").alias("cluster"))
     return docs.join(lab, "url")
+
+
+def article_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pillar corpus: documents with a vector (any language); cluster = label;
+    title = first line of the text (documents carry no title)."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), "text")
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("url"), F.col("label").alias("cluster"),
+                                                  F.col("embedding").cast("array<double>").alias("vec"))
+    j = d.join(e, "url")
+    return j.select(F.lit("docs").alias("site"), "url", "cluster", "vec", "text",
+                    F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80).alias("title"))
+
+
+def report_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node table of the click graph in the exported layout: title = first line
+    of the user's document (if any), is_article = article rule, cluster = the
+    label of the user's vector (if any)."""
+    users = click_nodes(spark, sf_dir)
+    art = users_with(spark, sf_dir, ARTICLE_RULE).withColumn("is_article", F.lit(True))
+    lab = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("url"), F.col("label").alias("cluster"))
+    doc = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("url"), F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80).alias("title"))
+    return (users.join(art, ["site", "url"], "left").join(lab, "url", "left").join(doc, "url", "left")
+            .select("site", "url", "title", F.coalesce("is_article", F.lit(False)).alias("is_article"), "cluster",
+                    F.lit(None).cast("string").alias("cluster_keywords")))

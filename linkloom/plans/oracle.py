@@ -428,3 +428,224 @@ def _():
 @oracle("recommend_links_strict")
 def _():
     return _recommend(0.5)
+
+
+@oracle("pillars")
+def _():
+    mem = ("SELECT d.doc_id AS url, d.text, e.label AS cluster, CAST(e.embedding AS DOUBLE[]) AS v, "
+           "substring(split_part(d.text, chr(10), 1), 1, 80) AS title FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id")
+    wc = "len(list_filter(regexp_split_to_array(coalesce(m.text, ''), '\\s+'), lambda x: x <> ''))"
+    return f"""WITH {tfidf_ctes(mem)}, {click_ctes()}, {pagerank_sql('cnodes', 'cedges', 100, 1e-6)},
+vn AS (SELECT url, cluster, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS nrm FROM tdocs),
+u9 AS (SELECT url, cluster, list_transform(v, lambda x: x / (nrm + 1e-9)) AS u FROM vn),
+cpos AS (SELECT cluster, unnest(range(1, len(u) + 1)) AS pos, unnest(u) AS x FROM u9),
+cmean AS (SELECT cluster, list(m ORDER BY pos) AS mean FROM (SELECT cluster, pos, avg(x) AS m FROM cpos GROUP BY 1, 2) GROUP BY 1),
+cn AS (SELECT cluster, mean, sqrt(list_sum(list_transform(mean, lambda y: y * y))) AS nrm FROM cmean),
+cent AS (SELECT cluster, list_transform(mean, lambda x: x / (nrm + 1e-9)) AS c FROM cn),
+sem AS (SELECT u9.url, {_dot('u9.u', 'cent.c')} AS sem FROM u9 JOIN cent USING (cluster)),
+members AS (SELECT cluster, count(*)::DOUBLE AS m FROM tdocs GROUP BY 1),
+mu AS (SELECT l.cluster, t.term, sum(t.w) / any_value(members.m) AS mu
+       FROM tw t JOIN tdocs l USING (url) JOIN members USING (cluster) GROUP BY 1, 2),
+tcen AS (SELECT cluster, term, mu / (sqrt(sum(mu * mu) OVER (PARTITION BY cluster)) + 1e-9) AS c FROM mu),
+tdot AS (SELECT t.url, sum(t.w * tcen.c) AS tfs FROM tw t JOIN tdocs l USING (url)
+         JOIN tcen ON tcen.cluster = l.cluster AND tcen.term = t.term GROUP BY 1),
+csum AS (SELECT l.cluster, k.term, sum(k.w) AS score FROM dkw k JOIN tdocs l USING (url) GROUP BY 1, 2),
+crank AS (SELECT * FROM (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, term) AS rk
+          FROM csum) WHERE rk <= 15),
+ckw AS (SELECT cluster, array_to_string(list(term ORDER BY rk), ', ') AS kw FROM crank GROUP BY 1),
+scored AS (
+  SELECT m.cluster, m.url, m.title, coalesce(p.pagerank, 0.0) AS pagerank, coalesce(s.sem, 0.0) AS sem,
+         coalesce(t.tfs, 0.0) AS tfs, 0.6 * coalesce(s.sem, 0.0) + 0.4 * coalesce(t.tfs, 0.0) AS total,
+         ({wc} >= 150 AND NOT (regexp_matches(lower(CAST(m.url AS VARCHAR)), {q(U.LISTING_CONTAINS_RE)})
+            OR regexp_full_match(lower(CAST(m.url AS VARCHAR)), {q(U.LISTING_FULL_RE)}))) AS ok,
+         substring(coalesce(coalesce(nullif(m.text, ''), m.title), ''), 1, 500) AS excerpt
+  FROM tdocs m LEFT JOIN sem s USING (url) LEFT JOIN tdot t USING (url) LEFT JOIN pr_final p USING (url)
+),
+anyok AS (SELECT cluster, max(ok) AS any_ok FROM scored GROUP BY 1),
+cand AS (SELECT s.* FROM scored s JOIN anyok USING (cluster) WHERE s.ok OR NOT anyok.any_ok),
+best AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY total DESC, pagerank DESC, url DESC, title DESC) AS rn FROM cand)
+SELECT b.cluster, b.url, b.title, round(b.pagerank, 6) AS pagerank, round(b.sem, 4) AS semantic_sim, round(b.tfs, 4) AS tfidf_sim,
+       round(b.total, 4) AS total_sim, coalesce(ckw.kw, '') AS cluster_keywords, b.excerpt
+FROM best b LEFT JOIN ckw USING (cluster) WHERE rn = 1"""
+
+
+# ------------------------------------------------------------------ H
+
+from linkloom.operators import reports as RP  # noqa: E402
+
+REPORT_NODES = f"""
+{users_rule('art', FX.ARTICLE_RULE)},
+rnodes AS (
+  SELECT c.url, substring(split_part(d.text, chr(10), 1), 1, 80) AS title, (a.url IS NOT NULL) AS is_article,
+         e.label AS cluster
+  FROM cnodes c LEFT JOIN art a USING (url) LEFT JOIN embeddings e ON e.vec_id = c.url
+  LEFT JOIN documents d ON d.doc_id = c.url
+)"""
+
+LABELED_KW = f"""{tfidf_ctes(LABELED_DOCS)},
+csum AS (SELECT l.cluster, k.term, sum(k.w) AS score FROM dkw k JOIN tdocs l USING (url) GROUP BY 1, 2),
+crank AS (SELECT * FROM (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, term) AS rk
+          FROM csum) WHERE rk <= 15),
+ckw AS (SELECT cluster, array_to_string(list(term ORDER BY rk), ', ') AS kw FROM crank GROUP BY 1)"""
+
+PAGE_EDGES = f"""{LINKS},
+internal AS (SELECT * FROM resolved WHERE {INTERNAL}),
+pgrp AS (SELECT src AS source, href AS target, count(*) AS weight, list(anchor ORDER BY pos)[1:50] AS anchors
+         FROM internal GROUP BY 1, 2)"""
+
+
+def _anchor_str(expr: str, sep: str, take: int | None = None, limit: int | None = 2000) -> str:
+    s = f"list_sort(list_distinct(list_filter({expr}, lambda x: x <> '')))"
+    if take:
+        s = f"{s}[1:{take}]"
+    s = f"array_to_string({s}, {q(sep)})"
+    return f"substring({s}, 1, {limit})" if limit else s
+
+
+@oracle("overview")
+def _():
+    return f"""WITH {click_ctes()}, {REPORT_NODES}
+SELECT (SELECT count(*) FROM rnodes) AS total_pages, (SELECT count(*) FROM cedges) AS internal_links,
+       (SELECT count(*) FROM rnodes WHERE is_article) AS article_pages,
+       (SELECT count(DISTINCT cluster) FROM rnodes WHERE is_article) AS topic_clusters"""
+
+
+@oracle("cluster_distribution")
+def _():
+    return f"""WITH {click_ctes()}, {REPORT_NODES}, {LABELED_KW}
+SELECT n.cluster, count(*) AS count, coalesce(min(ckw.kw), '') AS keywords
+FROM rnodes n LEFT JOIN ckw USING (cluster) WHERE n.is_article AND n.cluster IS NOT NULL GROUP BY n.cluster"""
+
+
+@oracle("authority_top25")
+def _():
+    return f"""WITH {click_ctes()}, {REPORT_NODES}, {pagerank_sql('cnodes', 'cedges', 100, 1e-6)},
+r AS (SELECT p.url, p.pagerank, n.cluster, row_number() OVER (ORDER BY p.pagerank DESC, p.url) AS rank
+      FROM pr_final p LEFT JOIN rnodes n USING (url))
+SELECT url, round(pagerank, 6) AS pagerank, cluster, rank FROM r WHERE rank <= 25"""
+
+
+@oracle("edges_head")
+def _():
+    return f"WITH {click_ctes()} SELECT source, target, weight FROM cedges ORDER BY source, target LIMIT 200"
+
+
+@oracle("priority_bands")
+def _():
+    inner = _recommend(0.25)
+    return f"""SELECT CASE WHEN similarity > 0.7 THEN 'high' WHEN similarity >= 0.5 THEN 'medium' ELSE 'low' END AS band,
+       count(*) AS n FROM ({inner}) GROUP BY 1"""
+
+
+@oracle("anchor_search")
+def _():
+    return f"""WITH {PAGE_EDGES},
+ex AS (SELECT source, target, weight, coalesce({_anchor_str('anchors', ' | ')}, '') AS anchors FROM pgrp)
+SELECT * FROM ex WHERE regexp_matches(coalesce(anchors, ''), '(?i)the')"""
+
+
+@oracle("filtered_graph")
+def _():
+    return f"""WITH {click_ctes()}, {REPORT_NODES},
+nf AS (SELECT * FROM rnodes WHERE is_article AND cluster IN (0, 1, 2, 3, 4))
+SELECT e.source, e.target, e.weight FROM cedges e JOIN nf s ON s.url = e.source JOIN nf t ON t.url = e.target
+WHERE coalesce(e.weight, 1) >= 2 AND s.cluster = t.cluster"""
+
+
+@oracle("node_style")
+def _():
+    pal = "[" + ", ".join(q(c) for c in RP.PALETTE) + "]"
+    return f"""WITH {click_ctes()}, {REPORT_NODES}, {pagerank_sql('cnodes', 'cedges', 100, 1e-6)},
+j AS (SELECT n.url, n.cluster, coalesce(p.pagerank, 0.0) AS pr FROM rnodes n LEFT JOIN pr_final p USING (url)),
+rng AS (SELECT min(pr) AS lo, max(pr) AS hi FROM j)
+SELECT url, round(15.0 + 25.0 * (pr - lo) / (CASE WHEN hi - lo > 1e-12 THEN hi - lo ELSE 1.0 END), 6) AS size,
+       CASE WHEN cluster IS NULL THEN {q(RP.NO_CLUSTER_COLOR)} ELSE {pal}[(cluster % 20) + 1] END AS color
+FROM j CROSS JOIN rng"""
+
+
+LAYOUT = """lay AS (SELECT vec_id AS url, label AS cluster, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+lrng AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM lay),
+pix AS (SELECT url, cluster,
+               (x - (x0 + (x1 - x0 + 1e-6) / 2.0)) * (900.0 / greatest(x1 - x0 + 1e-6, y1 - y0 + 1e-6)) AS px,
+               -(y - (y0 + (y1 - y0 + 1e-6) / 2.0)) * (900.0 / greatest(x1 - x0 + 1e-6, y1 - y0 + 1e-6)) AS py
+        FROM lay CROSS JOIN lrng)"""
+
+
+@oracle("pixel_layout")
+def _():
+    return f"WITH {LAYOUT} SELECT url, cluster, round(px, 6) AS px, round(py, 6) AS py FROM pix"
+
+
+@oracle("cluster_centers")
+def _():
+    return f"""WITH {LAYOUT}, {LABELED_KW}
+SELECT p.cluster, round(avg(px), 6) AS cx, round(avg(py), 6) AS cy, coalesce(any_value(ckw.kw), '') AS label
+FROM pix p LEFT JOIN ckw USING (cluster) GROUP BY p.cluster"""
+
+
+@oracle("node_labels")
+def _():
+    return f"""WITH {tfidf_ctes(LABELED_DOCS)},
+members AS (SELECT cluster, count(*)::DOUBLE AS m FROM tdocs GROUP BY 1),
+mu AS (SELECT l.cluster, t.term, sum(t.w) / any_value(members.m) AS mu
+       FROM tw t JOIN tdocs l USING (url) JOIN members USING (cluster) GROUP BY 1, 2),
+cen AS (SELECT cluster, term, mu / (sqrt(sum(mu * mu) OVER (PARTITION BY cluster)) + 1e-9) AS c FROM mu),
+dots AS (SELECT t.url, sum(t.w * cen.c) AS sim FROM tw t JOIN tdocs l USING (url)
+         JOIN cen ON cen.cluster = l.cluster AND cen.term = t.term GROUP BY 1),
+n AS (SELECT l.url, l.cluster, substring(split_part(l.text, chr(10), 1), 1, 80) AS title, coalesce(dots.sim, 0.0) AS ps
+      FROM tdocs l LEFT JOIN dots USING (url)),
+parts AS (SELECT url, title, concat_ws('<br/>',
+            CASE WHEN coalesce(title, '') <> '' THEN '<b>Title</b>: ' || title END,
+            CASE WHEN cluster IS NOT NULL THEN '<b>Cluster</b>: ' || CAST(cluster AS VARCHAR) END,
+            CASE WHEN ps IS NOT NULL THEN '<b>Pillar sim</b>: ' || printf('%.3f', ps) END) AS tip FROM n)
+SELECT url,
+       CASE WHEN length(coalesce(title, '')) > 40 THEN substring(title, 1, 40) || '…'
+            WHEN coalesce(title, '') <> '' THEN title ELSE CAST(url AS VARCHAR) END AS label,
+       CASE WHEN tip = '' THEN CAST(url AS VARCHAR) ELSE tip END AS tooltip
+FROM parts"""
+
+
+@oracle("edge_tooltips")
+def _():
+    return f"WITH {PAGE_EDGES} SELECT source, target, {_anchor_str('anchors', '<br/>', take=20, limit=None)} AS tooltip FROM pgrp"
+
+
+@oracle("low_degree")
+def _():
+    return f"WITH {click_ctes()}, {degree_sql('cnodes', 'cedges')} SELECT url, in_degree, out_degree FROM deg_final WHERE in_degree <= 10.0"
+
+
+@oracle("low_relevance")
+def _():
+    return f"""WITH {tfidf_ctes(LABELED_DOCS)},
+members AS (SELECT cluster, count(*)::DOUBLE AS m FROM tdocs GROUP BY 1),
+mu AS (SELECT l.cluster, t.term, sum(t.w) / any_value(members.m) AS mu
+       FROM tw t JOIN tdocs l USING (url) JOIN members USING (cluster) GROUP BY 1, 2),
+cen AS (SELECT cluster, term, mu / (sqrt(sum(mu * mu) OVER (PARTITION BY cluster)) + 1e-9) AS c FROM mu),
+dots AS (SELECT t.url, sum(t.w * cen.c) AS sim FROM tw t JOIN tdocs l USING (url)
+         JOIN cen ON cen.cluster = l.cluster AND cen.term = t.term GROUP BY 1),
+n AS (SELECT l.url, coalesce(dots.sim, 0.0) AS ps FROM tdocs l LEFT JOIN dots USING (url))
+SELECT url, round(ps, 6) AS pillar_sim FROM n ORDER BY ps, url LIMIT 10"""
+
+
+@oracle("cluster_link_share")
+def _():
+    return f"""WITH {click_ctes()}, {REPORT_NODES},
+j AS (SELECT s.cluster AS cs, t.cluster AS ct FROM cedges e JOIN rnodes s ON s.url = e.source JOIN rnodes t ON t.url = e.target
+      WHERE s.cluster IS NOT NULL AND t.cluster IS NOT NULL)
+SELECT sum(CASE WHEN cs = ct THEN 1 ELSE 0 END)::BIGINT AS within_links,
+       count(*) - sum(CASE WHEN cs = ct THEN 1 ELSE 0 END)::BIGINT AS cross_links, count(*) AS total_links,
+       round(sum(CASE WHEN cs = ct THEN 1 ELSE 0 END) / count(*), 6) AS within_share FROM j"""
+
+
+@oracle("snapshot_diff")
+def _():
+    return f"""WITH {click_ctes()}, {users_rule('crawled', FX.CRAWLED_RULE)},
+a AS (SELECT n.url, coalesce(i.c, 0)::DOUBLE AS in_degree FROM cnodes n
+      LEFT JOIN (SELECT target AS url, count(*) AS c FROM (SELECT DISTINCT source, target FROM cedges) GROUP BY 1) i USING (url)),
+bedges AS (SELECT DISTINCT user_id AS source, nxt AS target FROM clicks WHERE nxt IS NOT NULL AND nxt IN (SELECT url FROM crawled)),
+b AS (SELECT n.url, coalesce(i.c, 0)::DOUBLE AS in_degree FROM cnodes n
+      LEFT JOIN (SELECT target AS url, count(*) AS c FROM bedges GROUP BY 1) i USING (url))
+SELECT coalesce(a.url, b.url) AS url, a.in_degree AS in_degree_a, b.in_degree AS in_degree_b,
+       coalesce(b.in_degree, 0.0) - coalesce(a.in_degree, 0.0) AS delta
+FROM a FULL OUTER JOIN b USING (url)"""
