@@ -152,7 +152,10 @@ def resolve_url(base, href) -> Column:
             def with_merged(merged):
                 segs = F.split(merged, "/", -1)
                 needs_dots = merged.rlike(r"(^|/)\.\.?(/|$)") | (~abs_path & merged.rlike("//"))
-                clean_path = F.when(needs_dots, _remove_dots(segs, ~abs_path)).otherwise(merged)
+                walked = _remove_dots(segs, ~abs_path)
+                # an authority forces a rooted path (urlunsplit adds the '/')
+                walked = F.when(has_netloc & ~walked.startswith("/"), F.concat(F.lit("/"), walked)).otherwise(walked)
+                clean_path = F.when(needs_dots, walked).otherwise(merged)
                 return (
                     F.when(h == "", b)
                     .when(h.rlike(SCHEME_RE), h)

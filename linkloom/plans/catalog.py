@@ -405,3 +405,24 @@ def snapshot_diff(spark, d):
     t = FX.click_transitions(spark, d)
     b = C.degrees(nodes, G.build_edges(G.crawled_links(t, FX.users_with(spark, d, FX.CRAWLED_RULE)), with_anchors=False))
     return R.snapshot_diff(a, b, ["site", "url"], "in_degree").select("url", "in_degree_a", "in_degree_b", "delta")
+
+
+# ------------------------------------------------------------------ C: frontier
+
+from linkloom.operators import frontier as FR  # noqa: E402
+
+
+@query("frontier_depths")
+def frontier_depths(spark, d):
+    links = FX.click_edges(spark, d).select("site", F.col("source").alias("src"), F.col("target").alias("href"))
+    seeds = FX.users_with(spark, d, FX.SEED_RULE)
+    out = FR.frontier(links, seeds, stored=FX.click_nodes(spark, d), max_depth=2, max_pages=100)
+    return out.select("url", "depth")
+
+
+@query("frontier_focus")
+def frontier_focus(spark, d):
+    links = FX.click_edges(spark, d).select("site", F.col("source").alias("src"), F.col("target").alias("href"))
+    seeds = FX.users_with(spark, d, FX.SEED_RULE)
+    out = FR.frontier(links, seeds, stored=FX.click_nodes(spark, d), max_depth=3, max_pages=1000, focus_prefix="1")
+    return out.select("url", "depth")

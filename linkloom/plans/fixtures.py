@@ -142,3 +142,7 @@ def report_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (users.join(art, ["site", "url"], "left").join(lab, "url", "left").join(doc, "url", "left")
             .select("site", "url", "title", F.coalesce("is_article", F.lit(False)).alias("is_article"), "cluster",
                     F.lit(None).cast("string").alias("cluster_keywords")))
+
+
+# Crawl seeds for the frontier queries = users with a signup of value >= 300.
+SEED_RULE = ("signup", 300.0)

@@ -649,3 +649,33 @@ b AS (SELECT n.url, coalesce(i.c, 0)::DOUBLE AS in_degree FROM cnodes n
 SELECT coalesce(a.url, b.url) AS url, a.in_degree AS in_degree_a, b.in_degree AS in_degree_b,
        coalesce(b.in_degree, 0.0) - coalesce(a.in_degree, 0.0) AS delta
 FROM a FULL OUTER JOIN b USING (url)"""
+
+
+# ------------------------------------------------------------------ C
+
+def frontier_sql(max_depth: int, max_pages: int, prefix: str | None) -> str:
+    parts = [f"{users_rule('seeds', FX.SEED_RULE)}",
+             "f0 AS MATERIALIZED (SELECT url, 0 AS depth FROM seeds)"]
+    seen = ["f0"]
+    for dd in range(1, max_depth + 1):
+        cond = f"AND (starts_with(CAST(e.target AS VARCHAR), {q(prefix)}) OR f.depth < 1)" if prefix else ""
+        union = " UNION ALL ".join(f"SELECT url FROM {x}" for x in seen)
+        parts.append(f"""f{dd} AS MATERIALIZED (
+  SELECT DISTINCT e.target AS url, {dd} AS depth FROM f{dd-1} f JOIN cedges e ON e.source = f.url
+  WHERE e.target NOT IN ({union}) {cond}
+    AND (SELECT count(*) FROM ({union})) < {max_pages}
+)""")
+        seen.append(f"f{dd}")
+    allv = " UNION ALL ".join(f"SELECT url, depth FROM {x}" for x in seen)
+    parts.append(f"fr AS (SELECT url, depth, row_number() OVER (ORDER BY depth, url) AS rk FROM ({allv}))")
+    return ",\n".join(parts)
+
+
+@oracle("frontier_depths")
+def _():
+    return f"WITH {click_ctes()}, {frontier_sql(2, 100, None)} SELECT url, depth FROM fr WHERE rk <= 100 AND url IN (SELECT url FROM cnodes)"
+
+
+@oracle("frontier_focus")
+def _():
+    return f"WITH {click_ctes()}, {frontier_sql(3, 1000, '1')} SELECT url, depth FROM fr WHERE rk <= 1000 AND url IN (SELECT url FROM cnodes)"
