@@ -426,3 +426,42 @@ def frontier_focus(spark, d):
     seeds = FX.users_with(spark, d, FX.SEED_RULE)
     out = FR.frontier(links, seeds, stored=FX.click_nodes(spark, d), max_depth=3, max_pages=1000, focus_prefix="1")
     return out.select("url", "depth")
+
+
+# ------------------------------------------------------------------ MLlib: rows-only (no SQL oracle)
+
+from linkloom.operators import clustering as K  # noqa: E402
+
+
+@query("kmeans")
+def kmeans(spark, d):
+    return K.kmeans(FX.vectors(spark, d), k=7, restarts=10).select("url", "cluster")
+
+
+@query("recluster")
+def recluster(spark, d):
+    v = FX.vectors(spark, d)
+    return K.recluster(v, v.select("site", "url", "cluster"), k=7, restarts=3).select("url", "cluster")
+
+
+@query("term_svd")
+def term_svd(spark, d):
+    docs = FX.labeled_english_docs(spark, d)
+    tf = TF.term_counts(docs)
+    w = TF.tfidf(docs, tf=tf, max_features=10000)
+    sv = K.term_svd(w, TF.vocabulary(tf, max_features=10000))
+    return sv.select("url", F.size("svd").alias("dims"))
+
+
+@query("hybrid_vectors")
+def hybrid_vectors(spark, d):
+    docs = FX.labeled_english_docs(spark, d)
+    tf = TF.term_counts(docs)
+    sv = K.term_svd(TF.tfidf(docs, tf=tf, max_features=10000), TF.vocabulary(tf, max_features=10000))
+    h = FX.vectors(spark, d).join(sv, ["site", "url"]).select("site", "url", V.hybrid(F.col("vec"), F.col("svd"), 0.5).alias("h"))
+    return h.select("url", F.size("h").alias("dims"), F.round(V.norm(F.col("h")), 6).alias("norm"))
+
+
+@query("layout_2d")
+def layout_2d(spark, d):
+    return K.layout_2d(FX.vectors(spark, d)).select("url", "x", "y")
