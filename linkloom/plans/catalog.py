@@ -465,3 +465,32 @@ def hybrid_vectors(spark, d):
 @query("layout_2d")
 def layout_2d(spark, d):
     return K.layout_2d(FX.vectors(spark, d)).select("url", "x", "y")
+
+
+# ------------------------------------------------------------------ A: sitemaps over sitemaps derived from pages
+
+from linkloom.sources import sitemaps as SM  # noqa: E402
+
+SITEMAP_CHUNK = 100
+
+
+def derived_sitemaps(spark, d):
+    """Per site (registered domain): urlset documents of up to SITEMAP_CHUNK
+    pages (page_id order) and one sitemap index listing them."""
+    p = FX.pages(spark, d).withColumn("chunk", F.floor(F.col("page_id") / SITEMAP_CHUNK).cast("long"))
+    sm_url = F.concat(F.lit("https://"), F.col("site"), F.lit("/sitemap-"), F.col("chunk").cast("string"), F.lit(".xml"))
+    urlsets = SM.sitemap_xml(p.select("site", sm_url.alias("sitemap_url"), F.col("page_id").alias("ord"),
+                                      F.col("url").alias("loc")), "urlset")
+    index_entries = p.select("site", "chunk").distinct().select(
+        "site", F.concat(F.lit("https://"), F.col("site"), F.lit("/sitemap.xml")).alias("sitemap_url"),
+        F.col("chunk").alias("ord"), sm_url.alias("loc"))
+    return urlsets.unionByName(SM.sitemap_xml(index_entries, "sitemapindex"))
+
+
+@query("sitemap_urls")
+def sitemap_urls(spark, d):
+    docs = derived_sitemaps(spark, d)
+    domains = FX.pages(spark, d).select("site", F.col("site").alias("domain")).distinct()
+    out = SM.sitemap_urls(docs, domains, max_urls=5000)
+    roots = out.filter(F.col("doc").endswith("/sitemap.xml"))
+    return roots.select(F.col("doc").alias("root"), "url", "pos")

@@ -679,3 +679,12 @@ def _():
 @oracle("frontier_focus")
 def _():
     return f"WITH {click_ctes()}, {frontier_sql(3, 1000, '1')} SELECT url, depth FROM fr WHERE rk <= 1000 AND url IN (SELECT url FROM cnodes)"
+
+
+# ------------------------------------------------------------------ A
+
+@oracle("sitemap_urls")
+def _():
+    return f"""WITH p AS (SELECT {SITE_DOMAIN} AS site, url, page_id FROM pages)
+SELECT 'https://' || site || '/sitemap.xml' AS root, url, row_number() OVER (PARTITION BY site ORDER BY page_id) AS pos
+FROM p"""
