@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.iterate import cut
+from linkloom.operators.joins import join_side_table
 
 
 def seeds_from(sitemap_urls: DataFrame | None, seed: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def frontier(links: DataFrame, seeds: DataFrame, stored: DataFrame | None = None
     total = level.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     for d in range(1, max_depth + 1):
         full = total.filter(F.col("n") >= max_pages).select("site")
-        src = level.join(full, "site", "left_anti")
+        src = join_side_table(level, full, ["site"], how="left_anti")
         step = src.join(arcs, ["site", "url"])
         if focus_prefix is not None:
             step = step.filter(F.col("nxt").cast("string").startswith(focus_prefix) | (F.col("depth") < 1))

@@ -36,7 +36,11 @@ def keep_internal(links: DataFrame, domains: DataFrame | None = None) -> DataFra
     """
     if domains is None:
         return links.filter(U.is_internal(F.col("href"), U.registered_domain(F.col("src"))))
-    return links.join(F.broadcast(domains), "site").filter(U.is_internal(F.col("href"), F.col("domain"))).drop("domain")
+    from linkloom.operators.joins import join_side_table
+
+    d = domains.select("site", "domain")
+    return join_side_table(links, d, ["site"], spread_key="src").filter(
+        U.is_internal(F.col("href"), F.col("domain"))).drop("domain")
 
 
 def build_nodes(pages: DataFrame, rules: U.ArticleRules | None = None) -> DataFrame:

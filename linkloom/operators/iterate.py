@@ -26,6 +26,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_count(df: DataFrame, where) -> tuple:
+    """``cut`` that also returns the number of rows matching ``where``; the count
+    job materializes the cache the checkpoint then reads."""
+    ensure_checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = held.filter(where).count()
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out, n
+
+
 class Rounds:
     """Keeps the current round checkpointed (kept for API symmetry)."""
 

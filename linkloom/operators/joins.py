@@ -29,3 +29,15 @@ def join_side_table(big: DataFrame, small: DataFrame, on: list, how: str = "inne
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread_key)), F.lit(salts)).cast("int"))
     return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")
+
+
+def site_join(big: DataFrame, small: DataFrame, n_sites: int, how: str = "inner", spread_key: str = "url",
+              max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, salts: int = 64) -> DataFrame:
+    """Join with a table that has at most one row per site, whose site count the
+    caller has already checked (``n_sites``): broadcast within the bound, salted
+    beyond it.  Used inside loops, where a count per round would cost a job."""
+    if n_sites <= max_rows:
+        return big.join(F.broadcast(small), ["site"], how)
+    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread_key)), F.lit(salts)).cast("int"))
+    return salted_big.join(salted_small, ["site", "_salt"], how).drop("_salt")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
+from linkloom.operators.joins import join_side_table
 
 
 def term_counts(docs: DataFrame, stops=None, ngram_max: int = 2) -> DataFrame:
@@ -47,7 +48,7 @@ def tfidf(docs: DataFrame, stops=None, min_df: int = 2, max_features: int | None
     voc = vocabulary(tf, min_df, max_features).select("site", "term", "df")
     n = doc_counts(docs)
     raw = (
-        tf.join(voc, ["site", "term"]).join(n, "site")
+        join_side_table(tf.join(voc, ["site", "term"]), n, ["site"])
         .withColumn("w0", F.col("tf") * (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0))
     )
     norm = F.sqrt(F.sum(F.col("w0") * F.col("w0")).over(Window.partitionBy("site", "url")))
