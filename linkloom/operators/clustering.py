@@ -74,8 +74,31 @@ def svd_components(n_docs: int, n_terms: int, cap: int = 64) -> int:
     return min(cap, max(2, min(n_docs, n_terms) - 1))
 
 
-def term_svd(weights: DataFrame, vocab: DataFrame, cap: int = 64) -> DataFrame:
-    """(site, url, term, w) + vocab(site, term, rank) -> (site, url, svd ARRAY<DOUBLE>)."""
+def term_svd(weights: DataFrame, vocab: DataFrame, cap: int = 64, method: str = "randomized") -> DataFrame:
+    """(site, url, term, w) + vocab(site, term, rank) -> (site, url, svd ARRAY<DOUBLE>).
+
+    ``randomized`` (default): range finder with 5 power iterations and 10
+    oversamples, a fixed number of Spark passes (see ``operators.svd``).
+    ``mllib``: ``IndexedRowMatrix.computeSVD`` (exact; distributed ARPACK
+    launches one job per multiply on wide matrices).
+    """
+    if method == "randomized":
+        from linkloom.operators.svd import randomized_svd_site
+
+        outs = []
+        for site in _sites(weights):
+            w = weights.filter(F.col("site") == site)
+            voc = vocab.filter(F.col("site") == site)
+            n_docs = w.select("url").distinct().count()
+            n_terms = voc.count()
+            if n_docs == 0 or n_terms == 0:
+                continue
+            k = svd_components(n_docs, n_terms, cap)
+            outs.append(randomized_svd_site(w, voc, k).select(F.lit(site).alias("site"), "url", "svd"))
+        out = outs[0]
+        for o in outs[1:]:
+            out = out.unionByName(o)
+        return out
     from pyspark.mllib.linalg import SparseVector
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 

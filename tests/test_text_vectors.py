@@ -57,3 +57,22 @@ def test_pillar_falls_back_to_all_members(spark):
     pr = spark.createDataFrame([("s", 1, 0.5), ("s", 2, 0.5)], "site string, url long, pagerank double")
     out = P.pillars(mem, sim, sim, pr).collect()
     assert len(out) == 1 and out[0].url == 2 and out[0].total_sim == 0.9
+
+
+def test_randomized_svd_matches_numpy(spark):
+    from linkloom.operators.svd import randomized_svd_site
+
+    rng = np.random.default_rng(11)
+    n, t = 40, 25
+    X = rng.random((n, 8)) @ rng.random((8, t))  # rank 8 < l: the range finder is exact
+    rows = [("s", i, f"t{j:02d}", float(X[i, j])) for i in range(n) for j in range(t) if X[i, j] != 0]
+    w = spark.createDataFrame(rows, "site string, url long, term string, w double")
+    voc = spark.createDataFrame([("s", f"t{j:02d}", j + 1) for j in range(t)], "site string, term string, rank int")
+    got = {r.url: np.array(r.svd) for r in randomized_svd_site(w, voc, k=5).collect()}
+    U, S, _ = np.linalg.svd(X, full_matrices=False)
+    want = U[:, :5] * S[:5]
+    G = np.stack([got[i] for i in range(n) if i in got])
+    W = np.stack([want[i] for i in range(n) if i in got])
+    # equal up to the sign of each component
+    for c in range(5):
+        assert min(np.abs(G[:, c] - W[:, c]).max(), np.abs(G[:, c] + W[:, c]).max()) < 1e-6
