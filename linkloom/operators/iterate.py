@@ -11,15 +11,28 @@ or per reached pair), so the write costs about as much as one shuffle.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from linkloom.session import ensure_checkpoint_dir
 
+# "table": write Parquet under spark.checkpoint.dir and read it back (columnar,
+# compressed); "rdd": Dataset.checkpoint (keeps the partitioning, row format).
+CUT_MODE = os.environ.get("LINKLOOM_CUT", "table")
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` once and return a plan-free (checkpointed) copy."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Materialize ``df`` once in the shared checkpoint folder and return a
+    plan-free copy that survives executor loss."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    if CUT_MODE == "table":
+        path = f"{root}/tables/{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = held.checkpoint(eager=True)
     held.unpersist()
@@ -27,8 +40,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_count(df: DataFrame, where) -> tuple:
-    """``cut`` that also returns the number of rows matching ``where``; the count
-    job materializes the cache the checkpoint then reads."""
+    """``cut`` that also returns the number of rows matching ``where``."""
+    if CUT_MODE == "table":
+        out = cut(df)
+        return out, out.filter(where).count()
     ensure_checkpoint_dir(df.sparkSession)
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = held.filter(where).count()
