@@ -42,10 +42,9 @@ def _flat(pdf: pd.DataFrame):
 
 def _times(docs: DataFrame, m: np.ndarray, url_type: str) -> DataFrame:
     """(url, y = x_doc @ m) for every document; NumPy per Arrow batch."""
-    bm = docs.sparkSession.sparkContext.broadcast(m)
+    mm = np.ascontiguousarray(m)  # shipped with the task closure (T x l, bounded by the vocabulary cap)
 
     def run(it):
-        mm = bm.value
         for pdf in it:
             rows, idx, w = _flat(pdf)
             out = np.zeros((len(pdf), mm.shape[1]))
@@ -72,10 +71,9 @@ def _gram(y: DataFrame, l: int) -> np.ndarray:
 def _t_times(docs: DataFrame, y: DataFrame, t: int, l: int, rmat: np.ndarray | None = None) -> np.ndarray:
     """X^T (Y R): per-partition partial T x l sums, reduced by term in Spark,
     the bounded T x l result collected."""
-    br = docs.sparkSession.sparkContext.broadcast(rmat if rmat is not None else np.eye(l))
+    r = rmat if rmat is not None else np.eye(l)
 
     def run(it):
-        r = br.value
         acc = np.zeros((t, l))
         for pdf in it:
             if not len(pdf):
@@ -133,10 +131,9 @@ def randomized_svd_site(weights: DataFrame, vocab: DataFrame, k: int, oversample
 
 
 def _times_rows(y: DataFrame, m: np.ndarray, url_type: str) -> DataFrame:
-    bm = y.sparkSession.sparkContext.broadcast(m)
+    mm = np.ascontiguousarray(m)
 
     def run(it):
-        mm = bm.value
         for pdf in it:
             ys = np.stack(pdf["y"].to_numpy()) if len(pdf) else np.zeros((0, mm.shape[0]))
             yield pd.DataFrame({"url": pdf["url"], "svd": list(ys @ mm)})

@@ -42,17 +42,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     never override it.  Only when it is unset (tests, local runs) do we pick a
     fresh local folder.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None and hasattr(sc, "getCheckpointDir") else None
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="linkloom-ckpt-", dir=os.environ.get("LINKLOOM_SCRATCH", "/tmp"))
-    sc.setCheckpointDir(conf_dir)
+        conf_dir = _LOCAL_DIRS.get("dir") or tempfile.mkdtemp(
+            prefix="linkloom-ckpt-", dir=os.environ.get("LINKLOOM_SCRATCH", "/tmp"))
+        _LOCAL_DIRS["dir"] = conf_dir
+    if sc is not None:
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
+_LOCAL_DIRS: dict = {}
+
+
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict:
     """Read the given parquet tables and register them as temp views."""
     out = {}
