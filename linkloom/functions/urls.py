@@ -42,6 +42,11 @@ MISSING_KEY_EXCLUDE = [
     "/page/", "/archive", "/guides/", "/about/", "/contact/", "/privacy/", "/terms/",
 ]
 
+# Title rules declared in the site config (opt-in, B12): words that
+# mark a listing title, and the minimum title length.
+DEFAULT_TITLE_EXCLUDE = ["blog", "author", "tag", "category", "search", "page"]
+DEFAULT_MIN_TITLE_LENGTH = 10
+
 # Pillar-candidate exclusion (listing / non-content pages).
 LISTING_CONTAINS_RE = (
     r"/author/|/authors/|/tag/|/tags/|/categories/|/category/|/archive|/guides"

@@ -494,3 +494,36 @@ def sitemap_urls(spark, d):
     out = SM.sitemap_urls(docs, domains, max_urls=5000)
     roots = out.filter(F.col("doc").endswith("/sitemap.xml"))
     return roots.select(F.col("doc").alias("root"), "url", "pos")
+
+
+# ------------------------------------------------------------------ K5, H7 heads, B12 title rules
+
+@query("article_keywords")
+def article_keywords(spark, d):
+    docs = FX.labeled_english_docs(spark, d)
+    kw = TF.doc_keywords(TF.tfidf(docs), k=20)
+    title = F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80)
+    j = docs.select("site", "url", "cluster", title.alias("title")).join(kw, ["site", "url"])
+    return j.select("url", "title", "cluster", TF.keyword_string(F.col("keywords")).alias("keywords_top"))
+
+
+@query("keywords_head")
+def keywords_head(spark, d):
+    kw = TF.doc_keywords(TF.tfidf(FX.english_docs(spark, d)), k=20)
+    kw = kw.select("site", "url", TF.keyword_string(F.col("keywords")).alias("keywords"))
+    return R.head(kw, [F.asc("url")], 50).select("url", "keywords")
+
+
+@query("recs_head")
+def recs_head(spark, d):
+    vecs, edges = _vecs_and_click_edges(spark, d)
+    recs = S.recommend_links(vecs, edges, top_n=3, min_sim=0.25)
+    return R.head(recs, [F.asc("source_url"), F.desc("similarity"), F.asc("target_url")], 100).select(
+        "source_url", "target_url", "similarity")
+
+
+@query("title_flags")
+def title_flags(spark, d):
+    rules = U.ArticleRules(title_exclude=U.DEFAULT_TITLE_EXCLUDE, min_title_length=U.DEFAULT_MIN_TITLE_LENGTH)
+    p = FX.pages(spark, d).select("url", H.extract_title(F.col("html")).alias("title"))
+    return p.select("url", U.title_ok(F.col("title"), rules).alias("title_ok"))

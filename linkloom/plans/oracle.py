@@ -688,3 +688,31 @@ def _():
     return f"""WITH p AS (SELECT {SITE_DOMAIN} AS site, url, page_id FROM pages)
 SELECT 'https://' || site || '/sitemap.xml' AS root, url, row_number() OVER (PARTITION BY site ORDER BY page_id) AS pos
 FROM p"""
+
+
+# ------------------------------------------------------------------ K5, H7, B12
+
+@oracle("article_keywords")
+def _():
+    return f"""WITH {tfidf_ctes(LABELED_DOCS)}
+SELECT l.url, substring(split_part(l.text, chr(10), 1), 1, 80) AS title, l.cluster,
+       array_to_string(list(k.term ORDER BY k.rk), '; ') AS keywords_top
+FROM tdocs l JOIN dkw k USING (url) GROUP BY l.url, l.text, l.cluster"""
+
+
+@oracle("keywords_head")
+def _():
+    return f"""WITH {tfidf_ctes(EN_DOCS)}
+SELECT url, array_to_string(list(term ORDER BY rk), '; ') AS keywords FROM dkw GROUP BY url ORDER BY url LIMIT 50"""
+
+
+@oracle("recs_head")
+def _():
+    return f"SELECT source_url, target_url, similarity FROM ({_recommend(0.25)}) ORDER BY source_url, similarity DESC, target_url LIMIT 100"
+
+
+@oracle("title_flags")
+def _():
+    t = f"lower(coalesce({title('html')}, ''))"
+    conds = " AND ".join(f"NOT contains({t}, {q(w)})" for w in U.DEFAULT_TITLE_EXCLUDE)
+    return f"SELECT url, (length({t}) >= {U.DEFAULT_MIN_TITLE_LENGTH} AND {conds}) AS title_ok FROM pages"
