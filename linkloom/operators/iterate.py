@@ -39,6 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def partitions_for(spark, rows: int, rows_per_partition: int = 250_000) -> int:
+    """Partition count for a table of ``rows`` rows: about ``rows_per_partition``
+    rows each, at most ``spark.sql.shuffle.partitions`` — small loop tables do
+    not pay for hundreds of near-empty tasks every round."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, -(-rows // rows_per_partition)))
+
+
 def cut_count(df: DataFrame, where) -> tuple:
     """``cut`` that also returns the number of rows matching ``where``."""
     if CUT_MODE == "table":
