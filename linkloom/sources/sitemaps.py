@@ -88,3 +88,14 @@ def sitemap_xml(entries: DataFrame, kind: str = "urlset") -> DataFrame:
                                  lambda s: F.concat(F.lit(f"<{item}><loc>"), s["x"], F.lit(f"</loc></{item}>"))), "").alias("inner"))
     return body.select("site", "sitemap_url", F.concat(
         F.lit(f'<?xml version="1.0" encoding="UTF-8"?><{kind} xmlns="{SITEMAP_NS}">'), F.col("inner"), F.lit(f"</{kind}>")).alias("body"))
+
+
+def read_sitemap_docs(spark, path: str, site: str | None = None) -> DataFrame:
+    """A10: sitemap files -> (site, sitemap_url, body).  Each file is one
+    document; ``.gz`` files are decompressed by Spark's codecs on read.  The
+    document name is the file name, so index ``loc`` entries can point at files
+    in the same folder."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("body"),
+                                                       F.input_file_name().alias("file"))
+    name = F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"\.gz$", "")
+    return raw.select((F.lit(site) if site else F.lit("")).alias("site"), name.alias("sitemap_url"), "body")

@@ -62,3 +62,25 @@ def test_sitemap_index_cap_and_dedupe(spark):
 
 def test_choose_k():
     assert [choose_k(n) for n in (3, 5, 6, 20, 21, 60, 61, 100, 400)] == [1, 1, 2, 2, 3, 3, 7, 10, 20]
+
+
+def test_read_gzipped_sitemap_files(spark, tmp_path):
+    import gzip
+
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    (tmp_path / "index.xml").write_text(f"<sitemapindex {ns}><sitemap><loc>posts.xml</loc></sitemap></sitemapindex>")
+    with gzip.open(tmp_path / "posts.xml.gz", "wt") as f:
+        f.write(f"<urlset {ns}><url><loc>https://x.com/a</loc></url><url><loc>https://x.com/b</loc></url></urlset>")
+    docs = SM.read_sitemap_docs(spark, str(tmp_path), site="s")
+    out = SM.sitemap_urls(docs, max_urls=10).filter("doc = 'index.xml'").orderBy("pos").collect()
+    assert [r.url for r in out] == ["https://x.com/a", "https://x.com/b"]
+
+
+def test_seeds_sitemap_first_then_seed(spark):
+    from linkloom.operators.frontier import seeds_from
+
+    sm = spark.createDataFrame([("s", "https://x.com/b", 1), ("s", "https://x.com/a", 2), ("s", "https://x.com/b", 3)],
+                               "site string, url string, pos long")
+    seed = spark.createDataFrame([("s", "https://x.com/"), ("s", "https://x.com/a")], "site string, url string")
+    got = sorted(seeds_from(sm, seed).collect(), key=lambda r: (r.grp, r.pos))
+    assert [r.url for r in got] == ["https://x.com/b", "https://x.com/a", "https://x.com/"]
