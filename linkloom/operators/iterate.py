@@ -58,16 +58,3 @@ def cut_count(df: DataFrame, where) -> tuple:
     out = held.checkpoint(eager=True)
     held.unpersist()
     return out, n
-
-
-class Rounds:
-    """Keeps the current round checkpointed (kept for API symmetry)."""
-
-    def __init__(self, every: int = 1):
-        self.every = every
-
-    def keep(self, df: DataFrame, step: int) -> DataFrame:
-        return cut(df)
-
-    def release(self):
-        pass
