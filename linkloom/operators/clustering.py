@@ -38,6 +38,16 @@ def _sites(df: DataFrame) -> list:
     return [r.site for r in df.select("site").distinct().collect()]
 
 
+def _union(outs: list, like: DataFrame, schema: str) -> DataFrame:
+    """Union of per-site results; no site -> an empty frame with ``schema``."""
+    if not outs:
+        return like.sparkSession.createDataFrame([], schema)
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
+
+
 def kmeans(vecs: DataFrame, k: int | None = 7, seed: int = 42, restarts: int = 10, max_iter: int = 100) -> DataFrame:
     """(site, url, vec) -> (site, url, cluster)."""
     outs = []
@@ -55,10 +65,7 @@ def kmeans(vecs: DataFrame, k: int | None = 7, seed: int = 42, restarts: int = 1
             if cost is None or c < cost:
                 best, cost = model, c
         outs.append(best.transform(sub).select("site", "url", F.col("prediction").cast("int").alias("cluster")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    return _union(outs, vecs, f"site string, url {vecs.schema['url'].dataType.simpleString()}, cluster int")
 
 
 def recluster(vecs: DataFrame, current: DataFrame, k: int = 7, seed: int = 42, restarts: int = 10) -> DataFrame:
@@ -95,10 +102,7 @@ def term_svd(weights: DataFrame, vocab: DataFrame, cap: int = 64, method: str =
                 continue
             k = svd_components(n_docs, n_terms, cap)
             outs.append(randomized_svd_site(w, voc, k).select(F.lit(site).alias("site"), "url", "svd"))
-        out = outs[0]
-        for o in outs[1:]:
-            out = out.unionByName(o)
-        return out
+        return _union(outs, weights, f"site string, url {weights.schema['url'].dataType.simpleString()}, svd array<double>")
     from pyspark.mllib.linalg import SparseVector
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
@@ -123,10 +127,7 @@ def term_svd(weights: DataFrame, vocab: DataFrame, cap: int = 64, method: str =
         us = svd.U.rows.map(lambda r: (r.index, [float(a * b) for a, b in zip(r.vector.toArray(), s)]))
         udf_ = spark.createDataFrame(us, "rid long, svd array<double>")
         outs.append(rows.select("url", "rid").join(udf_, "rid").select(F.lit(site).alias("site"), "url", "svd"))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    return _union(outs, weights, f"site string, url {weights.schema['url'].dataType.simpleString()}, svd array<double>")
 
 
 def layout_2d(vecs: DataFrame) -> DataFrame:
@@ -137,7 +138,4 @@ def layout_2d(vecs: DataFrame) -> DataFrame:
         model = PCA(k=2, inputCol="features", outputCol="xy").fit(sub)
         xy = model.transform(sub).select("site", "url", vector_to_array("xy").alias("xy"))
         outs.append(xy.select("site", "url", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    return _union(outs, vecs, f"site string, url {vecs.schema['url'].dataType.simpleString()}, x double, y double")

@@ -84,3 +84,13 @@ def test_seeds_sitemap_first_then_seed(spark):
     seed = spark.createDataFrame([("s", "https://x.com/"), ("s", "https://x.com/a")], "site string, url string")
     got = sorted(seeds_from(sm, seed).collect(), key=lambda r: (r.grp, r.pos))
     assert [r.url for r in got] == ["https://x.com/b", "https://x.com/a", "https://x.com/"]
+
+
+def test_per_site_fits_with_no_sites(spark):
+    from linkloom.operators import clustering as K
+
+    empty = spark.createDataFrame([], "site string, url long, vec array<double>")
+    assert K.kmeans(empty).count() == 0 and K.layout_2d(empty).count() == 0
+    w = spark.createDataFrame([], "site string, url long, term string, w double")
+    v = spark.createDataFrame([], "site string, term string, rank int")
+    assert K.term_svd(w, v).count() == 0
