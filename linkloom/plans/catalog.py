@@ -164,7 +164,7 @@ def flagship(spark, d):
     (the embedding label of the same id, when present)."""
     nodes, edges = FX.click_nodes(spark, d), FX.click_edges(spark, d)
     c = C.centrality(nodes, edges)
-    labels = FX.vectors(spark, d).select("site", "url", "cluster").withColumn("site", F.lit(FX.CLICK_SITE))
+    labels = FX.vectors(spark, d).select("site", "url", "cluster").withColumn("site", FX.site_of("url", FX.CLICK_SITE))
     out = c.join(labels, ["site", "url"], "left")
     return out.select("url", "cluster", *[r6(m).alias(m) for m in ("pagerank", "betweenness", "closeness", "in_degree", "out_degree")])
 
@@ -215,7 +215,7 @@ from linkloom.operators import similarity as S  # noqa: E402
 
 def _vecs_and_click_edges(spark, d):
     vecs = FX.vectors(spark, d)
-    edges = FX.click_edges(spark, d).withColumn("site", F.lit("docs"))
+    edges = FX.click_edges(spark, d).withColumn("site", FX.site_of("source", FX.DOC_SITE))
     return vecs, edges
 
 
@@ -270,7 +270,7 @@ def pillars(spark, d):
     w = TF.tfidf(mem)
     tsim = TF.centroid_similarity(w, mem)
     ck = TF.cluster_keywords(TF.doc_keywords(w, k=20), mem, k=15)
-    pr = C.pagerank(FX.click_nodes(spark, d), FX.click_edges(spark, d)).withColumn("site", F.lit("docs"))
+    pr = C.pagerank(FX.click_nodes(spark, d), FX.click_edges(spark, d)).withColumn("site", FX.site_of("url", FX.DOC_SITE))
     out = P.pillars(mem, sem, tsim, pr, ck)
     return out.select("cluster", "url", "title", r6("pagerank").alias("pagerank"), "semantic_sim", "tfidf_sim",
                       "total_sim", "cluster_keywords", "excerpt")
@@ -300,7 +300,7 @@ def overview(spark, d):
 @query("cluster_distribution")
 def cluster_distribution(spark, d):
     nodes = FX.report_nodes(spark, d).drop("cluster_keywords")
-    kw = _labeled_kw(spark, d).select(F.lit(FX.CLICK_SITE).alias("site"), "cluster",
+    kw = _labeled_kw(spark, d).select(FX.site_of("cluster", FX.CLICK_SITE).alias("site"), "cluster",
                                       F.array_join("keywords", ", ").alias("cluster_keywords"))
     nodes = nodes.join(kw, ["site", "cluster"], "left")
     return R.cluster_distribution(nodes).select("cluster", "count", "keywords")

@@ -22,6 +22,18 @@ from linkloom.functions import urls as U
 from linkloom.operators.sequence import next_in_order
 
 CLICK_SITE = "clicks"
+DOC_SITE = "docs"
+
+
+def site_of(key: str, name: str):
+    """The site of a single-site fixture: ``name`` for every keyed row.
+
+    Real tables carry a site column (e.g. the registered domain); a literal
+    would let the optimizer fold every join keyed by site into a condition-less
+    (nested-loop) join.  Deriving it from the row key keeps it a column, so
+    site-keyed joins plan as they do with many sites.
+    """
+    return F.when(F.col(key).isNotNull(), F.lit(name))
 
 # The subset rules above.
 CRAWLED_RULE = ("purchase", 100.0)
@@ -72,14 +84,14 @@ def click_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read(spark, sf_dir, "events").filter(F.col("event_type") == "click").select("ts", "event_id", "user_id")
     seq = next_in_order(ev, ["ts", "event_id"], "user_id", "next_user")
     return seq.filter(F.col("next_user").isNotNull()).select(
-        F.lit(CLICK_SITE).alias("site"), F.col("user_id").alias("src"), F.col("next_user").alias("href"),
+        site_of("user_id", CLICK_SITE).alias("site"), F.col("user_id").alias("src"), F.col("next_user").alias("href"),
         F.col("event_id").alias("pos"),
     )
 
 
 def click_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read(spark, sf_dir, "events").filter(F.col("event_type") == "click")
-    return ev.select(F.lit(CLICK_SITE).alias("site"), F.col("user_id").alias("url")).distinct()
+    return ev.select(site_of("user_id", CLICK_SITE).alias("site"), F.col("user_id").alias("url")).distinct()
 
 
 def click_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +105,7 @@ def users_with(spark: SparkSession, sf_dir: str, rule) -> DataFrame:
     etype, minv = rule
     ev = read(spark, sf_dir, "events")
     return ev.filter((F.col("event_type") == etype) & (F.col("value") >= minv)).select(
-        F.lit(CLICK_SITE).alias("site"), F.col("user_id").alias("url")
+        site_of("user_id", CLICK_SITE).alias("site"), F.col("user_id").alias("url")
     ).distinct()
 
 
@@ -106,12 +118,12 @@ def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def english_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").filter(F.col("lang") == "en")
-    return d.select(F.lit("docs").alias("site"), F.col("doc_id").alias("url"), "text")
+    return d.select(site_of("doc_id", DOC_SITE).alias("site"), F.col("doc_id").alias("url"), "text")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
-    return e.select(F.lit("docs").alias("site"), F.col("vec_id").alias("url"),
+    return e.select(site_of("vec_id", DOC_SITE).alias("site"), F.col("vec_id").alias("url"),
                     F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("cluster"))
 
 
@@ -129,7 +141,7 @@ def article_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("url"), F.col("label").alias("cluster"),
                                                   F.col("embedding").cast("array<double>").alias("vec"))
     j = d.join(e, "url")
-    return j.select(F.lit("docs").alias("site"), "url", "cluster", "vec", "text",
+    return j.select(site_of("url", DOC_SITE).alias("site"), "url", "cluster", "vec", "text",
                     F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80).alias("title"))
 
 
