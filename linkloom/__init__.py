@@ -6,4 +6,12 @@ function ``f(df, ...) -> DataFrame``; many sites run in one job keyed by a
 ``site`` column.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel by value, so workers need not have this
+# package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

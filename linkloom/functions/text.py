@@ -11,9 +11,7 @@
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
+from importlib import resources
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,19 +19,11 @@ from pyspark.sql import functions as F
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
 
-@functools.lru_cache(maxsize=8)
-def spark_stop_words(language: str = "english") -> tuple:
-    """Spark's built-in stop word list, read from the MLlib jar (no JVM needed)."""
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if jars:
-        with zipfile.ZipFile(jars[0]) as z:
-            words = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8").split()
-        return tuple(words)
-    from pyspark.ml.feature import StopWordsRemover  # needs an active SparkContext
-
-    return tuple(StopWordsRemover.loadDefaultStopWords(language))
+@functools.lru_cache(maxsize=1)
+def spark_stop_words() -> tuple:
+    """Spark's built-in English list, shipped as package data: reading it needs
+    neither a session nor the location of Spark's jars."""
+    return tuple(resources.files("linkloom.functions").joinpath("stop_words_english.txt").read_text("utf-8").split())
 
 
 def _c(col) -> Column:

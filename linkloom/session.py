@@ -39,8 +39,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; we read it and
-    never override it.  Only when it is unset (tests, local runs) do we pick a
-    fresh local folder.
+    never override it.  Only on a local master, where driver and executors are one
+    process, do we pick a fresh folder when it is unset; elsewhere that folder
+    would be a different disk on each machine, so it is an error.
     """
     try:
         sc = spark.sparkContext
@@ -51,6 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = _LOCAL_DIRS.get("dir") or tempfile.mkdtemp(
             prefix="linkloom-ckpt-", dir=os.environ.get("LINKLOOM_SCRATCH", "/tmp"))
         _LOCAL_DIRS["dir"] = conf_dir
