@@ -6,11 +6,23 @@ Each applies its operator, with production parameters, to the whole table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkloom.llm import content_sort, mixing
+from linkloom.llm import content_sort, mixing, toxicity
 from linkloom.session import table
 
 
+def remainder(col: str = "doc_id"):
+    """crc32 of the identifier as text, modulo 5: the folds that the contracts name."""
+    return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(5))
+
+
+def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.filter(remainder() != 0))
+    return toxicity.score(docs.withColumn("held_out", remainder() == 0), model, keep=("held_out",))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -19,7 +31,7 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_mix_sources, op10_content_sort)}
+QUERIES = {f.__name__: f for f in (op2_toxic_passages, op8_mix_sources, op10_content_sort)}
 
 ORACLE = {
     "op8_mix_sources": """
