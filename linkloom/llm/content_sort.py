@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from linkloom.operators.iterate import cut
 
 SAMPLE_PER_PARTITION = 40
+LEAD_CHARS = 32
 
 
 def ascii_lower(text: Column) -> Column:
@@ -53,9 +54,12 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     marked = texts.withColumn("sha", F.unhex(F.sha2("norm", 256))).join(F.broadcast(hot), "sha", "left")
     slice_no = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.coalesce("slices", F.lit(1)))
-    ranged = (marked.select("doc_id", "norm", "sha", F.col("slices").isNotNull().alias("sliced"), slice_no.alias("slice"))
-              .repartitionByRange(n, "norm", "slice"))
-    run = Window.partitionBy("norm", "slice")
+    # Splitters are rows of the sort key, so the key leads with a bounded part of the text
+    # and its digest: what the driver samples doesn't grow with the length of texts.
+    ranged = (marked.select("doc_id", "norm", "sha", F.left("norm", F.lit(LEAD_CHARS)).alias("lead"),
+                            F.col("slices").isNotNull().alias("sliced"), slice_no.alias("slice"))
+              .repartitionByRange(n, "lead", "sha", "slice"))
+    run = Window.partitionBy("lead", "sha", "slice", "norm")
     runs = cut(ranged.select(
         "doc_id", "sha", "sliced",
         F.max("doc_id").over(run).alias("run_id"), F.count(F.lit(1)).over(run).alias("run_size"),
