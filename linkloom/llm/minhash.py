@@ -15,9 +15,10 @@ pair at the very threshold about once in 10**5 and hardly any above it.
   costs as many checks as it has members.  Classes already connected need no
   further check between them; a list is looked at again only where its members
   are still in different components.
-* Skip: in short lists the remaining pairs are joined; long lists are cut into
-  blocks whose pairs are compared by whole signatures in memory, and only pairs
-  above the match threshold leave the task.
+* Skip: the lists that are still apart form clusters.  A cluster's members meet,
+  each with its whole signature and set, in one cell or, if it is large, in blocks
+  by size class; coordinates are counted in memory, pairs already connected are
+  skipped, and what leaves the task is no more than a link per member.
 
 Every link is confirmed on the full sets: 100 * shared >= 75 * union.
 
@@ -40,7 +41,7 @@ from linkloom.llm.words import Powers, mix, word_chunks
 from linkloom.operators.iterate import cut
 
 WIDTH, COORDS, MATCHES = 5, 64, 31
-SHORT_LIST, BLOCK = 32, 512
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 SIG = "sid long, doc_id long, n_shingles long, sig array<int>"
 
 
@@ -149,32 +150,76 @@ def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("u", "v", same.alias("same")).filter(F.col("same") >= MATCHES)
 
 
-def block_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of long lists (key, sid, label, size, sig, n_shingles): blocks against blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    dealt = (lists.withColumn("blocks", blocks).withColumn("mine", mine)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                     "mine", "sid", "label", "n_shingles", "sig"))
-
-    def run(table):
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        mine = table["mine"].to_numpy()
-        sid, label, n = (table[c].to_numpy() for c in ("sid", "label", "n_shingles"))
-        sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDS)
-        a, b = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        us, vs = [], []
+class Forest:
+    """Union-find over the members of one cell, started from what is connected already."""
+
+    def __init__(self, labels):
+        _, self.root = np.unique(labels, return_inverse=True)
+        self.parent = np.arange(len(self.root))
+
+    def find(self, i: int) -> int:
+        i, p = int(self.root[i]), self.parent
+        while p[i] != i:
+            p[i] = p[p[i]]
+            i = int(p[i])
+        return i
+
+    def join(self, i: int, j: int):
+        self.parent[self.find(i)] = self.find(j)
+
+
+def linked_in_cell(table: pa.Table) -> pa.Table:
+    """Confirmed links of one cell, enough to connect what its links connect."""
+    table = table.sort_by("cluster")
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    sid, label, n, mine, home, cluster = (table[c].to_numpy() for c in ("sid", "label", "n_shingles", "mine", "home", "cluster"))
+    sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDS)
+    sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+    forest, out = Forest(label), []
+    bounds = np.flatnonzero(np.concatenate(([True], cluster[1:] != cluster[:-1], [True])))
+    for f, t in zip(bounds[:-1], bounds[1:]):
+        here = np.arange(f, t)
+        a, b = here[mine[f:t] == i], here[mine[f:t] == j]
         for x in a:
             y = b[(b > x) if i == j else slice(None)]
-            y = y[(label[y] != label[x]) & (100 * np.minimum(n[x], n[y]) >= 75 * np.maximum(n[x], n[y]))]
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= MATCHES]
-            us.append(np.maximum(sid[x], sid[y]))
-            vs.append(np.minimum(sid[x], sid[y]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"u": np.concatenate(us or none), "v": np.concatenate(vs or none)})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
+            # a pair of two visitors belongs to the next size class
+            y = y[(label[y] != label[x]) & (home[y] | home[x]) & (100 * np.minimum(n[x], n[y]) >= 75 * np.maximum(n[x], n[y]))]
+            same = (sig[y] == sig[x]).sum(axis=1)
+            y, same = y[same >= MATCHES], same[same >= MATCHES]
+            for k in y[np.argsort(-same, kind="stable")].tolist():
+                if forest.find(x) != forest.find(k):
+                    shared = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
+                    if 100 * shared >= 75 * (n[x] + n[k] - shared):
+                        forest.join(x, k)
+                        out.append((int(sid[x]), int(sid[k])))
+    u, v = zip(*out) if out else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def cells(members: DataFrame) -> DataFrame:
+    """Members (sid, cluster, label, n_shingles, sig, set) dealt to cells that together
+    hold every pair of a cluster whose sizes allow a link.  Small clusters share a
+    cell.  A large one is split by size class (a factor of 4/3 each; a member visits
+    the class below its own) and then into blocks that meet two by two."""
+    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
+    small = (F.col("members") <= BLOCK) & (F.col("shingles") <= BLOCK_SHINGLES)
+    size = cut(size.withColumn("small", small))
+    together = size.filter("small").agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0] // BLOCK_SHINGLES + 1
+    rows = members.join(size.select("cluster", "small"), "cluster")
+    plain = rows.filter("small").withColumn("cell", F.pmod(F.xxhash64("cluster"), F.lit(together))).select(
+        "cell", F.lit(-1).alias("class"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("mine"), F.lit(True).alias("home"),
+        "cluster", "sid", "label", "n_shingles", "sig", "set")
+    own = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(np.log(4 / 3)))).cast("int")
+    big = rows.filter("not small").withColumn("own", own)
+    big = big.withColumn("class", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("home", F.col("own") == F.col("class"))
+    of_class = big.groupBy("cluster", "class").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        F.max("home").alias("any")).filter("any")
+    big = big.join(of_class, ["cluster", "class"]).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.col("cluster").alias("cell"), "class", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "home",
+        "cluster", "sid", "label", "n_shingles", "sig", "set")
+    return plain.unionByName(big)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,20 +243,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = prefix.join(least, "key").filter("sid <> v").select(F.col("sid").alias("u"), "v").distinct()
     choice = F.struct(F.when(F.col("same") >= COORDS * 13 // 16, 0).otherwise(COORDS - F.col("same")), F.col("v"))
     first = cut(agreeing(first, reps).groupBy("u").agg(F.min_by("v", choice).alias("v")))
-    links = cut(confirmed(first, _sets_of(first, reps, texts)))
+    sets = _sets_of(prefix.join(least, "key").filter("sid <> v"), reps, texts)
+    links = cut(confirmed(first, sets))
 
-    # what is still apart within a list
+    # what is still apart within a list: clusters of such lists, compared whole
     label = components(links)
     lists = prefix.join(label.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    apart = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    lists = cut(lists.join(apart.select("key", "size"), "key"))
-    short = lists.filter(F.col("size") <= SHORT_LIST)
-    other = short.select("key", F.col("sid").alias("v"), F.col("label").alias("other"))
-    near = agreeing(short.withColumnRenamed("sid", "u").join(other, "key").filter("u > v AND label <> other").select("u", "v").distinct(), reps)
-    far = block_pairs(lists.filter(F.col("size") > SHORT_LIST).join(reps.select("sid", "n_shingles", "sig"), "sid"))
-    more = cut(near.select("u", "v").unionByName(far).distinct().join(first.select("u", "v"), ["u", "v"], "left_anti"))
+    apart = lists.groupBy("key").agg(F.min("sid").alias("v"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    lists = cut(lists.join(apart.select("key", "v"), "key").select("sid", "label", "v").distinct())
+    cluster = components(lists.select(F.col("sid").alias("u"), "v"))
+    members = (lists.select("sid", "label").distinct().join(cluster.select(F.col("node").alias("sid"), F.col("label").alias("cluster")), "sid")
+               .join(reps.select("sid", "n_shingles", "sig"), "sid").join(sets, "sid"))
+    more = cut(cells(members).groupBy("cell", "class", "i", "j").applyInArrow(linked_in_cell, "u long, v long"))
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, _sets_of(more, reps, texts)))
+        links = links.unionByName(more)
         label = components(links)
 
     # smallest identifier of each component, then of each document
@@ -227,8 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _sets_of(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """(sid, set) of all classes in ``pairs``, made again from one document of each."""
-    ids = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
+    """(sid, set) of all classes in ``pairs`` (sid, v), made again from one document of each."""
+    ids = pairs.select("sid").unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
     wanted = cut(reps.select("sid", F.col("rep").alias("doc_id")).join(ids, "sid", "left_semi"))
     made = full_sets(texts.join(wanted.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"))
     return cut(made.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
