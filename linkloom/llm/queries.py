@@ -8,10 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import content_sort, minhash, mixing, packing, toxicity
+from linkloom.llm import bloom_lm, caps, content_sort, minhash, mixing, packing, toxicity, url_rules
 from linkloom.session import table
 
 
+# Fixed values of the contract: host, path, verdict.
+SITE_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -33,19 +43,34 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = bloom_lm.fit(docs.filter(remainder() != 1))
+    return bloom_lm.score(docs.withColumn("held_out", remainder() == 1), model, keep=("held_out",))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), SITE_RULES)
+
+
 def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxic_passages, op3_minhash_near_dedup, op6_pack_sequences, op8_mix_sources, op10_content_sort)}
+QUERIES = {f.__name__: f for f in (op2_toxic_passages, op3_minhash_near_dedup, op5_spherical_caps, op6_pack_sequences,
+                                 op7_bloom_lm, op8_mix_sources, op9_url_rules, op10_content_sort)}
 
 ORACLE = {
     "op3_minhash_near_dedup": """
@@ -63,6 +88,17 @@ edge AS MATERIALIZED (SELECT u, v FROM link UNION SELECT v, u FROM link),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, edge.v FROM reach JOIN edge ON reach.b = edge.u)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op5_spherical_caps": """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL),
+link AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, link.v FROM reach JOIN link ON reach.b = link.u)
+SELECT e.vec_id, coalesce(l.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id
+LEFT JOIN (SELECT u, count(*) AS n FROM link GROUP BY u) l ON l.u = e.vec_id""",
     "op8_mix_sources": """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
