@@ -36,32 +36,37 @@ def ascii_lower(text: Column) -> Column:
 
 
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 partitions: int | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+                 partitions: int | None = None, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and with
+    ``carry`` the input row as struct ``row``."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.count()
-    texts = docs.select(F.col(id_col).alias("doc_id"),
-                        ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    riding = ["row"] if carry else []
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
+    sha = F.unhex(F.sha2(ascii_lower(F.col("text")), 256))
 
     stride = max(1, rows // (SAMPLE_PER_PARTITION * n))
     share = max(1.0, rows / n)
     hot = cut(
         texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(stride)) == 0)
-        .groupBy(F.unhex(F.sha2("norm", 256)).alias("sha")).agg((F.count(F.lit(1)) * stride).alias("about"))
+        .groupBy(sha.alias("sha")).agg((F.count(F.lit(1)) * stride).alias("about"))
         .filter((F.col("about") >= share / 2) & (F.col("about") >= 5 * stride))
         .select("sha", F.ceil(F.col("about") * 4 / share).cast("int").alias("slices")))
 
-    marked = texts.withColumn("sha", F.unhex(F.sha2("norm", 256))).join(F.broadcast(hot), "sha", "left")
+    marked = texts.withColumn("sha", sha).join(F.broadcast(hot), "sha", "left")
     slice_no = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.coalesce("slices", F.lit(1)))
     # Splitters are rows of the sort key, so the key leads with a bounded part of the text
     # and its digest: what the driver samples doesn't grow with the length of texts.
-    ranged = (marked.select("doc_id", "norm", "sha", F.left("norm", F.lit(LEAD_CHARS)).alias("lead"),
+    ranged = (marked.select("doc_id", *(["row"] if carry else ["text"]), "sha", ascii_lower(F.left("text", F.lit(LEAD_CHARS))).alias("lead"),
                             F.col("slices").isNotNull().alias("sliced"), slice_no.alias("slice"))
               .repartitionByRange(n, "lead", "sha", "slice"))
+    whole_text = F.coalesce(F.col("row").getField(text_col), F.lit("")) if carry else F.col("text")
+    ranged = ranged.withColumn("norm", ascii_lower(whole_text))
     run = Window.partitionBy("lead", "sha", "slice", "norm")
     runs = cut(ranged.select(
-        "doc_id", "sha", "sliced",
+        "doc_id", *riding, "sha", "sliced",
         F.max("doc_id").over(run).alias("run_id"), F.count(F.lit(1)).over(run).alias("run_size"),
         F.row_number().over(run.orderBy(F.desc_nulls_last("doc_id"))).alias("place")))
 
@@ -69,6 +74,6 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep_id = F.when(F.col("sliced"), F.col("all_id")).otherwise(F.col("run_id"))
     return (
         runs.join(F.broadcast(whole), "sha", "left")
-        .select("doc_id", keep_id.alias("keep_id"), F.coalesce("all_size", "run_size").alias("group_size"),
+        .select(*riding, "doc_id", keep_id.alias("keep_id"), F.coalesce("all_size", "run_size").alias("group_size"),
                 (F.col("doc_id").eqNullSafe(keep_id) & (F.col("place") == 1)).alias("kept"),
                 F.lower(F.hex("sha")).alias("text_sha256")))

@@ -105,16 +105,35 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
         "below", F.coalesce("below", F.lit(0).cast("long")))
 
 
+def source_key(source: Column) -> Column:
+    """Text order with null last: a leading 0 or 1 before the source's own bytes."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+
+
+def planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, most: int) -> tuple[DataFrame, DataFrame]:
+    """(sizes: doc_id, source, skey, size, h; plan: skey, source_size, target, whole, below)."""
+    source = F.col(source_col).cast("string")
+    sizes = cut(docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), source_key(source).alias("skey"),
+                            n_words(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("h")))
+    return sizes, cut(thresholds(sizes, cut(targets(sizes, weights, most))))
+
+
+def repeats(h: Column) -> Column:
+    return (F.col("whole") + F.when(h < F.col("below"), 1).otherwise(0)).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights=WEIGHTS, most: int = 3) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, repeats, taken."""
-    source = F.col(source_col).cast("string")
-    # text order with null last: a leading 0 or 1 before the source's own bytes
-    skey = F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
-    sizes = cut(docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), skey.alias("skey"),
-                            n_words(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("h")))
-    plan = cut(thresholds(sizes, cut(targets(sizes, weights, most))))
-    repeats = F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-    return sizes.join(plan, "skey").select(
-        "doc_id", "source", "size", "source_size", "target", repeats.cast("long").alias("repeats"),
-        (repeats * F.col("size")).cast("long").alias("taken"))
+    sizes, plan = planned(docs, id_col, text_col, source_col, weights, most)
+    return sizes.join(plan, "skey").withColumn("repeats", repeats(F.col("h"))).select(
+        "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights=WEIGHTS, most: int = 3) -> DataFrame:
+    """The mix itself: the input's rows and columns, each row as often as it is taken."""
+    _, plan = planned(docs, id_col, text_col, source_col, weights, most)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), hash60(F.col(id_col)).alias("h"),
+                       source_key(F.col(source_col).cast("string")).alias("skey"))
+    return rows.join(plan, "skey").select(F.explode(F.array_repeat("row", repeats(F.col("h")).cast("int"))).alias("row")).select("row.*")

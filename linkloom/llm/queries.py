@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bloom_lm, caps, content_sort, minhash, mixing, packing, toxicity, url_rules
+from linkloom.llm import bloom_lm, caps, content_sort, minhash, mixing, packing, quality, surrogates, toxicity, url_rules
 from linkloom.session import table
 
 
+# The queries' key; a deployment passes its own secret to surrogates.replace.
+SURROGATE_KEY = b"registered query"
+
 # Fixed values of the contract: host, path, verdict.
 SITE_RULES = [
     ("com", "/", "allow"),
@@ -33,6 +36,10 @@ def remainder(col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels.filter(remainder() != 0))
@@ -43,6 +50,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    net = quality.fit(docs, labels.filter(remainder() != 0))
+    return quality.score(docs.withColumn("held_out", remainder() == 0), net, keep=("held_out",))
+
+
 def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -69,7 +82,7 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxic_passages, op3_minhash_near_dedup, op5_spherical_caps, op6_pack_sequences,
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_toxic_passages, op3_minhash_near_dedup, op4_attention_quality, op5_spherical_caps, op6_pack_sequences,
                                  op7_bloom_lm, op8_mix_sources, op9_url_rules, op10_content_sort)}
 
 ORACLE = {
