@@ -1,7 +1,68 @@
-"""Corpus pipeline."""
+"""A training corpus from ``documents``, in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on every row that the one before
+kept, and returns the rows that stay with the columns of ``documents`` (the last
+one: the packed pieces).  Between stages rows are written as Parquet and read
+again, so a lost executor costs at most one stage.
+
+Defined cases are those of the operators: null texts and identifiers, empty and
+very long texts, ties, repeated rows, empty tables and other columns.  The first
+stage keeps rows with null identifiers; of rows equal in text and identifier the
+second keeps one; the third keeps them apart by text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from linkloom.llm import content_sort, minhash, mixing, packing, toxicity
+from linkloom.llm.queries import remainder, tokenizer_path
+from linkloom.operators.iterate import cut
+from linkloom.session import table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents scored 0.5 or more go.  Labels come from the same rows as in its query."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(remainder() != 0))
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    return toxicity.score(docs, model, keep=others).filter("predicted = 0").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: of equal texts the row with the largest identifier stays."""
+    return content_sort.content_sort(docs, carry=True).filter("kept").select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: of each group of near copies the row with the smallest identifier stays."""
+    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: each row as often as its source's budget takes it."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: pieces of sequences of at most 2048 tokens."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("packing", pack_sequences),
+]
+
+# SQL has no tokenizer and learns no lexicon; the tests compare with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
