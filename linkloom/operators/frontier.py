@@ -37,15 +37,18 @@ def frontier(links: DataFrame, seeds: DataFrame, stored: DataFrame | None = None
     """C1-C5 -> (site, url, depth) for the pages visited.
 
     ``links(site, src, href)``: stored out-links; ``seeds(site, url)``: depth 0;
-    ``stored(site, url)``: pages that can be fetched (C5) — others are visited
-    but yield no page and no links.  ``focus_prefix`` (C4): from depth >= 1 only
+    ``stored(site, url)``: pages that can be fetched (C5) — others yield no
+    page and no links and use up nothing of the budget.  ``focus_prefix`` (C4): from depth >= 1 only
     links whose target starts with the prefix are followed.
     """
     arcs = links.select("site", F.col("src").alias("url"), F.col("href").alias("nxt")).distinct()
     if stored is not None:
         arcs = arcs.join(stored.select("site", "url"), ["site", "url"], "left_semi")
     arcs = cut(arcs)
-    level = cut(seeds.select("site", "url").distinct().withColumn("depth", F.lit(0)))
+    def fetched(df):
+        return df if stored is None else df.join(stored.select("site", "url"), ["site", "url"], "left_semi")
+
+    level = cut(fetched(seeds.select("site", "url").distinct()).withColumn("depth", F.lit(0)))
     levels = [level]
     total = level.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     for d in range(1, max_depth + 1):
@@ -57,7 +60,7 @@ def frontier(links: DataFrame, seeds: DataFrame, stored: DataFrame | None = None
         seen = levels[0].select("site", "url")
         for lv in levels[1:]:
             seen = seen.unionByName(lv.select("site", "url"))
-        level = cut(step.select("site", F.col("nxt").alias("url")).distinct()
+        level = cut(fetched(step.select("site", F.col("nxt").alias("url")).distinct())
                     .join(seen, ["site", "url"], "left_anti").withColumn("depth", F.lit(d)))
         if level.isEmpty():
             break
@@ -68,7 +71,4 @@ def frontier(links: DataFrame, seeds: DataFrame, stored: DataFrame | None = None
     for lv in levels[1:]:
         out = out.unionByName(lv)
     w = Window.partitionBy("site").orderBy("depth", "url")
-    visited = out.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= max_pages).drop("_rk")
-    if stored is not None:
-        visited = visited.join(stored.select("site", "url"), ["site", "url"], "left_semi")
-    return visited
+    return out.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= max_pages).drop("_rk")

@@ -41,20 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def partitions_for(spark, rows: int, rows_per_partition: int = 250_000) -> int:
     """Partition count for a table of ``rows`` rows: about ``rows_per_partition``
-    rows each, at most ``spark.sql.shuffle.partitions`` — small loop tables do
-    not pay for hundreds of near-empty tasks every round."""
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(cap, -(-rows // rows_per_partition)))
+    rows each, whatever their number — small loop tables do not pay for hundreds
+    of near-empty tasks every round, large ones get as many tasks as they need."""
+    return max(1, -(-rows // rows_per_partition))
 
 
-def cut_count(df: DataFrame, where) -> tuple:
-    """``cut`` that also returns the number of rows matching ``where``."""
-    if CUT_MODE == "table":
-        out = cut(df)
-        return out, out.filter(where).count()
+def cut_by(df: DataFrame, parts: int, keys: list) -> DataFrame:
+    """Like ``cut``, hash-partitioned by ``keys``: a reliable ``checkpoint()`` keeps the
+    partitioning, so later joins and groupings on the keys need no exchange."""
     ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = held.filter(where).count()
+    held = df.repartition(parts, *keys).persist(StorageLevel.MEMORY_AND_DISK)
     out = held.checkpoint(eager=True)
     held.unpersist()
-    return out, n
+    return out
+

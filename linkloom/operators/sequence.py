@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.operators.iterate import cut
+
 
 def next_in_order(df: DataFrame, order_cols: list, value_col: str, out_col: str = "next_value",
                   num_partitions: int | None = None) -> DataFrame:
@@ -23,7 +25,8 @@ def next_in_order(df: DataFrame, order_cols: list, value_col: str, out_col: str
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    # written once: a second range partitioning may sample other bounds
+    ranged = cut(df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()))
     okey = F.struct(*[F.col(c) for c in order_cols])
     w = Window.partitionBy("_pid").orderBy(*order_cols)
     inner = ranged.withColumn(out_col, F.lead(value_col).over(w)).withColumn(

@@ -30,7 +30,7 @@ def doc_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("site").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def vocabulary(tf: DataFrame, min_df: int = 2, max_features: int | None = 5000) -> DataFrame:
+def vocabulary(tf: DataFrame, min_df: int = 2, max_features: int | None = None) -> DataFrame:
     """(site, term, df, cf, rank) — df >= min_df, top max_features by corpus count."""
     stats = tf.groupBy("site", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     stats = stats.filter(F.col("df") >= min_df)
@@ -41,7 +41,7 @@ def vocabulary(tf: DataFrame, min_df: int = 2, max_features: int | None = 5000)
     return ranked
 
 
-def tfidf(docs: DataFrame, stops=None, min_df: int = 2, max_features: int | None = 5000, ngram_max: int = 2,
+def tfidf(docs: DataFrame, stops=None, min_df: int = 2, max_features: int | None = None, ngram_max: int = 2,
           tf: DataFrame | None = None) -> DataFrame:
     """(site, url, term, tf, df, w) with smooth idf and L2 row norm."""
     tf = term_counts(docs, stops, ngram_max) if tf is None else tf

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import html as H
@@ -140,14 +140,23 @@ def pagerank_dangling(spark, d):
 @query("closeness")
 def closeness(spark, d):
     nodes, edges = FX.click_nodes(spark, d), FX.click_edges(spark, d)
-    return C.closeness(nodes, C.bfs(nodes, edges)).select("url", r6("closeness").alias("closeness"))
+    return C.closeness(nodes, C.path_sums(nodes, edges)).select("url", r6("closeness").alias("closeness"))
 
 
 @query("betweenness")
 def betweenness(spark, d):
     nodes, edges = FX.click_nodes(spark, d), FX.click_edges(spark, d)
-    dist = C.bfs(nodes, edges)
-    bc = C.betweenness(nodes, edges, dist, C.betweenness_sources(nodes))
+    bc = C.betweenness(nodes, C.path_sums(nodes, edges))
+    return bc.select("url", r6("betweenness").alias("betweenness"))
+
+
+@query("betweenness_sampled")
+def betweenness_sampled(spark, d):
+    """50 sources, chosen by the caller: the first users by number."""
+    nodes, edges = FX.click_nodes(spark, d), FX.click_edges(spark, d)
+    w = Window.partitionBy("site").orderBy("url")
+    src = nodes.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 50").select("site", F.col("url").alias("s"))
+    bc = C.betweenness(nodes, C.path_sums(nodes, edges, src), src)
     return bc.select("url", r6("betweenness").alias("betweenness"))
 
 
@@ -176,25 +185,32 @@ from linkloom.operators import tfidf as TF  # noqa: E402
 
 @query("term_stats")
 def term_stats(spark, d):
-    v = TF.vocabulary(TF.term_counts(FX.english_docs(spark, d)))
-    return v.select("term", "df", "cf", "rank")
+    v = TF.vocabulary(TF.term_counts(FX.language_docs(spark, d)))
+    return v.select("site", "term", "df", "cf", "rank")
+
+
+@query("vocabulary_top")
+def vocabulary_top(spark, d):
+    """F4's cut: the 1,000 most frequent terms of each site."""
+    v = TF.vocabulary(TF.term_counts(FX.language_docs(spark, d)), max_features=1000)
+    return v.select("site", "term", "df", "cf", "rank")
 
 
 @query("tfidf_weights")
 def tfidf_weights(spark, d):
-    w = TF.tfidf(FX.english_docs(spark, d))
-    return w.select("url", "term", "tf", "df", r6("w").alias("w"))
+    w = TF.tfidf(FX.language_docs(spark, d))
+    return w.select("site", "url", "term", "tf", "df", r6("w").alias("w"))
 
 
 @query("doc_keywords")
 def doc_keywords(spark, d):
-    kw = TF.doc_keywords(TF.tfidf(FX.english_docs(spark, d)), k=20)
+    kw = TF.doc_keywords(TF.tfidf(FX.language_docs(spark, d)), k=20)
     return kw.select("url", TF.keyword_string(F.col("keywords")).alias("keywords"))
 
 
 @query("cluster_keywords")
 def cluster_keywords(spark, d):
-    docs = FX.labeled_english_docs(spark, d)
+    docs = FX.labeled_docs(spark, d)
     kw = TF.doc_keywords(TF.tfidf(docs), k=20)
     ck = TF.cluster_keywords(kw, docs, k=15)
     return ck.select("cluster", F.array_join("keywords", ", ").alias("keywords"))
@@ -202,7 +218,7 @@ def cluster_keywords(spark, d):
 
 @query("tfidf_centroid_sim")
 def tfidf_centroid_sim(spark, d):
-    docs = FX.labeled_english_docs(spark, d)
+    docs = FX.labeled_docs(spark, d)
     sim = TF.centroid_similarity(TF.tfidf(docs), docs)
     return sim.select("url", "cluster", r6("sim").alias("pillar_sim"))
 
@@ -286,7 +302,7 @@ def _click_pagerank(spark, d):
 
 
 def _labeled_kw(spark, d):
-    docs = FX.labeled_english_docs(spark, d)
+    docs = FX.labeled_docs(spark, d)
     return TF.cluster_keywords(TF.doc_keywords(TF.tfidf(docs), k=20), docs, k=15)
 
 
@@ -366,10 +382,10 @@ def cluster_centers(spark, d):
 
 @query("node_labels")
 def node_labels(spark, d):
-    docs = FX.labeled_english_docs(spark, d)
+    docs = FX.labeled_docs(spark, d)
     sim = TF.centroid_similarity(TF.tfidf(docs), docs)
     nodes = docs.select("site", "url", "cluster",
-                        F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80).alias("title")).join(
+                        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title")).join(
         sim.select("site", "url", F.col("sim").alias("pillar_sim")), ["site", "url"], "left")
     return R.node_tooltip(nodes).select("url", "label", "tooltip")
 
@@ -387,7 +403,7 @@ def low_degree(spark, d):
 
 @query("low_relevance")
 def low_relevance(spark, d):
-    docs = FX.labeled_english_docs(spark, d)
+    docs = FX.labeled_docs(spark, d)
     sim = TF.centroid_similarity(TF.tfidf(docs), docs).withColumnRenamed("sim", "pillar_sim")
     return R.low_relevance(sim, 10).select("url", r6("pillar_sim").alias("pillar_sim"))
 
@@ -446,7 +462,7 @@ def recluster(spark, d):
 
 @query("term_svd")
 def term_svd(spark, d):
-    docs = FX.labeled_english_docs(spark, d)
+    docs = FX.labeled_docs(spark, d)
     tf = TF.term_counts(docs)
     w = TF.tfidf(docs, tf=tf, max_features=10000)
     sv = K.term_svd(w, TF.vocabulary(tf, max_features=10000))
@@ -455,7 +471,7 @@ def term_svd(spark, d):
 
 @query("hybrid_vectors")
 def hybrid_vectors(spark, d):
-    docs = FX.labeled_english_docs(spark, d)
+    docs = FX.labeled_docs(spark, d)
     tf = TF.term_counts(docs)
     sv = K.term_svd(TF.tfidf(docs, tf=tf, max_features=10000), TF.vocabulary(tf, max_features=10000))
     h = FX.vectors(spark, d).join(sv, ["site", "url"]).select("site", "url", V.hybrid(F.col("vec"), F.col("svd"), 0.5).alias("h"))
@@ -500,16 +516,16 @@ def sitemap_urls(spark, d):
 
 @query("article_keywords")
 def article_keywords(spark, d):
-    docs = FX.labeled_english_docs(spark, d)
+    docs = FX.labeled_docs(spark, d)
     kw = TF.doc_keywords(TF.tfidf(docs), k=20)
-    title = F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80)
+    title = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
     j = docs.select("site", "url", "cluster", title.alias("title")).join(kw, ["site", "url"])
     return j.select("url", "title", "cluster", TF.keyword_string(F.col("keywords")).alias("keywords_top"))
 
 
 @query("keywords_head")
 def keywords_head(spark, d):
-    kw = TF.doc_keywords(TF.tfidf(FX.english_docs(spark, d)), k=20)
+    kw = TF.doc_keywords(TF.tfidf(FX.language_docs(spark, d)), k=20)
     kw = kw.select("site", "url", TF.keyword_string(F.col("keywords")).alias("keywords"))
     return R.head(kw, [F.asc("url")], 50).select("url", "keywords")
 

@@ -49,13 +49,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin rows over the default parallelism when the scan yields fewer
     splits (a single-row-group file reads as one task).  On a cluster reading
     many files the scan already has enough splits and this is a no-op."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            return df.repartition(par)
-    except Exception:  # noqa: BLE001 - sessions without an RDD API keep the scan as is
-        pass
-    return df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,8 +111,14 @@ def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ documents / vectors
 
-def english_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+def language_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; each language is a site of its own."""
+    return read(spark, sf_dir, "documents").select(F.col("lang").alias("site"), F.col("doc_id").alias("url"), "text")
+
+
+def all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one site."""
+    d = read(spark, sf_dir, "documents")
     return d.select(site_of("doc_id", DOC_SITE).alias("site"), F.col("doc_id").alias("url"), "text")
 
 
@@ -127,9 +128,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("cluster"))
 
 
-def labeled_english_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents that have a vector; cluster = the vector's label."""
-    docs = english_docs(spark, sf_dir)
+def labeled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have a vector; cluster = the vector's label."""
+    docs = all_docs(spark, sf_dir)
     lab = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("url"), F.col("label").alias("cluster"))
     return docs.join(lab, "url")
 
@@ -142,7 +143,7 @@ def article_members(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                   F.col("embedding").cast("array<double>").alias("vec"))
     j = d.join(e, "url")
     return j.select(site_of("url", DOC_SITE).alias("site"), "url", "cluster", "vec", "text",
-                    F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80).alias("title"))
+                    F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"))
 
 
 def report_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +154,7 @@ def report_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     art = users_with(spark, sf_dir, ARTICLE_RULE).withColumn("is_article", F.lit(True))
     lab = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("url"), F.col("label").alias("cluster"))
     doc = read(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("url"), F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 80).alias("title"))
+        F.col("doc_id").alias("url"), F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"))
     return (users.join(art, ["site", "url"], "left").join(lab, "url", "left").join(doc, "url", "left")
             .select("site", "url", "title", F.coalesce("is_article", F.lit(False)).alias("is_article"), "cluster",
                     F.lit(None).cast("string").alias("cluster_keywords")))

@@ -116,16 +116,18 @@ cl_final AS (
 )"""
 
 
-def betweenness_sql(nodes: str) -> str:
+def betweenness_sql(nodes: str, sampled: int | None = None) -> str:
+    among = f"AND a.s IN (SELECT url FROM {nodes} ORDER BY url LIMIT {sampled})" if sampled else ""
+    grow = f"* c.n / least(c.n, {sampled})" if sampled else ""
     return f"""
 bc_raw AS (
   SELECT a.v AS url, sum(a.sigma * b.sigma / st.sigma) AS bc
   FROM dist a JOIN dist b ON a.v = b.s JOIN dist st ON st.s = a.s AND st.v = b.v
-  WHERE a.d > 0 AND b.d > 0 AND a.d + b.d = st.d AND a.s <> b.v
+  WHERE a.d > 0 AND b.d > 0 AND a.d + b.d = st.d AND a.s <> b.v {among}
   GROUP BY 1
 ),
 bc_final AS (
-  SELECT n.url, CASE WHEN c.n > 2 THEN coalesce(bc, 0) / ((c.n - 1) * (c.n - 2)) ELSE coalesce(bc, 0) END AS betweenness
+  SELECT n.url, CASE WHEN c.n > 2 THEN coalesce(bc, 0) {grow} / ((c.n - 1) * (c.n - 2)) ELSE coalesce(bc, 0) END AS betweenness
   FROM {nodes} n CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM {nodes}) c LEFT JOIN bc_raw USING (url)
 )"""
 
@@ -277,6 +279,11 @@ def _():
     return f"WITH {click_ctes()}, {bfs_sql('cnodes', 'cedges')}, {betweenness_sql('cnodes')} SELECT url, round(betweenness, 6) AS betweenness FROM bc_final"
 
 
+@oracle("betweenness_sampled")
+def _():
+    return f"WITH {click_ctes()}, {bfs_sql('cnodes', 'cedges')}, {betweenness_sql('cnodes', 50)} SELECT url, round(betweenness, 6) AS betweenness FROM bc_final"
+
+
 @oracle("centrality")
 def _():
     return f"""WITH {click_ctes()}, {users_rule('art', FX.ARTICLE_RULE)},
@@ -299,43 +306,49 @@ from linkloom.functions import text as T  # noqa: E402
 STOPS = "[" + ", ".join(q(w) for w in T.spark_stop_words()) + "]"
 
 
-def tfidf_ctes(docs_sql: str, max_features: int = 5000) -> str:
+def tfidf_ctes(docs_sql: str, max_features: int | None = None) -> str:
+    cap = f"WHERE rank <= {max_features}" if max_features else ""
     return f"""
 tdocs AS ({docs_sql}),
-toks AS (SELECT url, list_filter(regexp_extract_all(lower(coalesce(text, '')), {q(T.TOKEN_RE)}, 0),
+toks AS (SELECT site, url, list_filter(regexp_extract_all(lower(coalesce(text, '')), {q(T.TOKEN_RE)}, 0),
                                  lambda x: NOT list_contains({STOPS}, x)) AS t FROM tdocs),
-grams AS (SELECT url, unnest(list_concat(t, CASE WHEN len(t) >= 2
+grams AS (SELECT site, url, unnest(list_concat(t, CASE WHEN len(t) >= 2
             THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM toks),
-tf AS (SELECT url, term, count(*) AS tf FROM grams GROUP BY 1, 2),
-tstats AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1 HAVING count(*) >= 2),
-voc AS (SELECT * FROM (SELECT term, df, cf, row_number() OVER (ORDER BY cf DESC, term ASC) AS rank FROM tstats)
-        WHERE rank <= {max_features}),
-ndocs AS (SELECT count(*)::DOUBLE AS n FROM tdocs),
-w0 AS (SELECT tf.url, tf.term, tf.tf, voc.df, tf.tf * (ln((1.0 + ndocs.n) / (1.0 + voc.df)) + 1.0) AS w0
-       FROM tf JOIN voc USING (term) CROSS JOIN ndocs),
-tw AS (SELECT url, term, tf, df, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY url)) AS w FROM w0),
-dkw AS (SELECT * FROM (SELECT url, term, w, row_number() OVER (PARTITION BY url ORDER BY round(w, 12) DESC, term) AS rk FROM tw)
+tf AS (SELECT site, url, term, count(*) AS tf FROM grams GROUP BY 1, 2, 3),
+tstats AS (SELECT site, term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1, 2 HAVING count(*) >= 2),
+voc AS (SELECT * FROM (SELECT site, term, df, cf, row_number() OVER (PARTITION BY site ORDER BY cf DESC, term ASC) AS rank FROM tstats)
+        {cap}),
+ndocs AS (SELECT site, count(*)::DOUBLE AS n FROM tdocs GROUP BY site),
+w0 AS (SELECT tf.site, tf.url, tf.term, tf.tf, voc.df, tf.tf * (ln((1.0 + ndocs.n) / (1.0 + voc.df)) + 1.0) AS w0
+       FROM tf JOIN voc USING (site, term) JOIN ndocs USING (site)),
+tw AS (SELECT site, url, term, tf, df, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY url)) AS w FROM w0),
+dkw AS (SELECT * FROM (SELECT site, url, term, w, row_number() OVER (PARTITION BY url ORDER BY round(w, 12) DESC, term) AS rk FROM tw)
         WHERE rk <= 20)"""
 
 
-EN_DOCS = "SELECT doc_id AS url, text FROM documents WHERE lang = 'en'"
-LABELED_DOCS = ("SELECT d.doc_id AS url, d.text, e.label AS cluster FROM documents d "
-                "JOIN embeddings e ON d.doc_id = e.vec_id WHERE d.lang = 'en'")
+LANG_DOCS = "SELECT lang AS site, doc_id AS url, text FROM documents"
+LABELED_DOCS = ("SELECT 'docs' AS site, d.doc_id AS url, d.text, e.label AS cluster FROM documents d "
+                "JOIN embeddings e ON d.doc_id = e.vec_id")
 
 
 @oracle("term_stats")
 def _():
-    return f"WITH {tfidf_ctes(EN_DOCS)} SELECT term, df, cf, rank FROM voc"
+    return f"WITH {tfidf_ctes(LANG_DOCS)} SELECT site, term, df, cf, rank FROM voc"
+
+
+@oracle("vocabulary_top")
+def _():
+    return f"WITH {tfidf_ctes(LANG_DOCS, 1000)} SELECT site, term, df, cf, rank FROM voc"
 
 
 @oracle("tfidf_weights")
 def _():
-    return f"WITH {tfidf_ctes(EN_DOCS)} SELECT url, term, tf, df, round(w, 6) AS w FROM tw"
+    return f"WITH {tfidf_ctes(LANG_DOCS)} SELECT site, url, term, tf, df, round(w, 6) AS w FROM tw"
 
 
 @oracle("doc_keywords")
 def _():
-    return f"WITH {tfidf_ctes(EN_DOCS)} SELECT url, array_to_string(list(term ORDER BY rk), '; ') AS keywords FROM dkw GROUP BY url"
+    return f"WITH {tfidf_ctes(LANG_DOCS)} SELECT url, array_to_string(list(term ORDER BY rk), '; ') AS keywords FROM dkw GROUP BY url"
 
 
 @oracle("cluster_keywords")
@@ -432,8 +445,8 @@ def _():
 
 @oracle("pillars")
 def _():
-    mem = ("SELECT d.doc_id AS url, d.text, e.label AS cluster, CAST(e.embedding AS DOUBLE[]) AS v, "
-           "substring(split_part(d.text, chr(10), 1), 1, 80) AS title FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id")
+    mem = ("SELECT 'docs' AS site, d.doc_id AS url, d.text, e.label AS cluster, CAST(e.embedding AS DOUBLE[]) AS v, "
+           "split_part(d.text, chr(10), 1) AS title FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id")
     wc = "len(list_filter(regexp_split_to_array(coalesce(m.text, ''), '\\s+'), lambda x: x <> ''))"
     return f"""WITH {tfidf_ctes(mem)}, {click_ctes()}, {pagerank_sql('cnodes', 'cedges', 100, 1e-6)},
 vn AS (SELECT url, cluster, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS nrm FROM tdocs),
@@ -476,7 +489,7 @@ from linkloom.operators import reports as RP  # noqa: E402
 REPORT_NODES = f"""
 {users_rule('art', FX.ARTICLE_RULE)},
 rnodes AS (
-  SELECT c.url, substring(split_part(d.text, chr(10), 1), 1, 80) AS title, (a.url IS NOT NULL) AS is_article,
+  SELECT c.url, split_part(d.text, chr(10), 1) AS title, (a.url IS NOT NULL) AS is_article,
          e.label AS cluster
   FROM cnodes c LEFT JOIN art a USING (url) LEFT JOIN embeddings e ON e.vec_id = c.url
   LEFT JOIN documents d ON d.doc_id = c.url
@@ -592,7 +605,7 @@ mu AS (SELECT l.cluster, t.term, sum(t.w) / any_value(members.m) AS mu
 cen AS (SELECT cluster, term, mu / (sqrt(sum(mu * mu) OVER (PARTITION BY cluster)) + 1e-9) AS c FROM mu),
 dots AS (SELECT t.url, sum(t.w * cen.c) AS sim FROM tw t JOIN tdocs l USING (url)
          JOIN cen ON cen.cluster = l.cluster AND cen.term = t.term GROUP BY 1),
-n AS (SELECT l.url, l.cluster, substring(split_part(l.text, chr(10), 1), 1, 80) AS title, coalesce(dots.sim, 0.0) AS ps
+n AS (SELECT l.url, l.cluster, split_part(l.text, chr(10), 1) AS title, coalesce(dots.sim, 0.0) AS ps
       FROM tdocs l LEFT JOIN dots USING (url)),
 parts AS (SELECT url, title, concat_ws('<br/>',
             CASE WHEN coalesce(title, '') <> '' THEN '<b>Title</b>: ' || title END,
@@ -655,14 +668,14 @@ FROM a FULL OUTER JOIN b USING (url)"""
 
 def frontier_sql(max_depth: int, max_pages: int, prefix: str | None) -> str:
     parts = [f"{users_rule('seeds', FX.SEED_RULE)}",
-             "f0 AS MATERIALIZED (SELECT url, 0 AS depth FROM seeds)"]
+             "f0 AS MATERIALIZED (SELECT url, 0 AS depth FROM seeds WHERE url IN (SELECT url FROM cnodes))"]
     seen = ["f0"]
     for dd in range(1, max_depth + 1):
         cond = f"AND (starts_with(CAST(e.target AS VARCHAR), {q(prefix)}) OR f.depth < 1)" if prefix else ""
         union = " UNION ALL ".join(f"SELECT url FROM {x}" for x in seen)
         parts.append(f"""f{dd} AS MATERIALIZED (
   SELECT DISTINCT e.target AS url, {dd} AS depth FROM f{dd-1} f JOIN cedges e ON e.source = f.url
-  WHERE e.target NOT IN ({union}) {cond}
+  WHERE e.target NOT IN ({union}) AND e.target IN (SELECT url FROM cnodes) {cond}
     AND (SELECT count(*) FROM ({union})) < {max_pages}
 )""")
         seen.append(f"f{dd}")
@@ -673,12 +686,12 @@ def frontier_sql(max_depth: int, max_pages: int, prefix: str | None) -> str:
 
 @oracle("frontier_depths")
 def _():
-    return f"WITH {click_ctes()}, {frontier_sql(2, 100, None)} SELECT url, depth FROM fr WHERE rk <= 100 AND url IN (SELECT url FROM cnodes)"
+    return f"WITH {click_ctes()}, {frontier_sql(2, 100, None)} SELECT url, depth FROM fr WHERE rk <= 100"
 
 
 @oracle("frontier_focus")
 def _():
-    return f"WITH {click_ctes()}, {frontier_sql(3, 1000, '1')} SELECT url, depth FROM fr WHERE rk <= 1000 AND url IN (SELECT url FROM cnodes)"
+    return f"WITH {click_ctes()}, {frontier_sql(3, 1000, '1')} SELECT url, depth FROM fr WHERE rk <= 1000"
 
 
 # ------------------------------------------------------------------ A
@@ -695,15 +708,16 @@ FROM p"""
 @oracle("article_keywords")
 def _():
     return f"""WITH {tfidf_ctes(LABELED_DOCS)}
-SELECT l.url, substring(split_part(l.text, chr(10), 1), 1, 80) AS title, l.cluster,
+SELECT l.url, split_part(l.text, chr(10), 1) AS title, l.cluster,
        array_to_string(list(k.term ORDER BY k.rk), '; ') AS keywords_top
 FROM tdocs l JOIN dkw k USING (url) GROUP BY l.url, l.text, l.cluster"""
 
 
 @oracle("keywords_head")
 def _():
-    return f"""WITH {tfidf_ctes(EN_DOCS)}
-SELECT url, array_to_string(list(term ORDER BY rk), '; ') AS keywords FROM dkw GROUP BY url ORDER BY url LIMIT 50"""
+    return f"""WITH {tfidf_ctes(LANG_DOCS)},
+k AS (SELECT site, url, array_to_string(list(term ORDER BY rk), '; ') AS keywords FROM dkw GROUP BY site, url)
+SELECT url, keywords FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY url) AS rn FROM k) WHERE rn <= 50"""
 
 
 @oracle("recs_head")

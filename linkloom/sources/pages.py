@@ -20,7 +20,16 @@ def read_crawl_dump(spark: SparkSession, path: str, site: str | None = None) ->
     raw = spark.read.text(path, wholetext=True)
     m = raw.select(F.explode(F.from_json("value", f"map<string,{PAGE_STRUCT}>")).alias("url", "p"))
     s = F.lit(site) if site else U.registered_domain(F.col("url"))
-    return m.select(s.alias("site"), "url", "p.title", "p.text", "p.links", "p.depth")
+    return one_per_url(m.select(s.alias("site"), "url", "p.title", "p.text", "p.links", "p.depth"))
+
+
+def one_per_url(pages: DataFrame) -> DataFrame:
+    """The page table's key is (site, url): of several rows the one of least depth
+    stays, then the longest, then the first in text order."""
+    body = "html" if "html" in pages.columns else "text"
+    rank = F.struct(F.coalesce("depth", F.lit(0)), -F.length(F.coalesce(body, F.lit(""))), F.coalesce(body, F.lit("")))
+    others = [c for c in pages.columns if c not in ("site", "url")]
+    return pages.groupBy("site", "url").agg(F.min_by(F.struct(*others), rank).alias("p")).select("site", "url", "p.*")
 
 
 def pages_from_html(df: DataFrame, site_col: str | None = None, domains: DataFrame | None = None) -> DataFrame:
@@ -28,7 +37,7 @@ def pages_from_html(df: DataFrame, site_col: str | None = None, domains: DataFra
     resolved links (B1-B5, B9)."""
     site = F.col(site_col) if site_col else U.registered_domain(F.col("url"))
     depth = F.col("depth").cast("int") if "depth" in df.columns else F.lit(0)
-    pages = df.select(site.alias("site"), "url", "html", depth.alias("depth"))
+    pages = one_per_url(df.select(site.alias("site"), "url", "html", depth.alias("depth")))
     links = G.keep_internal(G.resolve_links(G.page_links(pages)), domains)
     per_page = links.groupBy("site", F.col("src").alias("url")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "href", "anchor"))),

@@ -9,8 +9,8 @@ sitemaps, anything else (or malformed XML) yields nothing.  Parsing is
 Per document: internal-domain and prefix filters, then the first
 ``max_urls`` entries (A7, A8).  An index concatenates its children's lists in
 order and stops *after* the child whose list crosses ``max_urls``, then keeps
-first occurrences (A9).  Nested indexes resolve over ``max_rounds`` rounds
-(the reference recursion has no cycle guard; a bounded loop stops cycles).
+first occurrences (A9).  Nested indexes are resolved until nothing changes; no
+nesting is deeper than the number of index documents, which also ends cycles.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import urls as U
 from linkloom.operators.iterate import cut
+from linkloom.operators.joins import join_side_table
 
 ROOT_TAG_RE = r"^\s*(?:<\?[^>]*\?>\s*)?(?:<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)"
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
@@ -33,12 +34,12 @@ def _dedupe_rank(rows: DataFrame, order_col: str) -> DataFrame:
 
 
 def sitemap_urls(docs: DataFrame, domains: DataFrame | None = None, prefix: str | None = None,
-                 max_urls: int = 5000, max_rounds: int = 4) -> DataFrame:
+                 max_urls: int = 5000) -> DataFrame:
     """-> (site, doc, url, pos): the URL list of every document (roots included)."""
     d = docs.select("site", F.col("sitemap_url").alias("doc"), "body",
                     F.lower(F.regexp_extract("body", ROOT_TAG_RE, 1)).alias("kind"))
     if domains is not None:
-        d = d.join(F.broadcast(domains.select("site", "domain")), "site", "left")
+        d = join_side_table(d, domains.select("site", "domain"), ["site"], how="left", spread_key="doc")
     else:
         d = d.withColumn("domain", F.lit(None).cast("string"))
     # urlset documents
@@ -61,8 +62,12 @@ def sitemap_urls(docs: DataFrame, domains: DataFrame | None = None, prefix: str
     ix = cut(ix)
     if ix.isEmpty():
         return resolved
-    n_prev = resolved.count()
-    for _ in range(max_rounds):
+
+    def state(rows):
+        return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("site", "doc", "url", "pos") % 1_000_003)).first())
+
+    before = state(resolved)
+    for _ in range(ix.select("site", "doc").distinct().count() + 1):
         sizes = resolved.groupBy("site", F.col("doc").alias("child")).agg(F.count(F.lit(1)).alias("sz"))
         kids = ix.join(sizes, ["site", "child"], "left").withColumn("sz", F.coalesce("sz", F.lit(0)))
         wcum = Window.partitionBy("site", "doc").orderBy("ci").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,10 +75,10 @@ def sitemap_urls(docs: DataFrame, domains: DataFrame | None = None, prefix: str
         expanded = kids.join(resolved.select("site", F.col("doc").alias("child"), "url", F.col("pos").alias("cpos")),
                              ["site", "child"]).select("site", "doc", "url", F.struct("ci", "cpos").alias("ord"))
         resolved = cut(base.unionByName(_dedupe_rank(expanded, "ord")))
-        n_now = resolved.count()
-        if n_now == n_prev:  # no index gained entries: every level is resolved
+        now = state(resolved)
+        if now == before:  # no index changed: every level is resolved
             break
-        n_prev = n_now
+        before = now
     return resolved
 
 

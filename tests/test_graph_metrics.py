@@ -71,9 +71,9 @@ def test_closeness_and_betweenness_brute_force(spark):
     nodes, edges = frames(spark)
     n = len(NODES)
     dist, sigma = bfs_all()
-    d = C.bfs(nodes, edges)
+    d = C.path_sums(nodes, edges)
     cl = {r.url: r.closeness for r in C.closeness(nodes, d).collect()}
-    bc = {r.url: r.betweenness for r in C.betweenness(nodes, edges, d, C.betweenness_sources(nodes)).collect()}
+    bc = {r.url: r.betweenness for r in C.betweenness(nodes, d).collect()}
     for v in NODES:
         reach = [s for s in NODES if v in dist[s] and s != v]
         tot = sum(dist[s][v] for s in reach)

@@ -25,15 +25,15 @@ def test_graph_metrics_per_site(spark):
     both = {"a": (G1, 7), "b": (G2, 4)}
     n, e = frames(spark, both)
     pr = as_dict(C.pagerank(n, e), "pagerank")
-    d = C.bfs(n, e)
+    d = C.path_sums(n, e)
     cl = as_dict(C.closeness(n, d), "closeness")
-    bc = as_dict(C.betweenness(n, e, d, C.betweenness_sources(n)), "betweenness")
+    bc = as_dict(C.betweenness(n, d), "betweenness")
     for site, g in both.items():
         n1, e1 = frames(spark, {site: g})
-        d1 = C.bfs(n1, e1)
+        d1 = C.path_sums(n1, e1)
         for ref, got in ((as_dict(C.pagerank(n1, e1), "pagerank"), pr),
                          (as_dict(C.closeness(n1, d1), "closeness"), cl),
-                         (as_dict(C.betweenness(n1, e1, d1, C.betweenness_sources(n1)), "betweenness"), bc)):
+                         (as_dict(C.betweenness(n1, d1), "betweenness"), bc)):
             for k, v in ref.items():
                 assert abs(got[k] - v) < 1e-12, (site, k)
         assert abs(sum(v for (s, _), v in pr.items() if s == site) - 1.0) < 1e-9
