@@ -11,14 +11,12 @@ pair at the very threshold about once in 10**5 and hardly any above it.
   are joined.  Pairs from a passage that many documents share are frequent and
   come last, and a class with fewer than MATCHES posted pairs that any other has
   is out at once.
-* Links first to the least class of each list, so a list of copies of one text
-  costs as many checks as it has members.  Classes already connected need no
-  further check between them; a list is looked at again only where its members
-  are still in different components.
-* Skip: the lists that are still apart form clusters.  A cluster's members meet,
-  each with its whole signature and set, in one cell or, if it is large, in blocks
-  by size class; coordinates are counted in memory, pairs already connected are
-  skipped, and what leaves the task is no more than a link per member.
+* Skip: classes that share a list, directly or through others, form a cluster.  A
+  cluster's members meet, each with its whole signature and set, in one cell or, if
+  it is large, in blocks by size class.  Coordinates are counted in memory; the best
+  agreeing pairs are confirmed first and pairs already connected are skipped, so a
+  family of copies costs about as many checks as it has members, and what leaves a
+  task is no more than a link per member.
 
 Every link is confirmed on the full sets: 100 * shared >= 75 * union.
 
@@ -42,6 +40,7 @@ from linkloom.operators.iterate import cut
 
 WIDTH, COORDS, MATCHES = 5, 64, 31
 BLOCK, BLOCK_SHINGLES = 512, 400_000
+MAX_WANTED = 4_000_000
 SIG = "sid long, doc_id long, n_shingles long, sig array<int>"
 
 
@@ -126,42 +125,17 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "sid long, set binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are at similarity 0.75 or more."""
-    def run(batches):
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            ok = []
-            for x, y in zip(left, right):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * shared >= 75 * (len(x) + len(y) - shared))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    one, two = (sets.select(F.col("sid").alias(c), F.col("set").alias(f"set_{c}")) for c in "uv")
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
-
-
-def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs with their number of agreeing coordinates, if MATCHES at least and sizes allow a link."""
-    one, two = (reps.select(F.col("sid").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "uv")
-    both = pairs.join(one, "u").join(two, "v").filter("100 * least(n_u, n_v) >= 75 * greatest(n_u, n_v)")
-    same = F.expr("aggregate(zip_with(sig_u, sig_v, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)")
-    return both.select("u", "v", same.alias("same")).filter(F.col("same") >= MATCHES)
-
-
 class Forest:
-    """Union-find over the members of one cell, started from what is connected already."""
+    """Union-find over the members of one cell."""
 
-    def __init__(self, labels):
-        _, self.root = np.unique(labels, return_inverse=True)
-        self.parent = np.arange(len(self.root))
+    def __init__(self, n: int):
+        self.parent = list(range(n))
 
     def find(self, i: int) -> int:
-        i, p = int(self.root[i]), self.parent
+        p = self.parent
         while p[i] != i:
             p[i] = p[p[i]]
-            i = int(p[i])
+            i = p[i]
         return i
 
     def join(self, i: int, j: int):
@@ -172,18 +146,18 @@ def linked_in_cell(table: pa.Table) -> pa.Table:
     """Confirmed links of one cell, enough to connect what its links connect."""
     table = table.sort_by("cluster")
     i, j = table["i"][0].as_py(), table["j"][0].as_py()
-    sid, label, n, mine, home, cluster = (table[c].to_numpy() for c in ("sid", "label", "n_shingles", "mine", "home", "cluster"))
+    sid, n, mine, home, cluster = (table[c].to_numpy() for c in ("sid", "n_shingles", "mine", "home", "cluster"))
     sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDS)
     sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
-    forest, out = Forest(label), []
+    forest, out = Forest(len(sid)), []
     bounds = np.flatnonzero(np.concatenate(([True], cluster[1:] != cluster[:-1], [True])))
     for f, t in zip(bounds[:-1], bounds[1:]):
         here = np.arange(f, t)
         a, b = here[mine[f:t] == i], here[mine[f:t] == j]
-        for x in a:
+        for x in a.tolist():
             y = b[(b > x) if i == j else slice(None)]
             # a pair of two visitors belongs to the next size class
-            y = y[(label[y] != label[x]) & (home[y] | home[x]) & (100 * np.minimum(n[x], n[y]) >= 75 * np.maximum(n[x], n[y]))]
+            y = y[(home[y] | home[x]) & (100 * np.minimum(n[x], n[y]) >= 75 * np.maximum(n[x], n[y]))]
             same = (sig[y] == sig[x]).sum(axis=1)
             y, same = y[same >= MATCHES], same[same >= MATCHES]
             for k in y[np.argsort(-same, kind="stable")].tolist():
@@ -197,7 +171,7 @@ def linked_in_cell(table: pa.Table) -> pa.Table:
 
 
 def cells(members: DataFrame) -> DataFrame:
-    """Members (sid, cluster, label, n_shingles, sig, set) dealt to cells that together
+    """Members (sid, cluster, n_shingles, sig, set) dealt to cells that together
     hold every pair of a cluster whose sizes allow a link.  Small clusters share a
     cell.  A large one is split by size class (a factor of 4/3 each; a member visits
     the class below its own) and then into blocks that meet two by two."""
@@ -208,7 +182,7 @@ def cells(members: DataFrame) -> DataFrame:
     rows = members.join(size.select("cluster", "small"), "cluster")
     plain = rows.filter("small").withColumn("cell", F.pmod(F.xxhash64("cluster"), F.lit(together))).select(
         "cell", F.lit(-1).alias("class"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("mine"), F.lit(True).alias("home"),
-        "cluster", "sid", "label", "n_shingles", "sig", "set")
+        "cluster", "sid", "n_shingles", "sig", "set")
     own = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(np.log(4 / 3)))).cast("int")
     big = rows.filter("not small").withColumn("own", own)
     big = big.withColumn("class", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("home", F.col("own") == F.col("class"))
@@ -218,7 +192,7 @@ def cells(members: DataFrame) -> DataFrame:
     big = big.join(of_class, ["cluster", "class"]).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.col("cluster").alias("cell"), "class", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "home",
-        "cluster", "sid", "label", "n_shingles", "sig", "set")
+        "cluster", "sid", "n_shingles", "sig", "set")
     return plain.unionByName(big)
 
 
@@ -238,26 +212,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .filter(F.size("shared") >= MATCHES)
                  .select("sid", F.explode(F.slice("shared", F.lit(1), F.size("shared") - MATCHES + 1)).alias("p")).select("sid", "p.key"))
 
-    # first links: to the least class of a list that agrees well, else to the best
+    # clusters of classes that share a list
     least = prefix.groupBy("key").agg(F.min("sid").alias("v"))
-    first = prefix.join(least, "key").filter("sid <> v").select(F.col("sid").alias("u"), "v").distinct()
-    choice = F.struct(F.when(F.col("same") >= COORDS * 13 // 16, 0).otherwise(COORDS - F.col("same")), F.col("v"))
-    first = cut(agreeing(first, reps).groupBy("u").agg(F.min_by("v", choice).alias("v")))
-    sets = _sets_of(prefix.join(least, "key").filter("sid <> v"), reps, texts)
-    links = cut(confirmed(first, sets))
-
-    # what is still apart within a list: clusters of such lists, compared whole
+    cluster = components(prefix.join(least, "key").select(F.col("sid").alias("u"), "v"))
+    members = cut(cluster.select(F.col("node").alias("sid"), F.col("label").alias("cluster")).join(
+        reps.select("sid", "rep", "n_shingles", "sig"), "sid"))
+    met = members.drop("rep").join(_sets_of(members, texts), "sid")
+    links = cut(cells(met).groupBy("cell", "class", "i", "j").applyInArrow(linked_in_cell, "u long, v long"))
     label = components(links)
-    lists = prefix.join(label.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    apart = lists.groupBy("key").agg(F.min("sid").alias("v"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    lists = cut(lists.join(apart.select("key", "v"), "key").select("sid", "label", "v").distinct())
-    cluster = components(lists.select(F.col("sid").alias("u"), "v"))
-    members = (lists.select("sid", "label").distinct().join(cluster.select(F.col("node").alias("sid"), F.col("label").alias("cluster")), "sid")
-               .join(reps.select("sid", "n_shingles", "sig"), "sid").join(sets, "sid"))
-    more = cut(cells(members).groupBy("cell", "class", "i", "j").applyInArrow(linked_in_cell, "u long, v long"))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        label = components(links)
 
     # smallest identifier of each component, then of each document
     linked = label.join(reps.select(F.col("sid").alias("node"), "rep"), "node")
@@ -271,9 +233,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("doc_id", "n_shingles", mine.alias("component_id"), F.col("doc_id").eqNullSafe(mine).alias("kept")))
 
 
-def _sets_of(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """(sid, set) of all classes in ``pairs`` (sid, v), made again from one document of each."""
-    ids = pairs.select("sid").unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
-    wanted = cut(reps.select("sid", F.col("rep").alias("doc_id")).join(ids, "sid", "left_semi"))
-    made = full_sets(texts.join(wanted.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"))
-    return cut(made.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
+def _sets_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(sid, set) of all members, made again from one document of each."""
+    wanted = members.select(F.col("rep").alias("doc_id"))
+    if wanted.count() <= MAX_WANTED:  # 8 bytes each; beyond it the texts are shuffled to their identifiers
+        wanted = F.broadcast(wanted)
+    return full_sets(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")).dropDuplicates(["sid"])
