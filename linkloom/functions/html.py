@@ -1,37 +1,32 @@
 """Page extraction as column expressions.
 
-Everything here is a JVM-side expression (regex + higher-order functions), so
-it stays inside whole-stage codegen / the scan stage and needs no Python.
-The patterns are kept to the subset that Java regex and RE2 read the same way,
-so the DuckDB oracle can use the identical strings.
+Everything here is a JVM-side expression (regex + higher-order functions) and
+needs no Python per row.  Comments, scripts and styles are removed before titles
+and links are looked for; white space is Unicode's.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# HTML entities decoded by ``unescape`` (named + the common
-# numeric forms).  ``&amp;`` must be decoded last so "&amp;lt;" becomes "&lt;".
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-]
-
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
-ANCHOR_ELEM_RE = r"(?is)<a\b[^>]*>.*?</a>"
-HREF_RE = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]*)"""
-INNER_RE = r"(?is)^<a\b[^>]*>(.*)</a>$"
+# A link runs from its tag to the next link, its end tag or the end of the page.
+ANCHOR_RE = r"(?is)<a(?=[\s/>]).*?(?=<a[\s/>]|</a[\s>]|\z)"
+A_TAG_RE = r"""(?is)^<a((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>?"""
+# Attributes before href are passed over whole, so neither data-href nor a value that mentions href counts.
+HREF_RE = (r"""(?is)^(?:[\s/]++|(?!href[\s=])[^\s=/>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
+           r"""href\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))""")
 TAG_RE = r"<[^>]*>"
-WS_RE = r"\s+"
+WS_RE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+HIDDEN_RES = [
+    r"(?is)<script\b[^>]*>.*?</script\s*>",
+    r"(?is)<style\b[^>]*>.*?</style\s*>",
+    r"(?s)<!--.*?-->",
+]
+ENTITY_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 # Regions dropped before text extraction (B4 stand-in): scripts, styles,
 # comments, navigation, footer, tables and ad blocks.
 DROP_RES = [
@@ -50,9 +45,31 @@ def _c(col) -> Column:
 
 
 def unescape(col) -> Column:
-    out = _c(col)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
+    """Decode named (HTML 4) and numeric entities; unknown ones stay as they are."""
+    text = _c(col)
+    # apos is the one name that HTML 4 lacks
+    names = F.create_map(*[F.lit(x) for n, c in {**name2codepoint, "apos": 39}.items() for x in (n, chr(c))])
+
+    def decoded(e):
+        body = F.substring(e, 2, F.length(e) - 2)
+        code = F.when(
+            F.lower(F.substring(body, 1, 2)) == "#x", F.conv(F.substring(body, 3, 8), 16, 10)).when(
+            F.substring(body, 1, 1) == "#", F.substring(body, 2, 8)).cast("long")
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        by_code = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.element_at(names, body), by_code, e)
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY_RE), 0))
+    # a decoded "&" must not begin another entity: those come last
+    order = F.concat(F.filter(found, lambda e: decoded(e) != "&"), F.filter(found, lambda e: decoded(e) == "&"))
+    return F.when(text.contains("&"), F.aggregate(order, text, lambda acc, e: F.replace(acc, e, decoded(e)))).otherwise(text)
+
+
+def visible(html) -> Column:
+    """The page without comments, scripts and styles."""
+    out = _c(html)
+    for pattern in HIDDEN_RES:
+        out = F.regexp_replace(out, pattern, " ")
     return out
 
 
@@ -64,8 +81,8 @@ def clean_anchor(col) -> Column:
 
 def extract_title(html) -> Column:
     """B1: text of the first <title>, tags stripped, entities decoded, trimmed."""
-    raw = F.regexp_extract(_c(html), TITLE_RE, 1)
-    return F.regexp_replace(unescape(F.regexp_replace(raw, TAG_RE, "")), r"^\s+|\s+$", "")
+    raw = F.regexp_extract(visible(html), TITLE_RE, 1)
+    return F.regexp_replace(unescape(F.regexp_replace(raw, TAG_RE, "")), f"^{WS_RE}|{WS_RE}$", "")
 
 
 def raw_links(html) -> Column:
@@ -74,15 +91,15 @@ def raw_links(html) -> Column:
     ``pos`` is 1-based.  Empty hrefs are dropped (as the reference does) but
     the position numbering keeps the original order.
     """
-    elems = F.regexp_extract_all(_c(html), F.lit(ANCHOR_ELEM_RE), 0)
-    with_pos = F.transform(
-        elems,
-        lambda e, i: F.struct(
-            (i + 1).cast("int").alias("pos"),
-            unescape(F.regexp_extract(e, HREF_RE, 1)).alias("href"),
-            clean_anchor(unescape(F.regexp_replace(F.regexp_extract(e, INNER_RE, 1), TAG_RE, " "))).alias("anchor"),
-        ),
-    )
+    elems = F.regexp_extract_all(visible(html), F.lit(ANCHOR_RE), 0)
+
+    def link(e, i):
+        attributes = F.regexp_extract(e, A_TAG_RE, 1)
+        href = F.concat(*[F.regexp_extract(attributes, HREF_RE, g) for g in (1, 2, 3)])
+        inner = F.regexp_replace(F.regexp_replace(e, A_TAG_RE, ""), TAG_RE, " ")
+        return F.struct((i + 1).cast("int").alias("pos"), unescape(href).alias("href"), clean_anchor(unescape(inner)).alias("anchor"))
+
+    with_pos = F.transform(elems, link)
     return F.filter(with_pos, lambda s: s["href"] != "")
 
 

