@@ -1,27 +1,28 @@
-"""Clustering and projections with MLlib.
-
-* K-means: MLlib ``KMeans`` (k-means|| init), ``restarts`` fits with seeds
-  seed, seed+1, ... keeping the lowest training cost (the reference keeps the
-  best of 10 inits).  k is clamped to [1, n]; k = 1 gives cluster 0 without a
-  fit (MLlib refuses k = 1).  Cluster ids are not portable across engines.
-* Term SVD: ``IndexedRowMatrix.computeSVD`` on the sparse TF-IDF rows
-  (no centring, like a truncated SVD); rows are U * S.  Signs are arbitrary.
-* 2-D layout: ``PCA(k=2)`` — a linear stand-in for a UMAP embedding.
-
-MLlib fits one model per DataFrame, so these loop over sites on the driver
-(one distributed fit per site).
+"""Clustering and projections (G1-G3, G14, F9), all sites in one job.
+
+* K-means: Lloyd rounds over all sites and restarts at once; the restart with
+  the least inertia wins (the reference keeps the best of 10 starts).  k is
+  clamped to [1, n].  Cluster numbers are not portable across engines.
+* 2-D layout: two principal components per site, a linear stand-in for a
+  UMAP embedding.
+* Term SVD: randomized (``operators.svd``) or MLlib's ``computeSVD``, a site at a
+  time; rows are U * S without centring, signs are arbitrary.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.functions import vectors as V
+from linkloom.operators.iterate import cut
+from linkloom.operators.joins import join_side_table
+
 
 def choose_k(n: int) -> int:
     """G1: <=5 -> 1, <=20 -> 2, <=60 -> 3, else max(4, floor(sqrt(n)))."""
@@ -48,24 +49,99 @@ def _union(outs: list, like: DataFrame, schema: str) -> DataFrame:
     return out
 
 
-def kmeans(vecs: DataFrame, k: int | None = 7, seed: int = 42, restarts: int = 10, max_iter: int = 100) -> DataFrame:
-    """(site, url, vec) -> (site, url, cluster)."""
-    outs = []
-    for site in _sites(vecs):
-        sub = vecs.filter(F.col("site") == site).select("site", "url", array_to_vector("vec").alias("features")).persist()
-        n = sub.count()
-        kk = max(1, min(k or choose_k(n), n))
-        if kk == 1:
-            outs.append(sub.select("site", "url", F.lit(0).alias("cluster")))
-            continue
-        best, cost = None, None
-        for i in range(max(1, restarts)):
-            model = KMeans(k=kk, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(sub)
-            c = model.summary.trainingCost
-            if cost is None or c < cost:
-                best, cost = model, c
-        outs.append(best.transform(sub).select("site", "url", F.col("prediction").cast("int").alias("cluster")))
-    return _union(outs, vecs, f"site string, url {vecs.schema['url'].dataType.simpleString()}, cluster int")
+def _spread(frame: pd.DataFrame, value: str) -> dict:
+    return {site: part for site, part in frame.groupby("site", sort=False)[["restart", "cluster", value]]}
+
+
+def _closest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = (x * x).sum(1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(1)[None, :]
+    c = d.argmin(1)
+    return c, np.maximum(d[np.arange(len(x)), c], 0)
+
+
+def _by_site(it):
+    """(site, urls, matrix) of each batch's rows of one site."""
+    for b in it:
+        f = b.to_pandas()
+        for site, part in f.groupby("site", sort=False):
+            yield site, part["url"], np.stack(part["vec"].to_numpy()).astype(np.float64)
+
+
+def kmeans(vecs: DataFrame, k: int | None = 7, seed: int = 42, restarts: int = 10, max_iter: int = 100,
+           tol: float = 1e-4, max_bytes: int = 64 << 20) -> DataFrame:
+    """(site, url, vec) -> (site, url, cluster); the restart with least inertia wins.
+
+    Lloyd rounds of all sites and restarts in one job: tasks sum their rows by
+    (site, restart, cluster), Spark adds the sums up.  Starts are the ``k`` vectors
+    first by hash.  Where the centroids of all sites would exceed ``max_bytes``, sites
+    are done in several groups by hash.
+    """
+    spark = vecs.sparkSession
+    vecs = cut(vecs.select("site", "url", "vec"))
+    sizes = vecs.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"))
+    fixed = F.lit(k) if k else F.when(F.col("n") <= 5, 1).when(F.col("n") <= 20, 2).when(F.col("n") <= 60, 3).otherwise(
+        F.greatest(F.lit(4), F.floor(F.sqrt("n"))))
+    sizes = cut(sizes.withColumn("k", F.greatest(F.lit(1), F.least(fixed, F.col("n"))).cast("int")))
+    total = sizes.agg(F.coalesce(F.sum(F.col("k") * F.col("dim") * 8 * max(1, restarts)), F.lit(0))).first()[0]
+    groups = total // max_bytes + 1
+    out = None
+    for g in range(groups):
+        mine = F.pmod(F.xxhash64("site"), F.lit(groups)) == g
+        part = _lloyd(spark, vecs.filter(mine), sizes.filter(mine).drop("n", "dim"), seed, max(1, restarts), max_iter, tol)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _lloyd(spark, vecs: DataFrame, ks: DataFrame, seed: int, restarts: int, max_iter: int, tol: float) -> DataFrame:
+    each = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart")
+    order = Window.partitionBy("site", "restart").orderBy(F.xxhash64("url", F.lit(seed) + F.col("restart")), "url")
+    start = (vecs.select("site", "url", each).withColumn("cluster", F.row_number().over(order) - 1)
+             .join(ks, "site").filter("cluster < k").select("site", "url", "restart", "cluster"))
+    now = start.join(vecs, ["site", "url"]).select("site", "restart", "cluster", "vec").orderBy("site", "restart", "cluster").toPandas()
+    now["vec"] = [np.array(v, np.float64) for v in now["vec"]]
+    url_type = vecs.schema["url"].dataType.simpleString()
+    schema = f"site string, url {url_type}, cluster int"
+    if not len(now):
+        return spark.createDataFrame([], schema)
+    inertia = None
+    for _ in range(max_iter):
+        shared = spark.sparkContext.broadcast({s: {r: np.stack(p["vec"].to_list()) for r, p in part.groupby("restart")}
+                                               for s, part in _spread(now, "vec").items()})
+
+        def sums(it, shared=shared):
+            total: dict = {}
+            for site, _, x in _by_site(it):
+                for r, c in shared.value[site].items():
+                    near, d = _closest(x, c)
+                    t = total.setdefault((site, r), (np.zeros_like(c), np.zeros(len(c)), np.zeros(len(c))))
+                    np.add.at(t[0], near, x)
+                    t[1][:] += np.bincount(near, minlength=len(c))
+                    t[2][:] += np.bincount(near, d, len(c))
+            rows = [(s, int(r), j, [*t[0][j], t[1][j], t[2][j]]) for (s, r), t in total.items() for j in range(len(t[1])) if t[1][j]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (
+                pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64())))], ["site", "restart", "cluster", "z"])
+
+        part = vecs.select("site", "url", "vec").mapInArrow(sums, "site string, restart int, cluster int, z array<double>")
+        got = (part.select("site", "restart", "cluster", F.posexplode("z").alias("pos", "x")).groupBy("site", "restart", "cluster", "pos")
+               .agg(F.sum("x").alias("x")).groupBy("site", "restart", "cluster")
+               .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("z")).toPandas())
+        got["z"] = [np.array(z, np.float64) for z in got["z"]]
+        inertia = got.assign(inertia=[z[-1] for z in got["z"]]).groupby(["site", "restart"])["inertia"].sum().reset_index()
+        new = now.merge(got, on=["site", "restart", "cluster"], how="left")
+        moved = [z[:-2] / z[-2] if isinstance(z, np.ndarray) else v for v, z in zip(new["vec"], new["z"])]  # an empty cluster stays
+        shift = max(float(((a - b) ** 2).sum()) for a, b in zip(moved, new["vec"]))
+        if shift <= tol * tol:
+            break
+        now = new[["site", "restart", "cluster"]].assign(vec=moved)
+    best = inertia.sort_values(["site", "inertia", "restart"]).drop_duplicates("site")[["site", "restart"]]
+    final = spark.sparkContext.broadcast({s: np.stack(p["vec"].to_list()) for s, p in now.merge(best, on=["site", "restart"]).groupby("site")})
+
+    def label(it):
+        for site, urls, x in _by_site(it):
+            near, _ = _closest(x, final.value[site])
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"site": site, "url": urls.to_numpy(), "cluster": near.astype(np.int32)}), preserve_index=False)
+
+    return vecs.select("site", "url", "vec").mapInArrow(label, schema)
 
 
 def recluster(vecs: DataFrame, current: DataFrame, k: int = 7, seed: int = 42, restarts: int = 10) -> DataFrame:
@@ -131,11 +207,28 @@ def term_svd(weights: DataFrame, vocab: DataFrame, cap: int = 64, method: str =
 
 
 def layout_2d(vecs: DataFrame) -> DataFrame:
-    """2-D coordinates per site with PCA(k=2) -> (site, url, x, y)."""
-    outs = []
-    for site in _sites(vecs):
-        sub = vecs.filter(F.col("site") == site).select("site", "url", array_to_vector("vec").alias("features"))
-        model = PCA(k=2, inputCol="features", outputCol="xy").fit(sub)
-        xy = model.transform(sub).select("site", "url", vector_to_array("xy").alias("xy"))
-        outs.append(xy.select("site", "url", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y")))
-    return _union(outs, vecs, f"site string, url {vecs.schema['url'].dataType.simpleString()}, x double, y double")
+    """2-D coordinates per site by principal components -> (site, url, x, y).
+
+    All sites in one job: tasks sum x x^T by site, a task per site finds the two
+    leading directions of its d x d covariance.  A direction's largest entry is positive."""
+    def sums(it):
+        total: dict = {}
+        for site, _, x in _by_site(it):
+            z = np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel()))
+            total[site] = total.get(site, 0) + z
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([z.tolist() for z in total.values()], pa.list_(pa.float64()))],
+                                         ["site", "z"])
+
+    def directions(table):
+        z = np.sum(np.stack([np.array(v) for v in table["z"].to_pylist()]), axis=0)
+        d = int(round((np.sqrt(4 * len(z) - 3) - 1) / 2))
+        mean = z[1:d + 1] / z[0]
+        _, vectors = np.linalg.eigh(z[d + 1:].reshape(d, d) / z[0] - np.outer(mean, mean))
+        two = [vectors[:, -1], vectors[:, -2] if d > 1 else np.zeros(d)]
+        two = [v * (1 if v[np.argmax(np.abs(v))] >= 0 else -1) for v in two]
+        return pa.table({"site": [table["site"][0].as_py()], "p": [two[0].tolist()], "q": [two[1].tolist()]})
+
+    rows = vecs.select("site", "url", F.col("vec").cast("array<double>").alias("vec"))
+    axes = rows.mapInArrow(sums, "site string, z array<double>").groupBy("site").applyInArrow(
+        directions, "site string, p array<double>, q array<double>")
+    return join_side_table(rows, axes, ["site"]).select("site", "url", V.dot(F.col("vec"), F.col("p")).alias("x"), V.dot(F.col("vec"), F.col("q")).alias("y"))

@@ -54,23 +54,30 @@ def _times(docs: DataFrame, m: np.ndarray, url_type: str) -> DataFrame:
     return docs.select("url", "idx", "w").mapInPandas(run, f"url {url_type}, y array<double>")
 
 
+def _summed(part: DataFrame, rows: int, l: int) -> np.ndarray:
+    """Rows (idx, z) added up by idx and position in Spark; the rows x l result."""
+    cells = part.select("idx", F.posexplode("z").alias("pos", "x")).groupBy("idx", "pos").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros((rows, l))
+    out[cells["idx"].to_numpy(np.int64), cells["pos"].to_numpy(np.int64)] = cells["x"].to_numpy(np.float64)
+    return out
+
+
 def _gram(y: DataFrame, l: int) -> np.ndarray:
-    """Y^T Y from per-partition partials (each l x l)."""
+    """Y^T Y, l x l."""
     def run(it):
         g = np.zeros((l, l))
         for pdf in it:
             if len(pdf):
                 a = np.stack(pdf["y"].to_numpy())
                 g += a.T @ a
-        yield pd.DataFrame({"g": [g.ravel().tolist()]})
+        yield pd.DataFrame({"idx": np.arange(l), "z": list(g)})
 
-    parts = y.select("y").mapInPandas(run, "g array<double>").collect()
-    return sum(np.asarray(r.g).reshape(l, l) for r in parts)
+    return _summed(y.select("y").mapInPandas(run, "idx long, z array<double>"), l, l)
 
 
 def _t_times(docs: DataFrame, y: DataFrame, t: int, l: int, rmat: np.ndarray | None = None) -> np.ndarray:
-    """X^T (Y R): per-partition partial T x l sums, reduced by term in Spark,
-    the bounded T x l result collected."""
+    """X^T (Y R): partial T x l sums per task, added up in Spark; the
+    T x l result, bounded by the vocabulary cap, goes to the driver."""
     r = rmat if rmat is not None else np.eye(l)
 
     def run(it):
@@ -86,13 +93,7 @@ def _t_times(docs: DataFrame, y: DataFrame, t: int, l: int, rmat: np.ndarray | N
             yield pd.DataFrame({"idx": nz.astype(np.int64), "z": list(acc[nz])})
 
     j = docs.join(y, "url").select("idx", "w", "y")
-    part = j.mapInPandas(run, "idx long, z array<double>")
-    summed = part.groupBy("idx").agg(F.collect_list("z").alias("zs")).select(
-        "idx", F.aggregate("zs", F.array_repeat(F.lit(0.0), l), lambda acc, z: F.zip_with(acc, z, lambda a, b: a + b)).alias("z"))
-    out = np.zeros((t, l))
-    for r in summed.collect():
-        out[int(r.idx)] = r.z
-    return out
+    return _summed(j.mapInPandas(run, "idx long, z array<double>"), t, l)
 
 
 def _chol_inv(g: np.ndarray) -> np.ndarray:

@@ -3,8 +3,8 @@
 A stream of link rows ``(site, src, href)`` keeps running weights per
 (site, source, target) in Spark's state store; each micro-batch's updated
 rows are appended to an edge log with the batch id, and the current edge
-table is the latest weight per key.  The stream's checkpoint lives under the
-session's ``spark.checkpoint.dir`` unless given.
+table is the latest weight per key.  Each log has its own stream checkpoint,
+beside it unless given.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.session import ensure_checkpoint_dir
-
 
 def edge_updates(links: DataFrame) -> DataFrame:
     """Running weight per (site, source, target) of a (streaming) link table."""
@@ -24,7 +22,7 @@ def edge_updates(links: DataFrame) -> DataFrame:
 def start_edge_stream(spark: SparkSession, source_dir: str, schema: str, log_dir: str,
                       checkpoint_location: str | None = None, available_now: bool = True):
     """Read link files as they arrive in ``source_dir``; append weight updates to ``log_dir``."""
-    ckpt = checkpoint_location or f"{ensure_checkpoint_dir(spark)}/edge-stream"
+    ckpt = checkpoint_location or f"{log_dir.rstrip('/')}-checkpoint"
     stream = spark.readStream.schema(schema).parquet(source_dir)
 
     def append(batch: DataFrame, batch_id: int):
