@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import Powers, mix, word_chunks
+from linkloom.llm.words import Powers, mix, no_clash, word_chunks
 from linkloom.operators.iterate import cut
 
 PASSAGE = 64
@@ -194,6 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 def score(docs: DataFrame, net: Attention, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (),
           threshold: float = 0.3) -> DataFrame:
     """doc_id, the columns ``keep``, score, predicted, passages, and the first word of the weightiest passage."""
+    no_clash(keep)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     names = rows.columns[1:]

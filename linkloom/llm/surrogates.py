@@ -72,21 +72,18 @@ def windows(text: str):
             while at >= 0:
                 places.append(min(at, len(text)))
                 at = where.find(word, at + 1)
-    end = -1
+    lo = hi = -1
     for at in sorted(places):
-        if at < end:
-            continue  # a stretch is long enough for what begins in it, see below
-        lo = max(text.rfind(" ", 0, max(0, at - 60)) + 1, end, 0)
-        hi = at
-        while True:  # on to a space 100 characters after the last trigger
-            more = text.find(" ", hi + 100)
-            stop = len(text) if more < 0 else more
-            last = DIGIT_OR_AT.search(text[max(lo, stop - 40):stop])
-            if more < 0 or not last:
-                break
-            hi = stop
-        yield lo, stop
-        end = stop
+        begin = text.rfind(" ", 0, max(0, at - 60)) + 1
+        if hi < 0 or begin > hi:
+            if hi >= 0:
+                yield lo, hi
+            lo = begin
+        if at + 100 > hi:
+            stop = text.find(" ", at + 100)
+            hi = len(text) if stop < 0 else stop
+    if hi >= 0:
+        yield lo, hi
 
 
 def entities(text: str, pattern: re.Pattern):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import Powers, mix, sums_by_key, word_chunks
+from linkloom.llm.words import Powers, mix, no_clash, sums_by_key, word_chunks
 from linkloom.operators.iterate import cut
 
 PREFIX_BYTES = (4, 5)
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     effect = np.log((toxic + prior) / (n_toxic + all_prior)) - np.log((clean + prior) / (n_clean + all_prior) + 1e-300)
     z = effect / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
     use = (np.abs(z) >= min_z) & (np.abs(effect) >= min_effect) if n_clean and n_toxic else np.zeros(len(h), bool)
-    model = {"h": h[use], "score": effect[use], "z": z[use], "log_k": 0.0, "slope": 1.0, "offset": -2.0}
+    model = {"h": h[use], "score": effect[use], "z": z[use], "log_k": 0.0, "slope": 0.0, "offset": -2.0}
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     n, y = np.maximum(held["n"].to_numpy(np.float64), 1), held["y"].to_numpy(np.float64)
     if (y == 0).any():
         model["log_k"] = float(-np.log(np.mean(np.exp(-(best - np.log(n))[y == 0]))))
-    if (y == 0).any() and (y == 1).any():
+    if use.any() and (y == 0).any() and (y == 1).any():
         x = np.array([evidence(k, [(0, 0, v) for v in s], model["log_k"]) for k, s in zip(held["n"], held["segs"])])
         model["slope"], model["offset"] = fit_logistic(x, y)
     return model
@@ -234,6 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """doc_id, the columns ``keep``, score, predicted, and the significant passages
     (first word, number of words, score above the extreme-value location)."""
+    no_clash(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"kept_{c}") for c in keep])
 

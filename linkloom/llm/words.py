@@ -114,6 +114,15 @@ def word_chunks(column, lower: bool = True, size: int = CHUNK_BYTES, pw: Powers
         at = to
 
 
+RESULTS = {"doc_id", "score", "predicted", "spans", "passages", "key_word", "n_tokens", "n_known", "train_tokens", "base_score"}
+
+
+def no_clash(keep: tuple) -> None:
+    """Columns that a scoring operator passes on can't have a result's name (a struct of them can)."""
+    if clash := RESULTS & set(keep):
+        raise ValueError(f"can't keep columns named like results: {sorted(clash)}")
+
+
 def sums_by_key(keys: np.ndarray, weights: np.ndarray | None = None):
     """(distinct keys, their summed weights), int64."""
     if not len(keys):
