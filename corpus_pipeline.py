@@ -14,6 +14,7 @@ second keeps one; the third keeps them apart by text.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkloom.llm import content_sort, minhash, mixing, packing, toxicity
 from linkloom.llm.queries import remainder, tokenizer_path
@@ -24,8 +25,8 @@ from linkloom.session import table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents scored 0.5 or more go.  Labels come from the same rows as in its query."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(remainder() != 0))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.score(docs, model, keep=others).filter("predicted = 0").select(docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return toxicity.score(rows, model, keep=("row",)).filter("predicted = 0").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
