@@ -161,7 +161,7 @@ def test_filter_reads_counts_back(spark):
     assert (read >= low - 1e-6).all() and (np.abs(read - low) > 1e-6).mean() < 0.03
     assert (f.level(rng.integers(1 << 62, 1 << 63, 20000).view(np.uint64)) > 0).mean() < 0.02
     tight = bloom_lm.build(table, 2, 1 << 15)  # too few bits for all: the least count rises
-    assert tight.least > 2 and len(tight.bits) * 8 <= 1 << 15
+    assert tight.least > 2 and len(tight.words) * 64 <= 1 << 15
 
 
 PII = [
