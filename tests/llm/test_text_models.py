@@ -127,7 +127,7 @@ def tokens_of(text):
 
 
 def test_language_model(spark, monkeypatch):
-    base = [(i, words(i % 40, 50) if i % 3 else words(1000 + i, 30)) for i in range(200)]
+    base = [(i, words(i % 37, 50) if i % 3 else words(1000 + i, 30)) for i in range(200)]
     data = [*base, (200, None), (201, ""), (202, "never seen xyzzy"), (203, words(7, 3000))]
     table = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     train = table.filter("doc_id % 5 <> 1")
