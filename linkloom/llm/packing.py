@@ -11,7 +11,7 @@ of at least ``least_piece`` tokens are filled from the emptiest bins, cutting
 documents where a gap ends, so that one bin of a group is left partly full; it is
 cut into sequences whose lengths are powers of two, which need no padding.
 
-Words are tokenised once per task: a vocabulary whose pre-tokeniser never joins
+Words are tokenised once per worker, as far as its table of words (bounded) holds them: a vocabulary whose pre-tokeniser never joins
 text across white space gives the same ids word by word.  ``by_word=False``
 tokenises whole texts for any other.
 
@@ -36,6 +36,7 @@ from linkloom.llm.words import Powers, bytes_of, word_chunks
 PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
          "sequence_id long, offset long, sequence_length long")
 TOKEN_CHUNK = 4 << 20
+MOST_WORDS = 1_500_000  # about 60 MB of a worker
 
 
 class WordIds:
@@ -43,10 +44,25 @@ class WordIds:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.clear()
+
+    def clear(self):
         self.h = np.zeros(0, np.uint64)
         self.start, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    @classmethod
+    def of_worker(cls, path: str):
+        """The Python worker's table for this vocabulary file: tasks that a worker runs one
+        after the other go on with it.  It lives on the tokenizer library's module, since
+        this one travels to the workers by value."""
+        import tokenizers
+
+        held = tokenizers.__dict__.setdefault("_words_by_path", {})
+        if path not in held:
+            held[path] = cls(tokenizers.Tokenizer.from_file(path))
+        return held[path]
+
     def _learn(self, words, h, at):
         got = self.tokenizer.encode_batch_fast([words.text(i) for i in at], add_special_tokens=False)
         lists = [e.ids for e in got]
@@ -62,6 +78,8 @@ class WordIds:
 
     def documents(self, words, end_id: int):
         """(ids of all texts with their end ids, bounds per text)."""
+        if len(self.h) > MOST_WORDS:
+            self.clear()
         h, first, back = np.unique(words.h, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.h, h), max(len(self.h) - 1, 0))
         new = np.ones(len(h), bool) if not len(self.h) else self.h[at] != h
@@ -162,11 +180,10 @@ def tokenised(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, by_w
     """doc_id, turn (row number in the task), doc_tokens, full (checksums of the full sequences), rest (ids)."""
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        known = WordIds.of_worker(tokenizer_path)
+        tokenizer = known.tokenizer
         kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
-        known, pw, turn = WordIds(tokenizer), Powers(), 0
+        pw, turn = Powers(), 0
         for batch in batches:
             at = 0
             if by_word:
