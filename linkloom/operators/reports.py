@@ -96,6 +96,11 @@ def filter_graph(nodes: DataFrame, edges: DataFrame, article_only: bool = True,
     return nf, ef
 
 
+def weight_bound(edges: DataFrame) -> DataFrame:
+    """The upper end of the strength filter per site, missing weights counting as 1."""
+    return edges.groupBy("site").agg(F.max(F.coalesce("weight", F.lit(1))).alias("max_weight"))
+
+
 def node_style(nodes: DataFrame, centrality: DataFrame) -> DataFrame:
     """size = 15 + 25 * minmax(pagerank) (null -> 0, flat range -> denominator 1);
     colour = palette[cluster mod 20], no cluster -> grey."""

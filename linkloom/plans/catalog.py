@@ -349,6 +349,16 @@ def anchor_search(spark, d):
     return R.anchor_search(e, "the").select("source", "target", "weight", "anchors")
 
 
+@query("anchor_search_count")
+def anchor_search_count(spark, d):
+    return R.anchor_search(G.export_edges(_page_edges(spark, d)), "the").agg(F.count(F.lit(1)).alias("matches"))
+
+
+@query("weight_bound")
+def weight_bound(spark, d):
+    return R.weight_bound(FX.click_edges(spark, d)).select("max_weight")
+
+
 @query("filtered_graph")
 def filtered_graph(spark, d):
     _, e = R.filter_graph(FX.report_nodes(spark, d), FX.click_edges(spark, d), article_only=True,

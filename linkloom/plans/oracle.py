@@ -558,6 +558,18 @@ ex AS (SELECT source, target, weight, coalesce({_anchor_str('anchors', ' | ')},
 SELECT * FROM ex WHERE regexp_matches(coalesce(anchors, ''), '(?i)the')"""
 
 
+@oracle("anchor_search_count")
+def _():
+    return f"""WITH {PAGE_EDGES},
+ex AS (SELECT coalesce({_anchor_str('anchors', ' | ')}, '') AS anchors FROM pgrp)
+SELECT count(*) AS matches FROM ex WHERE regexp_matches(anchors, '(?i)the')"""
+
+
+@oracle("weight_bound")
+def _():
+    return f"WITH {click_ctes()} SELECT max(weight) AS max_weight FROM cedges"
+
+
 @oracle("filtered_graph")
 def _():
     return f"""WITH {click_ctes()}, {REPORT_NODES},
