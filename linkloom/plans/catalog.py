@@ -553,3 +553,37 @@ def title_flags(spark, d):
     rules = U.ArticleRules(title_exclude=U.DEFAULT_TITLE_EXCLUDE, min_title_length=U.DEFAULT_MIN_TITLE_LENGTH)
     p = FX.pages(spark, d).select("url", H.extract_title(F.col("html")).alias("title"))
     return p.select("url", U.title_ok(F.col("title"), rules).alias("title_ok"))
+
+
+# ------------------------------------------------------------------ A7, A8, C2, D1, D7, D8
+
+@query("sitemap_prefix_cap")
+def sitemap_prefix_cap(spark, d):
+    """Of every sitemap document the first 20 URLs with the prefix."""
+    out = SM.sitemap_urls(derived_sitemaps(spark, d).filter(~F.col("sitemap_url").endswith("/sitemap.xml")), prefix="https://", max_urls=20)
+    return out.select("doc", "url", "pos")
+
+
+@query("crawl_seeds")
+def crawl_seeds(spark, d):
+    """A site's sitemap URLs first, then its seed (the first page by number)."""
+    p = FX.pages(spark, d)
+    listed = p.filter(F.col("page_id") % 2 == 0).select("site", "url", F.col("page_id").alias("pos"))
+    seed = p.groupBy("site").agg(F.min_by("url", "page_id").alias("url"))
+    return FR.seeds_from(listed, seed).select("site", "url", "grp", "pos")
+
+
+@query("attached_nodes")
+def attached_nodes(spark, d):
+    """Page nodes with late attributes (here, the label of the vector of the same number)."""
+    p = FX.pages(spark, d).withColumn("title", H.extract_title(F.col("html")))
+    labels = FX.vectors(spark, d).select(F.col("url").alias("page_id"), "cluster")
+    late = p.join(labels, "page_id").select("site", "url", "cluster")
+    return G.attach(G.build_nodes(p), late).select("url", "title", "is_article", "cluster")
+
+
+@query("weighted_degrees")
+def weighted_degrees(spark, d):
+    """A missing weight counts as 1 (here, the weights of repeated clicks are withheld)."""
+    e = FX.click_edges(spark, d).withColumn("weight", F.when(F.col("weight") > 1, None).otherwise(F.col("weight")))
+    return e.groupBy(F.col("source").alias("url")).agg(F.sum(G.default_weight()).alias("out_weight"))

@@ -743,3 +743,31 @@ def _():
     t = f"lower(coalesce({title('html')}, ''))"
     conds = " AND ".join(f"NOT contains({t}, {q(w)})" for w in U.DEFAULT_TITLE_EXCLUDE)
     return f"SELECT url, (length({t}) >= {U.DEFAULT_MIN_TITLE_LENGTH} AND {conds}) AS title_ok FROM pages"
+
+
+# ------------------------------------------------------------------ A7, A8, C2, D1, D7, D8
+
+@oracle("sitemap_prefix_cap")
+def _():
+    return f"""WITH p AS (SELECT {SITE_DOMAIN} AS site, url, page_id, page_id // 100 AS chunk FROM pages WHERE starts_with(url, 'https://')),
+r AS (SELECT *, row_number() OVER (PARTITION BY site, chunk ORDER BY page_id) AS pos FROM p)
+SELECT 'https://' || site || '/sitemap-' || chunk || '.xml' AS doc, url, pos FROM r WHERE pos <= 20"""
+
+
+@oracle("crawl_seeds")
+def _():
+    return f"""WITH p AS (SELECT {SITE_DOMAIN} AS site, url, page_id FROM pages),
+every AS (SELECT site, url, 0 AS grp, page_id AS pos FROM p WHERE page_id % 2 = 0
+          UNION ALL SELECT site, arg_min(url, page_id), 1, 0 FROM p GROUP BY site)
+SELECT site, url, min(grp) AS grp, arg_min(pos, struct_pack(g := grp, p := pos)) AS pos FROM every GROUP BY site, url"""
+
+
+@oracle("attached_nodes")
+def _():
+    return f"""SELECT p.url, {title('html')} AS title, {_is_article_sql('p.url')} AS is_article, e.label AS cluster
+FROM pages p LEFT JOIN embeddings e ON e.vec_id = p.page_id"""
+
+
+@oracle("weighted_degrees")
+def _():
+    return f"WITH {click_ctes()} SELECT source AS url, sum(CASE WHEN weight > 1 THEN 1 ELSE weight END) AS out_weight FROM cedges GROUP BY 1"
