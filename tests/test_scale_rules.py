@@ -124,3 +124,26 @@ def test_centroids_and_nearest(spark):
     for r in S.nearest_centroid(df, cen).collect():
         s, v = vec[r.url]
         assert (r.cluster, round(r.dist, 9)) == min(((c, round(float(np.linalg.norm(v - m)), 9)) for c, m in table[s]), key=lambda t: (t[1], t[0]))
+
+
+def test_pruned_similarity_join_is_exact(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((6, 8)) * 4
+    rows = [("s", i, (centres[i % 6] + rng.standard_normal(8) * 0.4).tolist()) for i in range(180)] + [("t", 500, [1.0] * 8), ("t", 501, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "site string, url long, vec array<double>")
+    x = np.array([v for _, _, v in rows[:180]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = x @ x.T
+    np.fill_diagonal(c, -2)
+    for least in (None, 0.9):
+        got = {}
+        for r in S.topk_similar(df, k=3, min_sim=least, block_size=16).filter("site = 's'").collect():
+            got.setdefault(r.source, []).append((r.rank, r.target))
+        for i in range(180):
+            order = sorted(range(180), key=lambda j: (-c[i, j], j))[:3]
+            want = [j for j in order if j != i and (least is None or c[i, j] >= least)]
+            assert [t for _, t in sorted(got.get(i, []))] == want
+    from linkloom.functions import vectors as V
+    unit = df.filter("site = 's'").select("site", "url", V.l2_normalize(F.col("vec")).alias("vec"))
+    _, blocks = S.similarity_blocks(unit, 16)
+    assert S.reachable_cells(blocks, 0.9).count() < S.reachable_cells(blocks, None).count()
