@@ -170,12 +170,12 @@ def linked_in_cell(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def cells(members: DataFrame) -> DataFrame:
-    """Members (sid, cluster, n_shingles, sig, set) dealt to cells that together
+def cells(narrow: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (sid, cluster, n_shingles, sig, set; ``narrow`` has them without sets) dealt to cells that together
     hold every pair of a cluster whose sizes allow a link.  Small clusters share a
     cell.  A large one is split by size class (a factor of 4/3 each; a member visits
     the class below its own) and then into blocks that meet two by two."""
-    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
+    size = narrow.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
     small = (F.col("members") <= BLOCK) & (F.col("shingles") <= BLOCK_SHINGLES)
     size = cut(size.withColumn("small", small))
     together = size.filter("small").agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0] // BLOCK_SHINGLES + 1
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(cluster.select(F.col("node").alias("sid"), F.col("label").alias("cluster")).join(
         reps.select("sid", "rep", "n_shingles", "sig"), "sid"))
     met = members.drop("rep").join(_sets_of(members, texts), "sid")
-    links = cut(cells(met).groupBy("cell", "class", "i", "j").applyInArrow(linked_in_cell, "u long, v long"))
+    links = cut(cells(members, met).groupBy("cell", "class", "i", "j").applyInArrow(linked_in_cell, "u long, v long"))
     label = components(links)
 
     # smallest identifier of each component, then of each document
