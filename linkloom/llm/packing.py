@@ -35,8 +35,7 @@ from linkloom.llm.words import Powers, bytes_of, word_chunks
 
 PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
          "sequence_id long, offset long, sequence_length long")
-TOKEN_CHUNK = 4 << 20
-MOST_WORDS = 1_500_000  # about 60 MB of a worker
+MOST_WORDS = 1_000_000  # about 50 MB of a worker
 
 
 class WordIds:
@@ -187,7 +186,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, by_w
         for batch in batches:
             at = 0
             if by_word:
-                chunks = (known.documents(w, end_id) for _, w in word_chunks(batch.column(1), lower=False, size=TOKEN_CHUNK, pw=pw))
+                chunks = (known.documents(w, end_id) for _, w in word_chunks(batch.column(1), lower=False, pw=pw))
             else:
                 chunks = whole_texts(batch.column(1), tokenizer, end_id)
             for ids, bounds in chunks:

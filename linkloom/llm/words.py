@@ -97,7 +97,11 @@ def words_of(data: np.ndarray, bounds: np.ndarray, pw: Powers, lower: bool = Tru
     end = np.flatnonzero(inside & (cut[1:] | ~np.concatenate((inside[1:], [False])))) + 1
     up, down = pw.upto(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * up[:n], out=sums[1:])
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= up[:n]
+    np.cumsum(terms, out=sums[1:])
+    del terms
     h = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)
     return Words(data, bounds, begin, end, mix(h))
 
