@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
-from linkloom.llm.words import Powers, mix, word_chunks
+from linkloom.llm.words import Powers, mix, small_batches, word_chunks
 from linkloom.operators.iterate import cut
 
 WIDTH, COORDS, MATCHES = 5, 64, 31
@@ -198,7 +198,7 @@ def cells(narrow: DataFrame, members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(sign(texts))
     known = signed.filter("sid IS NOT NULL AND doc_id IS NOT NULL")
     reps = cut(known.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),

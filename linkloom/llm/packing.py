@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import Powers, bytes_of, word_chunks
+from linkloom.llm.words import Powers, bytes_of, small_batches, word_chunks
 
 PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
          "sequence_id long, offset long, sequence_length long")
@@ -209,7 +209,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
          end_id: int = 1, group_docs: int = 4096, least_piece: int = 16, by_word: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length."""
     groups = max(1, -(-docs.count() // group_docs))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = tokenised(texts, tokenizer_path, size, end_id, by_word)
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "turn"), F.lit(groups)))
 

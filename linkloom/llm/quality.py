@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import Powers, mix, no_clash, word_chunks
+from linkloom.llm.words import Powers, mix, no_clash, small_batches, word_chunks
 from linkloom.operators.iterate import cut
 
 PASSAGE = 64
@@ -160,6 +160,7 @@ class Attention:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
         max_train: int = 8_000, epochs: int = 15) -> Attention:
+    small_batches(docs)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     part = min(1.0, max_train / max(1, known.count()))
@@ -195,6 +196,7 @@ def score(docs: DataFrame, net: Attention, id_col: str = "doc_id", text_col: str
           threshold: float = 0.3) -> DataFrame:
     """doc_id, the columns ``keep``, score, predicted, passages, and the first word of the weightiest passage."""
     no_clash(keep)
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     names = rows.columns[1:]

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.words import small_batches
 from linkloom.operators.iterate import cut
 
 # Titles and the gender they state.
@@ -260,7 +261,7 @@ def retried(values: DataFrame, key: bytes, most: int = 64) -> DataFrame:
 
 def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text, n_entities, entities (kind, begin, end in the new text)."""
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
+    rows = small_batches(docs).select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
     found = cut(distinct_entities(rows.select("key", "text")))
     again = cut(retried(cut(found.select("kind", "value").distinct()), key))
     if again.isEmpty():

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import Powers, mix, no_clash, sums_by_key, word_chunks
+from linkloom.llm.words import Powers, mix, no_clash, small_batches, sums_by_key, word_chunks
 from linkloom.operators.iterate import cut
 
 PREFIX_BYTES = (4, 5)
@@ -154,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         max_train: int = 20_000, max_features: int = 1 << 18, min_contexts: int = 5, min_z: float = 3.0,
         min_effect: float = 1.0) -> dict:
     """Model as a small dict: lexicon arrays, K of the extreme-value law, logistic curve."""
+    small_batches(docs)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     part = min(1.0, max_train / max(1, known.count()))
@@ -235,6 +236,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """doc_id, the columns ``keep``, score, predicted, and the significant passages
     (first word, number of words, score above the extreme-value location)."""
     no_clash(keep)
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"kept_{c}") for c in keep])
 

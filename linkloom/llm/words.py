@@ -33,6 +33,17 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df):
+    """Texts go to Python tasks some megabytes at a time, unless the session says otherwise."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_BYTES) == "67108864b":  # Spark's default
+        conf.set(ARROW_BYTES, str(8 << 20))
+    return df
+
+
 class Powers:
     """Powers of the hash base and of its inverse, grown on demand."""
 
@@ -116,6 +127,7 @@ def word_chunks(column, lower: bool = True, size: int = CHUNK_BYTES, pw: Powers
         to = min(n, max(to, at + 1))
         yield at, words_of(data, bounds[at:to + 1], pw, lower)
         at = to
+    pa.default_memory_pool().release_unused()  # an idle worker would keep what a batch took
 
 
 RESULTS = {"doc_id", "score", "predicted", "spans", "passages", "key_word", "n_tokens", "n_known", "train_tokens", "base_score"}
