@@ -12,8 +12,10 @@ everywhere (coreference), without a table.  For all types but names it is a keye
 permutation of all values of the value's format, so different values never meet.
 The collision check runs over the distinct entities of the corpus: a surrogate
 that is itself an entity of the corpus, or a name surrogate that two values share,
-is made again with the next tweak until none is left.  Only documents that hold
-such an entity are given the tweak; there are few.
+is made again with the next tweak until none is left.  Made names get longer as
+tweaks rise; a format of which the corpus holds more than half of all values, so that
+no free one may be left, is widened by digits.  Only documents that hold such an
+entity are given the tweak; there are few.
 
 Defined cases: null text stays null and has no entities; a text is replaced whole,
 whatever its length; overlapping matches go to the earlier, then the first pattern
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
 
 import pyarrow as pa
@@ -57,6 +60,8 @@ SCRIPTS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклм
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+WIDE, ROUNDS = 1 << 16, 64
+
 DIGIT_OR_AT = re.compile("[0-9@]")
 KEY_HEADS = ("AKIA", "ASIA")
 SECRET_WORDS = ("passw", "pwd", "secret", "key", "token")
@@ -120,6 +125,35 @@ def number(key: bytes, *parts) -> int:
     return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest(), "big")
 
 
+def widened(key: bytes, kind: str, value: str, tweak: int) -> str:
+    """Digits by which a surrogate outgrows its format: a tweak holds their number above ``WIDE``."""
+    w = tweak // WIDE
+    return f"{number(key, 'wide', kind, tweak, value) % 10 ** w:0{w}d}" if w else ""
+
+
+def space_of(kind: str, value: str) -> tuple[str, int]:
+    """A canonical value's format, and how many values that has."""
+    if kind == "ip":
+        return kind, 1 << 32
+    (a, b), alphabets = fixed_part(kind, value), alphabets_of(kind, value)
+    inner, size = value[a:len(value) - b], 1
+    for x in alphabets:
+        size *= len(x or "1")
+    shape = "".join(str(len(x)) if x else c for x, c in zip(alphabets, inner))
+    return f"{value[:a]}|{shape}|{value[len(value) - b:] if b and kind != 'card' else b}", size
+
+
+def alphabets_of(kind: str, value: str) -> list:
+    """For each character that isn't fixed, those it may become; None where it stays."""
+    a, b = fixed_part(kind, value)
+    inner = value[a:len(value) - b]
+    if kind in ("secret", "hexkey") and re.fullmatch(r"[0-9a-f]+", inner):
+        return ["0123456789abcdef"] * len(inner)
+    if kind == "accesskey":
+        return [ALPHABETS[2] + ALPHABETS[0]] * len(inner)
+    return [next((x for x in ALPHABETS if c in x), None) for c in inner]
+
+
 def permuted(key: bytes, label: str, digits: list[int], radix: list[int]) -> list[int]:
     """Keyed permutation of all mixed-radix numbers with these radices: six rounds
     that add a keyed function of one half to the other."""
@@ -161,15 +195,9 @@ def surrogate(key: bytes, kind: str, value: str, tweak: int = 0) -> str:
         return made_name(key, kind, value, tweak)
     if kind == "ip":
         octets = permuted(key, f"{kind}{tweak}", [int(x) for x in value.split(".")], [256] * 4)
-        return ".".join(map(str, octets))
+        return ".".join(map(str, octets)) + "".join(f".{d}" for d in widened(key, kind, value, tweak))
     a, b = fixed_part(kind, value)
-    inner = value[a:len(value) - b]
-    if kind in ("secret", "hexkey") and re.fullmatch(r"[0-9a-f]+", inner):
-        alphabets = ["0123456789abcdef"] * len(inner)
-    elif kind == "accesskey":
-        alphabets = [ALPHABETS[2] + ALPHABETS[0]] * len(inner)
-    else:
-        alphabets = [next((x for x in ALPHABETS if c in x), None) for c in inner]
+    inner, alphabets = value[a:len(value) - b], alphabets_of(kind, value)
     places = [i for i, x in enumerate(alphabets) if x]
     shape = "".join(str(len(alphabets[i])) if alphabets[i] else inner[i] for i in range(len(inner)))
     got = permuted(key, f"{kind}{tweak}|{value[:a]}|{shape}|{value[len(value) - b:] if b and kind != 'card' else ''}",
@@ -177,7 +205,7 @@ def surrogate(key: bytes, kind: str, value: str, tweak: int = 0) -> str:
     out = list(inner)
     for i, d in zip(places, got):
         out[i] = alphabets[i][d]
-    body = value[:a] + "".join(out)
+    body = value[:a] + "".join(out) + widened(key, kind, value, tweak)
     if kind == "card" and b:
         return body + str(luhn(body))
     return body + value[len(value) - b:]
@@ -187,7 +215,7 @@ def made_name(key: bytes, kind: str, value: str, tweak: int) -> str:
     script = "cyrillic" if re.search("[а-яё]", value) else "greek" if re.search("[α-ωά-ώ]", value) else "latin"
     consonants, vowels = SCRIPTS[script]
     x, out = number(key, kind, tweak, value), ""
-    for _ in range(3 if kind.startswith("given") else 4):
+    for _ in range((3 if kind.startswith("given") else 4) + tweak // 4):
         x, c = divmod(x, len(consonants))
         x, v = divmod(x, len(vowels))
         out += consonants[c] + vowels[v]
@@ -203,10 +231,10 @@ def in_format(kind: str, raw: str, new: str) -> str:
     if kind.startswith(("given", "family")):
         return new.upper() if raw.isupper() and len(raw) > 1 else new.capitalize()
     if kind == "email":
-        return "".join(n.upper() if c.isupper() else n for c, n in zip(raw, new))
+        return "".join(n.upper() if c.isupper() else n for c, n in zip(raw, new)) + new[len(raw):]
     if kind in ("card", "phone", "ssn", "iban"):
         rest = iter(new)
-        return "".join(c if c in " ().-" else next(rest) for c in raw)
+        return "".join([c if c in " ().-" else next(rest) for c in raw]) + "".join(rest)
     return new
 
 
@@ -226,16 +254,28 @@ def distinct_entities(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, kind string, value string")
 
 
-def assigned(values: DataFrame, key: bytes, tweak: int) -> DataFrame:
-    """(kind, value, tweak, sur) for distinct (kind, value)."""
+def assigned(values: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, tweak, sur) for distinct (kind, value) with their tweak."""
+    def run(batches):
+        for b in batches:
+            sur = [surrogate(key, *x) for x in zip(*(c.to_pylist() for c in b.columns))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sur, pa.string())], ["kind", "value", "tweak", "sur"])
+
+    return values.select("kind", "value", F.col("tweak").cast("int").alias("tweak")).mapInArrow(run, "kind string, value string, tweak int, sur string")
+
+
+def crowded(values: DataFrame) -> DataFrame:
+    """(kind, value) of the formats of which the corpus holds more than half of all values."""
     def run(batches):
         for b in batches:
-            kinds, vals = b.column(0).to_pylist(), b.column(1).to_pylist()
-            sur = [surrogate(key, k, v, tweak) for k, v in zip(kinds, vals)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([tweak] * len(sur), pa.int32()), pa.array(sur, pa.string())],
-                                             ["kind", "value", "tweak", "sur"])
+            spaces = [space_of(k, v) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in spaces], pa.string()), pa.array([float(n) for _, n in spaces], pa.float64())],
+                                             ["kind", "value", "format", "size"])
 
-    return values.select("kind", "value").mapInArrow(run, "kind string, value string, tweak int, sur string")
+    rows = values.filter("NOT startswith(kind, 'given') AND kind <> 'family'").select("kind", "value").mapInArrow(
+        run, "kind string, value string, format string, size double")
+    full = rows.groupBy("kind", "format").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("most")).filter("2 * n > most")
+    return rows.join(full, ["kind", "format"], "left_semi").select("kind", "value")
 
 
 def family(kind):
@@ -243,11 +283,12 @@ def family(kind):
     return F.regexp_replace(kind, "^given.$", "given")
 
 
-def retried(values: DataFrame, key: bytes, most: int = 64) -> DataFrame:
+def retried(values: DataFrame, key: bytes) -> DataFrame:
     """The entities (kind, value, tweak) whose first surrogate collides, with the tweak that doesn't."""
     known = values.select(family(F.col("kind")).alias("space"), F.col("value").alias("sur")).distinct()
-    now = cut(assigned(values, key, 0))
-    for tweak in range(1, most):
+    now = cut(assigned(values.withColumn("tweak", F.lit(0)), key))
+    full = None
+    for tweak in itertools.count(1):
         spaced = now.withColumn("space", family(F.col("kind")))
         taken = spaced.groupBy("space", "sur").agg(F.min(F.struct("tweak", "value", "kind")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         clash = spaced.join(known, ["space", "sur"], "left_semi").select("kind", "value").unionByName(
@@ -255,7 +296,12 @@ def retried(values: DataFrame, key: bytes, most: int = 64) -> DataFrame:
         clash = cut(clash)
         if clash.isEmpty():
             break
-        now = cut(now.join(clash, ["kind", "value"], "left_anti").unionByName(assigned(clash, key, tweak)))
+        full = full or cut(crowded(values).withColumn("full", F.lit(True)))
+        # a format that is nearly full, if not provably, is widened after many rounds
+        name = F.col("kind").startswith("given") | (F.col("kind") == "family")
+        wide = F.when(name, 0).when(F.col("full"), tweak).otherwise(max(0, tweak - ROUNDS))
+        again = clash.join(full, ["kind", "value"], "left").withColumn("tweak", F.lit(tweak) + F.lit(WIDE) * wide)
+        now = cut(now.join(clash, ["kind", "value"], "left_anti").unionByName(assigned(again, key)))
     return now.filter("tweak > 0").select("kind", "value", "tweak")
 
 

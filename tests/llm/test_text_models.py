@@ -229,6 +229,17 @@ def test_collisions_are_made_again(spark):
     assert len(set(final.values())) == len(held) and not set(final.values()) & set(held)
 
 
+def test_full_formats_stay_distinct(spark):
+    """More names than three Greek syllables make, and all values of short formats."""
+    greek = ["α" + "".join("βγδζκλμνπρ"[int(d)] for d in f"{i:05d}") for i in range(23000)]
+    held = [*(("givenf", v) for v in greek), *(("secret", f"*****{d}") for d in range(10)), ("secret", "******"), *(("email", f"{d}@ü.com") for d in range(10))]
+    table = spark.createDataFrame(held, "kind string, value string").repartition(4)
+    tweaks = {(r.kind, r.value): r.tweak for r in surrogates.retried(table, b"k").collect()}
+    final = {surrogates.surrogate(b"k", *x, tweaks.get(x, 0)) for x in held}
+    assert len(final) == len(held) and not final & {v for _, v in held}
+    assert all(surrogates.in_format(k, v, n := surrogates.surrogate(b"k", k, v, tweaks.get((k, v), 0))).lower() == n for k, v in held)
+
+
 def test_windows_lose_nothing():
     pattern = surrogates.compiled()
     rng = random.Random(4)
