@@ -5,7 +5,12 @@ digits stay digits, letters stay letters of the same case, separators, country
 codes, issuer digits, key prefixes and top-level domains stay, a card number that
 passes its checksum gets one that does.  Names after a title get made-up names of
 the title's gender and of their own script, first and last names each by
-themselves, so "Mr. Ann Lee" and "Mr. Lee" stay one person.
+themselves, so "Mr. Ann Lee" and "Mr. Lee" stay one person.  Names are also found
+after a salutation ("Dear Ann Lee,"), below a closing ("Regards, Ann Lee") and in a
+name field ("Name: Ann Lee"); of such a name no gender is known.  In a document that
+names someone, every capitalised whole-word mention of that name is replaced too,
+wherever it stands.  A name that no title, salutation, closing or field goes with in
+its document isn't found.
 
 A surrogate is a function of (key, type, value): equal values get equal surrogates
 everywhere (coreference), without a table.  For all types but names it is a keyed
@@ -53,6 +58,9 @@ PATTERNS = [
               r"|(?<!\w)\(\d{3}\) ?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w)"),
+    ("cue", rf"(?<!\w)(?:Dear|Hello|Hi) (?P<greeted>{NAME}(?: {NAME}){{0,2}})(?=\s?[,:!])"
+            rf"|(?<!\w)(?:[Rr]egards|[Ss]incerely|[Cc]heers|[Bb]est wishes|[Yy]ours truly|[Yy]ours faithfully),\s{{1,3}}(?P<signed>{NAME}(?: {NAME}){{0,2}})"
+            rf"|(?<!\w)(?:[Ff]ull |[Ff]irst |[Ll]ast |[Gg]iven |[Ff]amily )?(?:[Nn]ame|[Ss]urname): {{0,3}}(?P<field>{NAME}(?: {NAME}){{0,2}})"),
     ("name", rf"(?<!\w)(?P<title>{'|'.join(TITLES)})\.? (?P<name>{NAME}(?: {NAME}){{0,2}})"),
 ]
 # consonants and vowels from which names are made, by script
@@ -64,6 +72,11 @@ WIDE, ROUNDS = 1 << 16, 64
 
 DIGIT_OR_AT = re.compile("[0-9@]")
 KEY_HEADS = ("AKIA", "ASIA")
+CUES = ("Dear ", "Hello ", "Hi ", "egards,", "incerely,", "heers,", "est wishes,", "ours truly,", "ours faithfully,", "ame:")
+NOBODY = {"all", "both", "colleague", "colleagues", "customer", "customers", "everybody", "everyone", "folks", "friend", "friends", "guys",
+          "madam", "reader", "readers", "sir", "sirs", "team", "there", "world", *(t.lower() for t in TITLES)}
+MENTION = re.compile(rf"(?<!\w){NAME}(?!\w)")
+OWNED = re.compile("['’][sS]$")
 SECRET_WORDS = ("passw", "pwd", "secret", "key", "token")
 
 
@@ -72,7 +85,7 @@ def windows(text: str):
     a digit, an at sign, a secret's name or a title.  The rest needs no look."""
     places = [m.start() for m in DIGIT_OR_AT.finditer(text)]
     lower = text.lower()
-    for where, words in ((lower, SECRET_WORDS), (text, (*TITLES, *KEY_HEADS))):
+    for where, words in ((lower, SECRET_WORDS), (text, (*TITLES, *KEY_HEADS, *CUES))):
         for word in words:
             at = where.find(word)
             while at >= 0:
@@ -92,25 +105,53 @@ def windows(text: str):
         yield lo, hi
 
 
-def entities(text: str, pattern: re.Pattern):
-    """(type, begin, end) in order of place."""
+def bare(word: str) -> str:
+    """A name without the s of its owner's case."""
+    return OWNED.sub("", word)
+
+
+def detected(text: str, pattern: re.Pattern):
+    """(type, begin, end) of what the patterns find, in order of place."""
     for m in (m for lo, hi in windows(text) for m in pattern.finditer(text, lo, hi)):
         kind = m.lastgroup
         if m.group("secret"):
             yield "secret", *m.span("secret")
-        elif m.group("name"):
-            gender, (begin, _) = TITLES[m.group("title")], m.span("name")
-            parts = [w for w in re.finditer(NAME, m.group("name")) if w[0][0].isupper()]
-            if not parts or parts[0].start():
+        elif where := next((g for g in ("name", "greeted", "signed", "field") if m.group(g)), None):
+            gender, (begin, _) = TITLES[m.group("title")] if where == "name" else "", m.span(where)
+            parts = [w for w in re.finditer(NAME, m.group(where)) if w[0][0].isupper()]
+            if not parts or parts[0].start() or (where != "name" and any(w[0].lower() in NOBODY for w in parts)):
                 continue
             for k, w in enumerate(parts):
-                yield ("family" if k == len(parts) - 1 else f"given{gender}"), begin + w.start(), begin + w.end()
+                yield ("family" if k == len(parts) - 1 else f"given{gender}"), begin + w.start(), begin + w.start() + len(bare(w[0]))
         else:
             yield kind, *m.span()
 
 
+def entities(text: str, pattern: re.Pattern) -> list:
+    """(type, begin, end) in order of place: what is detected, and all mentions of the names among it."""
+    found = list(detected(text, pattern))
+    names: dict = {}
+    for kind, f, t in found:
+        if kind.startswith(("given", "family")):
+            names.setdefault(canonical(kind, text[f:t]), kind)
+    if not names:
+        return found
+    held, more = 0, []
+    for m in MENTION.finditer(text):
+        word = bare(m[0])
+        kind = names.get(word.lower()) if word[0].isupper() else None
+        if not kind:
+            continue
+        f, t = m.start(), m.start() + len(word)
+        while held < len(found) and found[held][2] <= f:
+            held += 1
+        if held == len(found) or found[held][1] >= t:
+            more.append((kind, f, t))
+    return sorted([*found, *more], key=lambda x: x[1])
+
+
 def compiled() -> re.Pattern:
-    return re.compile("|".join(f"(?P<{kind}>{p})" if kind not in ("secret", "name") else f"(?:{p})" for kind, p in PATTERNS))
+    return re.compile("|".join(f"(?P<{kind}>{p})" if kind not in ("secret", "cue", "name") else f"(?:{p})" for kind, p in PATTERNS))
 
 
 def canonical(kind: str, raw: str) -> str:

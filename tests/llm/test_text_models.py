@@ -229,6 +229,19 @@ def test_collisions_are_made_again(spark):
     assert len(set(final.values())) == len(held) and not set(final.values()) & set(held)
 
 
+def test_names_are_replaced_without_titles(spark):
+    data = [(1, "John knew it. Mr. John Smith came, " + "and so on " * 60 + "until Smith's car left. SMITH said so, but not Smithson or smith; John went."),
+            (2, "Dear Peter Miller,\nthanks to Miller. Best regards,\nJane Doe"), (3, "Full name: Kim Park\nnote: Park was here"),
+            (4, "Dear Sir, hello world. Hi all, no one is named"), (5, "Mrs. Ann Lee; mail Ann.Lee@example.com")]
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(data, "doc_id long, text string"), b"k").collect()}
+    for i, gone in ((1, "John"), (1, "Smith's"), (1, "SMITH"), (2, "Peter"), (2, "Miller"), (2, "Jane"), (2, "Doe"), (3, "Kim"), (3, "Park"), (5, "Lee")):
+        assert gone not in got[i].text
+    assert got[1].n_entities == 6 and "Smithson or smith;" in got[1].text and got[4].text == data[3][1]
+    names = [got[1].text[e.begin:e.end] for e in got[1].entities]
+    assert names[0] == names[1] == names[5] and names[2] == names[3] == names[4].capitalize() and names[4].isupper()
+    assert got[5].n_entities == 3
+
+
 def test_full_formats_stay_distinct(spark):
     """More names than three Greek syllables make, and all values of short formats."""
     greek = ["α" + "".join("βγδζκλμνπρ"[int(d)] for d in f"{i:05d}") for i in range(23000)]
