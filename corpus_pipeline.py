@@ -8,12 +8,12 @@ again, so a lost executor costs at most one stage.
 Defined cases are those of the operators: null texts and identifiers, empty and
 very long texts, ties, repeated rows, empty tables and other columns.  The first
 stage keeps rows with null identifiers; of rows equal in text and identifier the
-second keeps one; the third keeps them apart by text.
+second keeps one; the third decides on each row by its own text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import content_sort, minhash, mixing, packing, toxicity
@@ -35,9 +35,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of near copies the row with the smallest identifier stays."""
-    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Operator 3: of each group of near copies the row with the smallest identifier stays, one of them where it repeats."""
+    found = cut(minhash.near_duplicates(docs, sets=True).filter("doc_id IS NOT NULL"))
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("stays"))
+    plain = docs.join(ids.filter("n > 1 OR NOT stays").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    # rows that share an identifier are told apart by their sets
+    shared = docs.join(ids.filter("n > 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    rows = minhash.with_set_ids(shared).withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    own = found.filter("kept AND sid IS NOT NULL").select("doc_id", "sid", "group").distinct()
+    first = Window.partitionBy("doc_id", "group").orderBy("sid", F.col("row.text"), F.hash("row"))
+    chosen = rows.join(own, ["doc_id", "sid"]).withColumn("place", F.row_number().over(first)).filter("place = 1")
+    return plain.unionByName(rows.filter("sid IS NULL").select("row.*")).unionByName(chosen.select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -196,8 +196,27 @@ def cells(narrow: DataFrame, members: DataFrame) -> DataFrame:
     return plain.unionByName(big)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def with_set_ids(docs: DataFrame) -> DataFrame:
+    """(sid, row): each document's set, as ``near_duplicates`` numbers them, and the document as a struct."""
+    def run(batches):
+        pw = Powers()
+        for batch in batches:
+            at = 0
+            for sets in grouped(shingle_sets(batch.column(0), pw), len, 200_000):
+                n, full = np.array([len(s) for s in sets]), [s for s in sets if len(s)]
+                sid = np.zeros(len(sets), np.int64)
+                if full:
+                    sid[n > 0] = set_id(full)
+                yield pa.RecordBatch.from_arrays([pa.array(sid, mask=n == 0), batch.column(1).slice(at, len(sets))], ["sid", "row"])
+                at += len(sets)
+
+    rows = small_batches(docs).select(F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, f"sid long, row {rows.schema['row'].dataType.simpleString()}")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, and with ``sets`` its set's identifier ``sid``
+    and that of its group of linked sets, ``group``."""
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(sign(texts))
     known = signed.filter("sid IS NOT NULL AND doc_id IS NOT NULL")
@@ -224,13 +243,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # smallest identifier of each component, then of each document
     linked = label.join(reps.select(F.col("sid").alias("node"), "rep"), "node")
     lowest = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = label.join(lowest, "label").select(F.col("node").alias("sid"), "component_id")
+    of_class = label.join(lowest, "label").select(F.col("node").alias("sid"), "component_id", "label")
     of_class = (reps.select("sid", "rep", "copies").join(of_class, "sid", "left")
                 .filter("copies > 1 OR component_id IS NOT NULL")
-                .select("sid", F.coalesce("component_id", "rep").alias("component_id")))
+                .select("sid", F.coalesce("component_id", "rep").alias("component_id"), "label"))
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    more = ["sid", F.coalesce("label", "sid").alias("group")] if sets else []
     return (signed.select("doc_id", "n_shingles", "sid").join(of_class, "sid", "left")
-            .select("doc_id", "n_shingles", mine.alias("component_id"), F.col("doc_id").eqNullSafe(mine).alias("kept")))
+            .select(*more, "doc_id", "n_shingles", mine.alias("component_id"), F.col("doc_id").eqNullSafe(mine).alias("kept")))
 
 
 def _sets_of(members: DataFrame, texts: DataFrame) -> DataFrame:

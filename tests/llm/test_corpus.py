@@ -208,3 +208,17 @@ def test_query_equals_duckdb(spark, name):
             assert np.allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-9)
         else:
             assert got[c].astype(str).tolist() == want[c].astype(str).tolist(), c
+
+
+def test_near_copies_go_row_by_row(spark):
+    """Row 5 stands for a clean text and for a near copy of row 1; 7 is both rows of a group."""
+    one, two = words(91, 60), words(92, 60)
+    clean = words(93, 60)
+    data = [(1, one), (5, one + " more"), (5, clean), (7, two), (7, two + " more"), (8, two + " again"), (9, None), (9, ""), (None, one + " yet")]
+    table = spark.createDataFrame(data, "doc_id long, text string").withColumn("extra", F.lit(3))
+    got = corpus_pipeline.drop_near_copies(spark, table, None)
+    assert got.columns == table.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert [t for i, t in left if i == 5] == [clean]
+    assert len([t for i, t in left if i == 7]) == 1 and not [t for i, t in left if i == 8]
+    assert len(left) == 6 and sum(i == 9 for i, _ in left) == 2
