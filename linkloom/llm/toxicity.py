@@ -57,9 +57,9 @@ def features(words, pw: Powers) -> list[np.ndarray]:
 
 
 def contexts(words) -> np.ndarray:
-    h = words.h
-    before = np.concatenate((np.zeros(1, np.uint64), h[:-1]))
-    after = np.concatenate((h[1:], np.zeros(1, np.uint64)))
+    h, inside = words.h, words.doc[1:] == words.doc[:-1]  # neighbours of one text
+    before, after = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+    before[1:], after[:-1] = np.where(inside, h[:-1], 0), np.where(inside, h[1:], 0)
     return mix(h + mix(before + np.uint64(1)) * np.uint64(3) + mix(after + np.uint64(2)) * np.uint64(5))
 
 
@@ -84,7 +84,7 @@ class Lexicon:
                 better = np.abs(self.z[at]) > best[may]
                 may, at = may[better], at[better]
                 best[may], out[may] = np.abs(self.z[at]), self.score[at]
-        out[1:][words.h[1:] == words.h[:-1]] = 0  # a word said again and again is one piece of evidence
+        out[1:][(words.h[1:] == words.h[:-1]) & (words.doc[1:] == words.doc[:-1])] = 0  # a word said again and again is one piece of evidence
         return out - DRIFT
 
 

@@ -99,6 +99,17 @@ def test_quality(spark):
     assert quality.score(table, quality.fit(table, labels.limit(0))).count() == 300
 
 
+def test_texts_side_by_side_score_alone():
+    pw = Powers()
+    (_, w), = word_chunks(pa.array(["bad", "bad", "bad bad", "so bad", "so bad"]), pw=pw)
+    lexicon = toxicity.Lexicon(w.h[:1], np.array([2.0]), np.array([9.0]))
+    found = [p for _, _, p in toxicity.found_in(pa.array(["bad"] * 3), lexicon, pw)]
+    assert found[0] and found[0] == found[1] == found[2]
+    assert (lexicon.scores(w, pw) > 0).tolist() == [True, True, True, False, False, True, False, True]
+    alone = [toxicity.contexts(next(word_chunks(pa.array([t]), pw=pw))[1]).tolist() for t in ("bad", "bad", "bad bad", "so bad", "so bad")]
+    assert toxicity.contexts(w).tolist() == sum(alone, [])
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     net = quality.Attention(np.zeros(5), np.ones(5), hidden=4, gates=3)
