@@ -92,12 +92,18 @@ def kmeans(vecs: DataFrame, k: int | None = 7, seed: int = 42, restarts: int = 1
     return out
 
 
-def _lloyd(spark, vecs: DataFrame, ks: DataFrame, seed: int, restarts: int, max_iter: int, tol: float) -> DataFrame:
+def _starts(vecs: DataFrame, ks: DataFrame, seed: int, restarts: int) -> DataFrame:
+    """(site, url, restart, cluster): a site's first k ids by hash.  The largest k of all sites, as a literal,
+    lets Spark limit the window in each task before the shuffle."""
     each = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart")
     order = Window.partitionBy("site", "restart").orderBy(F.xxhash64("url", F.lit(seed) + F.col("restart")), "url")
-    start = (vecs.select("site", "url", each).withColumn("cluster", F.row_number().over(order) - 1)
-             .join(ks, "site").filter("cluster < k").select("site", "url", "restart", "cluster"))
-    now = start.join(vecs, ["site", "url"]).select("site", "restart", "cluster", "vec").orderBy("site", "restart", "cluster").toPandas()
+    most = ks.agg(F.max("k")).first()[0] or 0
+    return (vecs.select("site", "url", each).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.lit(most))
+            .join(ks, "site").filter("place <= k").select("site", "url", "restart", (F.col("place") - 1).alias("cluster")))
+
+
+def _lloyd(spark, vecs: DataFrame, ks: DataFrame, seed: int, restarts: int, max_iter: int, tol: float) -> DataFrame:
+    now = _starts(vecs, ks, seed, restarts).join(vecs, ["site", "url"]).select("site", "restart", "cluster", "vec").orderBy("site", "restart", "cluster").toPandas()
     now["vec"] = [np.array(v, np.float64) for v in now["vec"]]
     url_type = vecs.schema["url"].dataType.simpleString()
     schema = f"site string, url {url_type}, cluster int"

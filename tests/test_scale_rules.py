@@ -147,3 +147,14 @@ def test_pruned_similarity_join_is_exact(spark):
     unit = df.filter("site = 's'").select("site", "url", V.l2_normalize(F.col("vec")).alias("vec"))
     _, blocks = S.similarity_blocks(unit, 16)
     assert S.reachable_cells(blocks, 0.9).count() < S.reachable_cells(blocks, None).count()
+
+
+def test_kmeans_starts_are_limited_before_the_shuffle(spark):
+    from linkloom.operators import clustering
+
+    vecs = spark.createDataFrame([("s", i, [float(i)]) for i in range(50)], "site string, url long, vec array<double>")
+    ks = spark.createDataFrame([("s", 4)], "site string, k int")
+    starts = clustering._starts(vecs, ks, 42, 3)
+    assert "WindowGroupLimit" in starts._jdf.queryExecution().executedPlan().toString()
+    rows = starts.collect()
+    assert len(rows) == 12 and {(r.restart, r.cluster) for r in rows} == {(a, b) for a in range(3) for b in range(4)}
