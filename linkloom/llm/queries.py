@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bloom_lm, caps, content_sort, minhash, mixing, packing, quality, surrogates, toxicity, url_rules
+from linkloom.llm import (alignment, bloom_lm, caps, content_sort, licenses, minhash, mixing, packing, quality, surrogates, toxicity, url_rules,
+                          vector_codes)
 from linkloom.session import table
 
 
@@ -82,10 +83,52 @@ def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort(table(spark, sf_dir, "documents"))
 
 
+def op11_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_surrogates, op2_toxic_passages, op3_minhash_near_dedup, op4_attention_quality, op5_spherical_caps, op6_pack_sequences,
-                                 op7_bloom_lm, op8_mix_sources, op9_url_rules, op10_content_sort)}
+                                 op7_bloom_lm, op8_mix_sources, op9_url_rules, op10_content_sort, op11_pair_bitmaps, op12_resident_lloyd,
+                                 op13_license_index)}
+
+
+
+def lloyd_sql(positions: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The rounds of operator 12, one after the other."""
+    out = [f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS part, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT part, vec_id, p.pos, q[p.pos * len(q) // {positions} + 1:(p.pos + 1) * len(q) // {positions}] AS v
+  FROM kept, (SELECT unnest(range(0, {positions})) AS pos) p),
+book0 AS MATERIALIZED (SELECT pos, part - 1 AS entry, v FROM x WHERE part <= {entries})"""]
+    for r in range(rounds + 1):
+        out.append(f"""far{r} AS MATERIALIZED (
+  SELECT x.part, x.pos, min(struct_pack(d := list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := b.entry)) AS best
+  FROM x JOIN book{r} b ON x.pos = b.pos GROUP BY x.part, x.pos)""")
+        if r < rounds:
+            out.append(f"""mean{r} AS MATERIALIZED (
+  SELECT pos, entry, list(m ORDER BY i) AS v FROM (
+    SELECT x.pos, f.best.e AS entry, i, floor(sum(x.v[i])::DOUBLE / count(*))::BIGINT AS m
+    FROM x JOIN far{r} f ON x.part = f.part AND x.pos = f.pos, LATERAL (SELECT unnest(range(1, len(x.v) + 1)) AS i) GROUP BY ALL) GROUP BY pos, entry),
+book{r + 1} AS MATERIALIZED (SELECT b.pos, b.entry, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN mean{r} m ON b.pos = m.pos AND b.entry = m.entry)""")
+    out.append(f"""books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY pos, entry)) AS h FROM book{rounds}),
+coded AS (SELECT part, string_agg(lower(printf('%02x', best.e)), '' ORDER BY pos) AS code, sum(best.d)::BIGINT AS error FROM far{rounds} GROUP BY part)
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM kept k JOIN coded c ON c.part = k.part, books""")
+    return out[0] + ",\n" + ",\n".join(out[1:])
+
 
 ORACLE = {
+    "op12_resident_lloyd": lloyd_sql(),
     "op3_minhash_near_dedup": """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
