@@ -7,6 +7,8 @@ rounds) so the DuckDB oracle can compare value hashes.
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -467,7 +469,7 @@ def kmeans(spark, d):
 @query("recluster")
 def recluster(spark, d):
     v = FX.vectors(spark, d)
-    return K.recluster(v, v.select("site", "url", "cluster"), k=7, restarts=3).select("url", "cluster")
+    return K.recluster(v, v.select("site", "url", "cluster"), k=7, restarts=10).select("url", "cluster")
 
 
 @query("term_svd")
@@ -568,7 +570,7 @@ def sitemap_prefix_cap(spark, d):
 def crawl_seeds(spark, d):
     """A site's sitemap URLs first, then its seed (the first page by number)."""
     p = FX.pages(spark, d)
-    listed = p.filter(F.col("page_id") % 2 == 0).select("site", "url", F.col("page_id").alias("pos"))
+    listed = p.select("site", "url", F.col("page_id").alias("pos"))
     seed = p.groupBy("site").agg(F.min_by("url", "page_id").alias("url"))
     return FR.seeds_from(listed, seed).select("site", "url", "grp", "pos")
 
@@ -587,3 +589,67 @@ def weighted_degrees(spark, d):
     """A missing weight counts as 1 (here, the weights of repeated clicks are withheld)."""
     e = FX.click_edges(spark, d).withColumn("weight", F.when(F.col("weight") > 1, None).otherwise(F.col("weight")))
     return e.groupBy(F.col("source").alias("url")).agg(F.sum(G.default_weight()).alias("out_weight"))
+
+
+# ------------------------------------------------------------------ C3: the crawl's own order; K, H23: kept runs and their comparison
+
+from linkloom.operators import crawl_queue as CQ  # noqa: E402
+from linkloom.operators import shifts as SH  # noqa: E402
+from linkloom.session import ensure_checkpoint_dir  # noqa: E402
+from linkloom.sources import runs as RN  # noqa: E402
+from linkloom.sources import tables as TB  # noqa: E402
+
+
+@query("crawl_order")
+def crawl_order(spark, d):
+    """Pages in the order of the crawl's queue; users without a purchase of value can't be fetched."""
+    links = FX.click_transitions(spark, d)
+    seeds = FX.users_with(spark, d, FX.SEED_RULE).withColumn("pos", F.col("url"))
+    out = CQ.crawl(links, seeds, stored=FX.users_with(spark, d, FX.CRAWLED_RULE), max_depth=3, max_pages=100)
+    return out.select("url", "depth", "no")
+
+
+@query("crawl_order_focus")
+def crawl_order_focus(spark, d):
+    """C4 in queue order, with fewer pages than seeds and links want."""
+    links = FX.click_transitions(spark, d)
+    seeds = FX.users_with(spark, d, FX.SEED_RULE).withColumn("pos", -F.col("url"))
+    out = CQ.crawl(links, seeds, stored=FX.click_nodes(spark, d), max_depth=3, max_pages=40, focus_prefix="1")
+    return out.select("url", "depth", "no")
+
+
+def two_runs(spark, d) -> tuple:
+    """Nodes of two runs over the vectors: clusters by label, and by the largest of the first eight components;
+    each run lacks the pages with a large component of its own."""
+    v = FX.vectors(spark, d)
+    largest = F.array_position(F.slice("vec", 1, 8), F.array_max(F.slice("vec", 1, 8))).cast("int")
+    before = v.filter(F.col("vec")[8] <= FX.RUN_LIMIT).select("site", "url", "cluster")
+    after = v.filter(F.col("vec")[9] <= FX.RUN_LIMIT).select("site", "url", largest.alias("cluster"))
+    return before, after
+
+
+@query("cluster_matches")
+def cluster_matches(spark, d):
+    m = SH.cluster_matches(*two_runs(spark, d))
+    return m.select(*[F.coalesce(c, F.lit(-1)).alias(c) for c in ("cluster_before", "cluster_after", "shared", "size_before", "size_after")])
+
+
+@query("cluster_shifts")
+def cluster_shifts(spark, d):
+    s = SH.cluster_shifts(*two_runs(spark, d))
+    return s.select("url", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("cluster_before", "cluster_after", "expected")], "status")
+
+
+@query("run_comparison")
+def run_comparison(spark, d):
+    """Two runs' centrality tables are published, opened by name and compared page by page."""
+    root = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    t = FX.click_transitions(spark, d)
+    nodes = FX.click_nodes(spark, d)
+    early = G.crawled_links(t, FX.users_with(spark, d, FX.CRAWLED_RULE))
+    for run, links in (("before", early), ("after", t)):
+        edges = G.build_edges(links, with_anchors=False)
+        seen = nodes if run == "after" else nodes.join(FX.users_with(spark, d, FX.CRAWLED_RULE), ["site", "url"], "left_semi")
+        RN.publish({"centrality": TB.conform(C.degrees(seen, edges), "centrality")}, root, run)
+    out = SH.centrality_shifts(RN.open_run(spark, root, "before").read("centrality"), RN.open_run(spark, root).read("centrality"), ("in_degree", "out_degree"))
+    return out.select("url", "status", "in_degree_before", "in_degree_after", "in_degree_change", "out_degree_before", "out_degree_after", "out_degree_change")

@@ -162,3 +162,6 @@ def report_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Crawl seeds for the frontier queries = users with a signup of value >= 300.
 SEED_RULE = ("signup", 300.0)
+
+# Fixed value: a run has no pages whose component of its own is larger.
+RUN_LIMIT = 0.15

@@ -757,7 +757,7 @@ SELECT 'https://' || site || '/sitemap-' || chunk || '.xml' AS doc, url, pos FRO
 @oracle("crawl_seeds")
 def _():
     return f"""WITH p AS (SELECT {SITE_DOMAIN} AS site, url, page_id FROM pages),
-every AS (SELECT site, url, 0 AS grp, page_id AS pos FROM p WHERE page_id % 2 = 0
+every AS (SELECT site, url, 0 AS grp, page_id AS pos FROM p
           UNION ALL SELECT site, arg_min(url, page_id), 1, 0 FROM p GROUP BY site)
 SELECT site, url, min(grp) AS grp, arg_min(pos, struct_pack(g := grp, p := pos)) AS pos FROM every GROUP BY site, url"""
 
@@ -771,3 +771,93 @@ FROM pages p LEFT JOIN embeddings e ON e.vec_id = p.page_id"""
 @oracle("weighted_degrees")
 def _():
     return f"WITH {click_ctes()} SELECT source AS url, sum(CASE WHEN weight > 1 THEN 1 ELSE weight END) AS out_weight FROM cedges GROUP BY 1"
+
+
+# ------------------------------------------------------------------ C3, K, H23
+
+def queue_sql(seed_order: str, stored: str, max_depth: int, max_pages: int, focus: str | None = None) -> str:
+    """The queue step by step: one row of a recursive query per entry taken."""
+    follow = "" if focus is None else f" AND (d = 0 OR starts_with(h::VARCHAR, {q(focus)}))"
+    return f"""adj AS (SELECT user_id AS src, list(nxt ORDER BY event_id) AS hs
+        FROM (SELECT user_id, event_id, lead(user_id) OVER (ORDER BY ts, event_id) AS nxt FROM events WHERE event_type = 'click')
+        WHERE nxt IS NOT NULL GROUP BY 1),
+first AS (SELECT coalesce(list(struct_pack(u := url, d := 0) ORDER BY {seed_order}), []) AS q FROM seeds),
+run(step, queue, visited, pages) AS (
+  SELECT 0, q, []::BIGINT[], []::STRUCT(u BIGINT, d INTEGER)[] FROM first
+  UNION ALL
+  SELECT step + 1,
+    CASE WHEN page THEN queue[2:] || list_transform(
+           list_filter(coalesce(hs, []), lambda h: h <> u AND NOT list_contains(visited, h){follow})[:greatest(0, {max_pages} - len(pages) - len(queue))],
+           lambda h: struct_pack(u := h, d := d + 1)) ELSE queue[2:] END,
+    CASE WHEN fresh THEN list_append(visited, u) ELSE visited END,
+    CASE WHEN page THEN list_append(pages, struct_pack(u := u, d := d)) ELSE pages END
+  FROM (SELECT r.*, r.queue[1].u AS u, r.queue[1].d AS d, a.hs,
+               NOT list_contains(r.visited, r.queue[1].u) AND r.queue[1].d <= {max_depth} AS fresh,
+               NOT list_contains(r.visited, r.queue[1].u) AND r.queue[1].d <= {max_depth} AND s.url IS NOT NULL AS page
+        FROM run r LEFT JOIN adj a ON a.src = r.queue[1].u LEFT JOIN {stored} s ON s.url = r.queue[1].u
+        WHERE len(r.queue) > 0 AND len(r.pages) < {max_pages})),
+done AS (SELECT unnest(pages) AS p, generate_subscripts(pages, 1) AS no FROM (SELECT pages FROM run ORDER BY step DESC LIMIT 1))"""
+
+
+@oracle("crawl_order")
+def _():
+    return f"""WITH RECURSIVE {users_rule('seeds', FX.SEED_RULE)}, {users_rule('crawled', FX.CRAWLED_RULE)},
+{queue_sql('url', 'crawled', 3, 100)} SELECT p.u AS url, p.d AS depth, no FROM done"""
+
+
+@oracle("crawl_order_focus")
+def _():
+    return f"""WITH RECURSIVE {click_ctes()}, {users_rule('seeds', FX.SEED_RULE)},
+{queue_sql('url DESC', 'cnodes', 3, 40, '1')} SELECT p.u AS url, p.d AS depth, no FROM done"""
+
+
+TWO_RUNS = f"""v AS (SELECT vec_id AS url, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ra AS (SELECT url, label AS c FROM v WHERE e[9] <= {FX.RUN_LIMIT}),
+rb AS (SELECT url, list_position(e[1:8], list_max(e[1:8])) AS c FROM v WHERE e[10] <= {FX.RUN_LIMIT})"""
+
+
+def matching_sql(n: int = 10) -> str:
+    """Best assignment by trial over sets of taken clusters: one step per cluster of the first run, the best way to each set kept."""
+    out = [f"""{TWO_RUNS},
+olds AS (SELECT c, row_number() OVER (ORDER BY c) AS i, count(*) AS size FROM ra GROUP BY c),
+news AS (SELECT c, row_number() OVER (ORDER BY c) AS j, count(*) AS size FROM rb GROUP BY c),
+share AS MATERIALIZED (SELECT o.i, w.j, count(*) AS n FROM ra JOIN rb USING (url) JOIN olds o ON o.c = ra.c JOIN news w ON w.c = rb.c GROUP BY 1, 2),
+s0 AS (SELECT 0 AS mask, 0 AS lost, []::BIGINT[] AS picks)"""]
+    for i in range(1, n + 1):
+        out.append(f"""s{i} AS MATERIALIZED (SELECT mask, best.lost AS lost, best.picks AS picks FROM (
+  SELECT mask, min(struct_pack(lost := lost, picks := picks)) AS best FROM (
+    SELECT mask, lost, list_append(picks, 999) AS picks FROM s{i - 1}
+    UNION ALL
+    SELECT mask | (1 << h.j::INT), lost - h.n, list_append(picks, h.j) FROM s{i - 1} JOIN share h ON h.i = {i} AND mask & (1 << h.j::INT) = 0)
+  GROUP BY mask))""")
+    out.append(f"""win AS (SELECT picks FROM s{n} ORDER BY lost, picks LIMIT 1),
+pick AS (SELECT o.c AS ca, o.size AS sa, w.c AS cb, w.size AS sb, coalesce(h.n, 0) AS n
+  FROM olds o, win LEFT JOIN news w ON w.j = picks[o.i] LEFT JOIN share h ON h.i = o.i AND h.j = w.j)""")
+    return ",\n".join(out)
+
+
+@oracle("cluster_matches")
+def _():
+    return f"""WITH {matching_sql()}
+SELECT ca AS cluster_before, coalesce(cb, -1) AS cluster_after, n AS shared, sa AS size_before, coalesce(sb, -1) AS size_after FROM pick
+UNION ALL SELECT -1, c, 0, -1, size FROM news WHERE c NOT IN (SELECT cb FROM pick WHERE cb IS NOT NULL)"""
+
+
+@oracle("cluster_shifts")
+def _():
+    return f"""WITH {matching_sql()}
+SELECT coalesce(a.url, b.url) AS url, coalesce(a.c, -1) AS cluster_before, coalesce(b.c, -1) AS cluster_after, coalesce(p.cb, -1) AS expected,
+       CASE WHEN a.c IS NULL THEN 'added' WHEN b.c IS NULL THEN 'removed' WHEN b.c = p.cb THEN 'stayed' ELSE 'moved' END AS status
+FROM ra a FULL JOIN rb b ON a.url = b.url LEFT JOIN pick p ON p.ca = a.c"""
+
+
+@oracle("run_comparison")
+def _():
+    return f"""WITH {click_ctes()}, {users_rule('crawled', FX.CRAWLED_RULE)},
+early AS (SELECT DISTINCT user_id AS source, nxt AS target FROM clicks WHERE nxt IS NOT NULL AND nxt IN (SELECT url FROM crawled)),
+na AS (SELECT url FROM cnodes WHERE url IN (SELECT url FROM crawled)),
+a AS (SELECT url, (SELECT count(*) FROM early WHERE target = url)::DOUBLE AS i, (SELECT count(*) FROM early WHERE source = url)::DOUBLE AS o FROM na),
+b AS (SELECT url, (SELECT count(*) FROM cedges WHERE target = url)::DOUBLE AS i, (SELECT count(*) FROM cedges WHERE source = url)::DOUBLE AS o FROM cnodes)
+SELECT b.url, CASE WHEN a.url IS NULL THEN 'added' ELSE 'kept' END AS status, a.i AS in_degree_before, b.i AS in_degree_after,
+       b.i - coalesce(a.i, 0) AS in_degree_change, a.o AS out_degree_before, b.o AS out_degree_after, b.o - coalesce(a.o, 0) AS out_degree_change
+FROM b LEFT JOIN a USING (url)"""
