@@ -264,6 +264,13 @@ def nearest_neighbors(spark, d):
     return top.select(F.col("source").alias("url"), F.col("target").alias("neighbor"), r6("sim").alias("sim"), "rank")
 
 
+@query("nearest_neighbors_bounded")
+def nearest_neighbors_bounded(spark, d):
+    """G12 over many blocks: those that can't reach a block's worst k-th score are never scored."""
+    top = S.topk_similar(FX.vectors(spark, d), k=3, block_size=100)
+    return top.select(F.col("source").alias("url"), F.col("target").alias("neighbor"), r6("sim").alias("sim"), "rank")
+
+
 @query("recommend_links")
 def recommend_links(spark, d):
     vecs, edges = _vecs_and_click_edges(spark, d)
@@ -652,4 +659,28 @@ def run_comparison(spark, d):
         seen = nodes if run == "after" else nodes.join(FX.users_with(spark, d, FX.CRAWLED_RULE), ["site", "url"], "left_semi")
         RN.publish({"centrality": TB.conform(C.degrees(seen, edges), "centrality")}, root, run)
     out = SH.centrality_shifts(RN.open_run(spark, root, "before").read("centrality"), RN.open_run(spark, root).read("centrality"), ("in_degree", "out_degree"))
-    return out.select("url", "status", "in_degree_before", "in_degree_after", "in_degree_change", "out_degree_before", "out_degree_after", "out_degree_change")
+    return out.select(F.col("url").cast("long").alias("url"), "status", "in_degree_before", "in_degree_after", "in_degree_change", "out_degree_before", "out_degree_after", "out_degree_change")
+
+
+# ------------------------------------------------------------------ B4: main text by blocks; E4 by sketches
+
+from linkloom.operators import boilerplate as BP  # noqa: E402
+from linkloom.operators import sketches as SK  # noqa: E402
+
+
+@query("main_text")
+def main_text(spark, d):
+    """Each host is a site; blocks on a fifth of its pages (two at least), or mostly links, go."""
+    p = FX.read(spark, d, "pages").select(U.url_host(F.col("url")).alias("site"), "url", "html")
+    out = BP.main_text(p, share=0.2, least_pages=2)
+    return out.select("url", "n_blocks", "kept_blocks", F.sha2("text", 256).alias("text_sha"))
+
+
+@query("closeness_sketch")
+def closeness_sketch(spark, d):
+    """Every node's sketched closeness is within five standard errors of the exact one."""
+    nodes, edges = FX.click_nodes(spark, d), C.cut(FX.click_edges(spark, d))
+    exact = C.closeness(nodes, C.path_sums(nodes, edges))
+    near = SK.closeness_sketch(nodes, edges, log2k=12).select("site", "url", F.col("closeness").alias("near"))
+    off = F.abs(F.col("near") - F.col("closeness")) <= 5 * SK.sketch_error(12) * F.col("closeness") + 1e-12
+    return exact.join(near, ["site", "url"], "left").select("url", F.coalesce(off, F.lit(False)).alias("ok"))

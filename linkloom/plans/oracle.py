@@ -424,6 +424,13 @@ r AS (SELECT source, target, sim, row_number() OVER (PARTITION BY source ORDER B
 SELECT source AS url, target AS neighbor, round(sim, 6) AS sim, rank FROM r WHERE rank <= 5"""
 
 
+@oracle("nearest_neighbors_bounded")
+def _():
+    return f"""WITH {VEC_CTES}, {PAIRS},
+r AS (SELECT source, target, sim, row_number() OVER (PARTITION BY source ORDER BY sim DESC, target) AS rank FROM pairs)
+SELECT source AS url, target AS neighbor, round(sim, 6) AS sim, rank FROM r WHERE rank <= 3"""
+
+
 def _recommend(min_sim: float) -> str:
     from linkloom.operators.similarity import RECOMMEND_REASON
     return f"""WITH {VEC_CTES}, {click_ctes()}, {PAIRS},
@@ -861,3 +868,37 @@ b AS (SELECT url, (SELECT count(*) FROM cedges WHERE target = url)::DOUBLE AS i,
 SELECT b.url, CASE WHEN a.url IS NULL THEN 'added' ELSE 'kept' END AS status, a.i AS in_degree_before, b.i AS in_degree_after,
        b.i - coalesce(a.i, 0) AS in_degree_change, a.o AS out_degree_before, b.o AS out_degree_after, b.o - coalesce(a.o, 0) AS out_degree_change
 FROM b LEFT JOIN a USING (url)"""
+
+
+# ------------------------------------------------------------------ B4 by blocks, E4 by sketches
+
+@oracle("main_text")
+def _():
+    from linkloom.operators.boilerplate import BLOCK_RE, LEFT_OUT_RES
+    from linkloom.plans import sqlgen as Q
+
+    page = "html"
+    for pattern in (*H.HIDDEN_RES, *LEFT_OUT_RES):
+        page = rx_replace(page, pattern, " ")
+
+    def plain(e):
+        return f"trim({rx_replace(Q.unescape(rx_replace(e, H.TAG_RE, ' ')), Q.WS_RE, ' ')})"
+
+    anchors = f"regexp_extract_all(raw, {q(Q.ANCHOR_ELEM_RE)})"
+    return f"""WITH p AS (SELECT {Q.host('url')} AS site, url, regexp_split_to_array({page}, {q(BLOCK_RE)}) AS parts FROM pages),
+r AS (SELECT site, url, generate_subscripts(parts, 1) AS pos, unnest(parts) AS raw FROM p),
+b AS (SELECT site, url, pos, {plain('raw')} AS text,
+             coalesce(list_sum(list_transform({anchors}, lambda a: length({plain("a")}))), 0) AS link_chars FROM r),
+full_b AS (SELECT *, link_chars > 0.5 * length(text) AS mostly FROM b WHERE text <> ''),
+sizes AS (SELECT site, count(DISTINCT url) AS n FROM p GROUP BY site),
+often AS (SELECT o.site, o.text FROM (SELECT site, text, count(DISTINCT url) AS c FROM full_b GROUP BY 1, 2) o JOIN sizes s ON s.site = o.site
+          WHERE o.c >= 2 AND o.c >= s.n * 0.2),
+j AS (SELECT f.*, NOT mostly AND o.text IS NULL AS stays FROM full_b f LEFT JOIN often o ON o.site = f.site AND o.text = f.text)
+SELECT p.url, count(j.pos) AS n_blocks, count(*) FILTER (WHERE stays) AS kept_blocks,
+       sha256(coalesce(string_agg(j.text, ' ' ORDER BY j.pos) FILTER (WHERE stays), '')) AS text_sha
+FROM p LEFT JOIN j ON j.url = p.url GROUP BY p.url"""
+
+
+@oracle("closeness_sketch")
+def _():
+    return f"WITH {click_ctes()} SELECT url, TRUE AS ok FROM cnodes"
