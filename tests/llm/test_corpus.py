@@ -135,6 +135,16 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_rules.judge(table, []).collect()} == {"allow"}
 
 
+def test_long_urls_are_one_item(spark):
+    """All subsets of a long URL's parts would be frequent in a small table."""
+    long = "https://www.example.com/en/" + "/".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))
+    urls = [long, "https://b.example.net/es/x", long.replace("www.example.com/en", "other.example.org/q"), "http://c.example.org/paa"]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_rules.judge(table, queries.SITE_RULES).collect()}
+    assert [got[i].verdict for i in range(4)] == ["allow", "block", "allow", "allow"]
+    assert got[2].mined and got[3].mined
+
+
 def test_mined_rules_equal_brute_force(spark):
     """The deciding rule of every page, from all token sets counted one by one."""
     from itertools import combinations
