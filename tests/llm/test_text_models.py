@@ -171,8 +171,64 @@ def test_filter_reads_counts_back(spark):
     low = np.where(n >= 2, 2 * np.exp2(np.floor(2 * np.log2(np.maximum(n, 2) / 2) + 1e-9) / 2), 0)
     assert (read >= low - 1e-6).all() and (np.abs(read - low) > 1e-6).mean() < 0.03
     assert (f.level(rng.integers(1 << 62, 1 << 63, 20000).view(np.uint64)) > 0).mean() < 0.02
-    tight = bloom_lm.build(table, 2, 1 << 15)  # too few bits for all: the least count rises
-    assert tight.least > 2 and len(tight.words) * 64 <= 1 << 15
+    tight = bloom_lm.build(table, 2, 1 << 15)  # too few bits for all: none is left out
+    assert tight.least == 2 and len(tight.words) * 64 <= 1 << 15
+    assert tight.has(keys[n >= 2].view(np.uint64)).all()
+
+
+def test_broadcast_and_table_agree(spark, monkeypatch):
+    """The same bits answer, in memory or as a table asked by many chunks."""
+    table = spark.createDataFrame([(i, words(i % 37, 50) if i % 4 else words(900 + i, 40)) for i in range(160)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(bloom_lm, "HEAD_BITS", 6)
+    monkeypatch.setattr(bloom_lm, "BLOCK_KEYS", 500)
+    model = bloom_lm.fit(table.filter("doc_id % 5 <> 1"))
+    assert 0 < model["bytes"] <= bloom_lm.BROADCAST and model["blocks"][2] > 1
+    near = {r.doc_id: tuple(r) for r in bloom_lm.score(table, model).collect()}
+    monkeypatch.setattr(bloom_lm, "BROADCAST", 0)
+    monkeypatch.setattr(bloom_lm, "GROUP", 2000)
+    monkeypatch.setattr(bloom_lm, "SALT_CHUNKS", 2)
+    assert {r.doc_id: tuple(r) for r in bloom_lm.score(table, model).collect()} == near
+
+
+def test_smoothing_by_hand(spark):
+    """Scores follow from the n-gram counts, read back by powers of the root of two, within the filter's false positives."""
+    data = [(i, words(i % 23, 25)) for i in range(80)]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    grams, docs_n = collections.Counter(), len(data)
+    for _, t in data:
+        w = ["<s>", *tokens_of(t)]
+        for n in (1, 2, 3):
+            grams.update(tuple(w[i - n + 1:i + 1]) for i in range(1, len(w)) if i - n + 1 >= 0)
+    total, kinds = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+
+    def read(n):
+        return 2 * 2 ** (math.floor(2 * math.log2(n / 2) + 1e-9) / 2) if n >= 2 else 0.0
+
+    mass = collections.Counter()
+    for g, c in grams.items():
+        if len(g) > 1 and c >= 2:
+            mass[g[:-1]] += read(c)
+    want = {}
+    for d, t in data:
+        w, out = ["<s>", *tokens_of(t)], 0.0
+        for i in range(1, len(w)):
+            p = (grams[(w[i],)] + 0.5) / (total + 0.5 * (kinds + 1))
+            u = (w[i - 1],)
+            c, whole = read(grams[(*u, w[i])]), docs_n if i == 1 else grams[u]
+            taken = min(mass[u], whole)
+            whole = max(whole, taken, c)
+            p = (c + (whole - taken + 12.0) * p) / (whole + 12.0)
+            if i >= 2 and read(grams[tuple(w[i - 2:i])]) > 0:
+                u, short, two = tuple(w[i - 2:i]), read(grams[tuple(w[i - 2:i])]), c
+                c = read(grams[tuple(w[i - 2:i + 1])]) if two > 0 else 0.0
+                taken = min(read(math.ceil(mass[u])) * 2 ** 0.25, short)
+                whole = max(short, taken, c)
+                p = (c + (whole - taken + 2.0) * p) / (whole + 2.0)
+            out += math.log10(min(p, 1.0))
+        want[d] = out
+    got = {r.doc_id: r.score for r in bloom_lm.score(table, bloom_lm.fit(table)).collect()}
+    off = [abs(got[d] / want[d] - 1) for d in want]
+    assert np.median(off) < 0.01 and max(off) < 0.1, (np.median(off), max(off))
 
 
 def test_filter_grows_with_the_n_grams(spark):
