@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.centrality import site_sizes, unweighted_arcs
-from linkloom.operators.iterate import cut
+from linkloom.operators.iterate import cut, discard
 from linkloom.operators.joins import join_side_table
 
 
@@ -39,8 +39,9 @@ def closeness_sketch(nodes: DataFrame, edges: DataFrame, log2k: int = 12, max_di
         got = sent.select("site", F.col("w").alias("url"), "sketch").unionByName(state.select("site", "url", "sketch"))
         merged = got.groupBy("site", "url").agg(F.hll_union_agg("sketch").alias("sketch"))
         new = F.greatest(F.hll_sketch_estimate("sketch").cast("double"), F.col("n"))
-        state = cut(merged.join(state.select("site", "url", "n", "total"), ["site", "url"]).select(
+        old, state = state, cut(merged.join(state.select("site", "url", "n", "total"), ["site", "url"]).select(
             "site", "url", "sketch", new.alias("n"), (F.col("total") + t * (new - F.col("n"))).alias("total"), (new > F.col("n")).alias("grew")))
+        discard(old)
         if state.filter("grew").isEmpty():
             break
     r = F.col("reached_by")

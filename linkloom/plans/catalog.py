@@ -18,6 +18,7 @@ from linkloom.functions import html as H
 from linkloom.functions import urls as U
 from linkloom.operators import centrality as C
 from linkloom.operators import graph as G
+from linkloom.operators.iterate import cut
 from linkloom.plans import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -679,8 +680,45 @@ def main_text(spark, d):
 @query("closeness_sketch")
 def closeness_sketch(spark, d):
     """Every node's sketched closeness is within five standard errors of the exact one."""
-    nodes, edges = FX.click_nodes(spark, d), C.cut(FX.click_edges(spark, d))
+    nodes, edges = FX.click_nodes(spark, d), cut(FX.click_edges(spark, d))
     exact = C.closeness(nodes, C.path_sums(nodes, edges))
     near = SK.closeness_sketch(nodes, edges, log2k=12).select("site", "url", F.col("closeness").alias("near"))
     off = F.abs(F.col("near") - F.col("closeness")) <= 5 * SK.sketch_error(12) * F.col("closeness") + 1e-12
     return exact.join(near, ["site", "url"], "left").select("url", F.coalesce(off, F.lit(False)).alias("ok"))
+
+
+# ------------------------------------------------------------------ B6, B7 by rules; G2 and F9 as values
+
+from linkloom.operators import suffixes as SX  # noqa: E402
+
+
+def suffix_rules(spark):
+    return spark.createDataFrame([(r,) for r in FX.SUFFIX_RULES], "rule string")
+
+
+@query("suffix_domains")
+def suffix_domains(spark, d):
+    """Registered domains under rules with wildcards and exceptions."""
+    return SX.with_registered_domain(FX.read(spark, d, "pages").select("url"), suffix_rules(spark)).select("url", "domain")
+
+
+@query("kmeans_nearest")
+def kmeans_nearest(spark, d):
+    """Every vector lies with the cluster whose mean is nearest to it."""
+    v = FX.vectors(spark, d)
+    got = cut(K.kmeans(v, k=7, restarts=10))
+    rows = v.drop("cluster").join(got, ["site", "url"])
+    wide = rows.select("site", "cluster", F.posexplode("vec").alias("i", "x")).groupBy("site", "cluster", "i").agg(F.avg("x").alias("x"))
+    means = wide.groupBy("site", "cluster").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).getField("x").alias("centroid"))
+    near = S.nearest_centroid(rows, means).select("url", F.col("cluster").alias("near"), "dist")
+    own = rows.join(means, ["site", "cluster"]).select("url", F.sqrt(V.sq_distance(F.col("vec"), F.col("centroid"))).alias("own"))
+    return near.join(own, "url").select("url", (F.col("own") <= F.col("dist") + 1e-3).alias("ok"))
+
+
+@query("svd_first")
+def svd_first(spark, d):
+    """each document's first component, free of sign."""
+    docs = FX.labeled_docs(spark, d)
+    tf = TF.term_counts(docs)
+    sv = K.term_svd(TF.tfidf(docs, tf=tf, max_features=10000), TF.vocabulary(tf, max_features=10000))
+    return sv.select("url", F.round(F.abs(F.col("svd")[0]), 3).alias("first"))

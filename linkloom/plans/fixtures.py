@@ -165,3 +165,6 @@ SEED_RULE = ("signup", 300.0)
 
 # Fixed value: a run has no pages whose component of its own is larger.
 RUN_LIMIT = 0.15
+
+# Suffix rules for the hosts of ``pages``, with a wildcard and exceptions to it.
+SUFFIX_RULES = ["com", "net", "org", "example.org", "*.example.net", "!tionsh.example.net", "!ththth.example.net", "// a comment"]

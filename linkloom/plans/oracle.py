@@ -902,3 +902,36 @@ FROM p LEFT JOIN j ON j.url = p.url GROUP BY p.url"""
 @oracle("closeness_sketch")
 def _():
     return f"WITH {click_ctes()} SELECT url, TRUE AS ok FROM cnodes"
+
+
+# ------------------------------------------------------------------ B6, B7 by rules; G2 and F9 as values
+
+@oracle("suffix_domains")
+def _():
+    rules = ", ".join(f"({q(r.lstrip('!'))}, {str(r.startswith('!')).lower()})" for r in FX.SUFFIX_RULES if not r.startswith("//"))
+    return f"""WITH rules(pattern, exception) AS (VALUES {rules}),
+h AS (SELECT DISTINCT {_host('url')} AS host FROM pages),
+m AS (SELECT host, max(struct_pack(e := exception, n := len(string_split(pattern, '.')))) AS b FROM h JOIN rules
+      ON ('.' || host) LIKE '%.' || replace(pattern, '*.', '') AND len(string_split(host, '.')) >= len(string_split(pattern, '.')) GROUP BY host),
+s AS (SELECT h.host, string_split(h.host, '.') AS l, coalesce(b.n - b.e::INT, 1) + 1 AS k FROM h LEFT JOIN m ON m.host = h.host)
+SELECT p.url, array_to_string(l[greatest(1, len(l) - k + 1):], '.') AS domain FROM pages p JOIN s ON s.host = {_host('p.url')}"""
+
+
+@oracle("kmeans_nearest")
+def _():
+    return "SELECT vec_id AS url, TRUE AS ok FROM embeddings"
+
+
+@oracle("svd_first")
+def _():
+    """Power iteration on the documents' inner products; weights have no negative entries, so the first gap is wide."""
+    steps = ["x0 AS (SELECT url, 1.0::DOUBLE AS x FROM (SELECT DISTINCT url FROM tw))"]
+    rounds = 40
+    for i in range(rounds):
+        steps.append(f"y{i} AS MATERIALIZED (SELECT g.a AS url, sum(g.dot * x.x) AS y FROM gram g JOIN x{i} x ON x.url = g.b GROUP BY g.a)")
+        steps.append(f"x{i + 1} AS MATERIALIZED (SELECT url, y / sqrt(sum(y * y) OVER ()) AS x FROM y{i})")
+    return f"""WITH {tfidf_ctes(LABELED_DOCS, 10000)},
+gram AS MATERIALIZED (SELECT p.url AS a, r.url AS b, sum(p.w * r.w) AS dot FROM tw p JOIN tw r ON p.term = r.term GROUP BY 1, 2),
+{", ".join(steps)},
+sigma AS (SELECT sqrt(sqrt(sum(y * y))) AS s FROM y{rounds - 1})
+SELECT url, round(abs(x) * s, 3) AS first FROM x{rounds}, sigma"""

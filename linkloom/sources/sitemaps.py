@@ -15,6 +15,10 @@ nesting is deeper than the number of index documents, which also ends cycles.
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +108,29 @@ def read_sitemap_docs(spark, path: str, site: str | None = None) -> DataFrame:
                                                        F.input_file_name().alias("file"))
     name = F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"\.gz$", "")
     return raw.select((F.lit(site) if site else F.lit("")).alias("site"), name.alias("sitemap_url"), "body")
+
+
+GZIP_MAGIC = b"\x1f\x8b"
+
+
+def unpacked(content: bytes | None) -> str | None:
+    """The text of a file that may be compressed; None if it is broken or no UTF-8."""
+    try:
+        return (gzip.decompress(content) if content[:2] == GZIP_MAGIC else content).decode("utf-8-sig")
+    except (OSError, EOFError, zlib.error, UnicodeDecodeError, TypeError):
+        return None
+
+
+def read_sitemap_files(spark, path: str, site: str | None = None) -> DataFrame:
+    """A10 by content: like ``read_sitemap_docs``, but a file is taken for gzip by its first bytes, whatever
+    its name is (servers send compressed sitemaps without the suffix, and plain ones with it).  A broken
+    or empty file gives no row.  One file is one document, which the sitemap protocol limits to 50 MB."""
+    def run(batches):
+        for b in batches:
+            bodies = [unpacked(x.as_py()) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.string())], ["file", "body"])
+
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    name = F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"\.gz$", "")
+    return raw.mapInArrow(run, "file string, body string").filter("body IS NOT NULL").select(
+        (F.lit(site) if site else F.lit("")).alias("site"), name.alias("sitemap_url"), "body")
