@@ -3,14 +3,19 @@
 Detected entities are replaced by keyed surrogates of the same type and format:
 digits stay digits, letters stay letters of the same case, separators, country
 codes, issuer digits, key prefixes and top-level domains stay, a card number that
-passes its checksum gets one that does.  Names after a title get made-up names of
-the title's gender and of their own script, first and last names each by
-themselves, so "Mr. Ann Lee" and "Mr. Lee" stay one person.  Names are also found
+passes its checksum gets one that does.  Names after a title, or several ("Prof. Dr."),
+get made-up names of the titles' gender and of their own script, first and last names
+each by themselves, so "Mr. Ann Lee" and "Mr. Lee" stay one person.  Names are also found
 after a salutation ("Dear Ann Lee,"), below a closing ("Regards, Ann Lee") and in a
 name field ("Name: Ann Lee"); of such a name no gender is known.  In a document that
 names someone, every capitalised whole-word mention of that name is replaced too,
-wherever it stands.  A name that no title, salutation, closing or field goes with in
-its document isn't found.
+wherever it stands; in scripts without case, every mention as a word of its own.  A name
+that no title, salutation, closing or field goes with in its document isn't found.
+
+A name is given or family, and a given name has a gender, as its document says most often
+and then as the corpus does: a given name with a gender before one without, and that before
+a family name.  The kind shapes the made name but isn't part of its key, so a name has one
+surrogate whatever stands before it in one place or another.
 
 A surrogate is a function of (key, type, value): equal values get equal surrogates
 everywhere (coreference), without a table.  For all types but names it is a keyed
@@ -34,6 +39,7 @@ import hashlib
 import hmac
 import itertools
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +47,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.words import small_batches
 from linkloom.operators.iterate import cut
+from linkloom.operators.joins import join_side_table
 
 # Titles and the gender they state.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f",
@@ -61,10 +68,14 @@ PATTERNS = [
     ("cue", rf"(?<!\w)(?:Dear|Hello|Hi) (?P<greeted>{NAME}(?: {NAME}){{0,2}})(?=\s?[,:!])"
             rf"|(?<!\w)(?:[Rr]egards|[Ss]incerely|[Cc]heers|[Bb]est wishes|[Yy]ours truly|[Yy]ours faithfully),\s{{1,3}}(?P<signed>{NAME}(?: {NAME}){{0,2}})"
             rf"|(?<!\w)(?:[Ff]ull |[Ff]irst |[Ll]ast |[Gg]iven |[Ff]amily )?(?:[Nn]ame|[Ss]urname): {{0,3}}(?P<field>{NAME}(?: {NAME}){{0,2}})"),
-    ("name", rf"(?<!\w)(?P<title>{'|'.join(TITLES)})\.? (?P<name>{NAME}(?: {NAME}){{0,2}})"),
+    ("name", rf"(?<!\w)(?P<title>(?:(?:{'|'.join(TITLES)})\.? )+)(?P<name>{NAME}(?: {NAME}){{0,2}})"),
 ]
 # consonants and vowels from which names are made, by script
 SCRIPTS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρτ", "αεηιο")}
+# letters of scripts without case, as ranges of code points, and a pattern of their names
+CASELESS = {"han": ("[\u4e00-\u9fff]", 0x4E00, 0x5000), "hangul": ("[\uac00-\ud7a3]", 0xAC00, 0xAE00), "hiragana": ("[\u3041-\u3096]", 0x3042, 0x3094),
+            "katakana": ("[\u30a1-\u30fa]", 0x30A2, 0x30F4), "hebrew": ("[\u05d0-\u05ea]", 0x05D0, 0x05EB), "arabic": ("[\u0620-\u064a]", 0x0628, 0x063B),
+            "devanagari": ("[\u0904-\u0939]", 0x0915, 0x093A), "thai": ("[\u0e01-\u0e2e]", 0x0E01, 0x0E2F)}
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -110,6 +121,23 @@ def bare(word: str) -> str:
     return OWNED.sub("", word)
 
 
+def named(word: str) -> bool:
+    """Begins like a name: a capital, or a letter of a script without case."""
+    return word[0].isupper() or word[0].lower() == word[0].upper()
+
+
+def is_name(kind: str) -> bool:
+    return kind.startswith(("given", "family"))
+
+
+def settled(votes: Counter) -> str:
+    """The one kind of a name that was seen as several."""
+    gendered = [k for k in ("givenf", "givenm") if votes[k]]
+    if gendered:
+        return max(gendered, key=lambda k: (votes[k], k))
+    return "given" if votes["given"] else "family"
+
+
 def detected(text: str, pattern: re.Pattern):
     """(type, begin, end) of what the patterns find, in order of place."""
     for m in (m for lo, hi in windows(text) for m in pattern.finditer(text, lo, hi)):
@@ -117,8 +145,9 @@ def detected(text: str, pattern: re.Pattern):
         if m.group("secret"):
             yield "secret", *m.span("secret")
         elif where := next((g for g in ("name", "greeted", "signed", "field") if m.group(g)), None):
-            gender, (begin, _) = TITLES[m.group("title")] if where == "name" else "", m.span(where)
-            parts = [w for w in re.finditer(NAME, m.group(where)) if w[0][0].isupper()]
+            genders = [TITLES[t] for t in re.findall(r"[^\W\d_]+", m.group("title"))] if where == "name" else []
+            gender, (begin, _) = next(filter(None, genders), ""), m.span(where)
+            parts = [w for w in re.finditer(NAME, m.group(where)) if named(w[0])]
             if not parts or parts[0].start() or (where != "name" and any(w[0].lower() in NOBODY for w in parts)):
                 continue
             for k, w in enumerate(parts):
@@ -130,16 +159,18 @@ def detected(text: str, pattern: re.Pattern):
 def entities(text: str, pattern: re.Pattern) -> list:
     """(type, begin, end) in order of place: what is detected, and all mentions of the names among it."""
     found = list(detected(text, pattern))
-    names: dict = {}
+    seen: dict = {}
     for kind, f, t in found:
-        if kind.startswith(("given", "family")):
-            names.setdefault(canonical(kind, text[f:t]), kind)
-    if not names:
+        if is_name(kind):
+            seen.setdefault(canonical(kind, text[f:t]), Counter())[kind] += 1
+    if not seen:
         return found
+    names = {name: settled(votes) for name, votes in seen.items()}
+    found = [(names[canonical(kind, text[f:t])] if is_name(kind) else kind, f, t) for kind, f, t in found]
     held, more = 0, []
     for m in MENTION.finditer(text):
         word = bare(m[0])
-        kind = names.get(word.lower()) if word[0].isupper() else None
+        kind = names.get(word.lower()) if named(word) else None
         if not kind:
             continue
         f, t = m.start(), m.start() + len(word)
@@ -253,9 +284,15 @@ def surrogate(key: bytes, kind: str, value: str, tweak: int = 0) -> str:
 
 
 def made_name(key: bytes, kind: str, value: str, tweak: int) -> str:
+    x, out = number(key, "name", tweak, value), ""
+    for pattern, low, high in CASELESS.values():
+        if re.search(pattern, value):
+            for _ in range(max(2, len(value)) + tweak // 4):
+                x, c = divmod(x, high - low)
+                out += chr(low + c)
+            return out
     script = "cyrillic" if re.search("[а-яё]", value) else "greek" if re.search("[α-ωά-ώ]", value) else "latin"
     consonants, vowels = SCRIPTS[script]
-    x, out = number(key, kind, tweak, value), ""
     for _ in range((3 if kind.startswith("given") else 4) + tweak // 4):
         x, c = divmod(x, len(consonants))
         x, v = divmod(x, len(vowels))
@@ -320,8 +357,15 @@ def crowded(values: DataFrame) -> DataFrame:
 
 
 def family(kind):
-    """Given names of all genders are one space of values."""
-    return F.regexp_replace(kind, "^given.$", "given")
+    """Names of all kinds are one space of values."""
+    return F.regexp_replace(kind, "^(given.?|family)$", "name")
+
+
+def one_kind(kinds: DataFrame) -> DataFrame:
+    """(value, settled) of the names among (kind, value, n), over the whole corpus."""
+    n = {k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in ("givenf", "givenm", "given")}
+    best = F.when((n["givenf"] > 0) | (n["givenm"] > 0), F.when(n["givenm"] >= n["givenf"], "givenm").otherwise("givenf")).when(n["given"] > 0, "given").otherwise("family")
+    return kinds.filter(family(F.col("kind")) == "name").groupBy("value").agg(best.alias("settled"))
 
 
 def retried(values: DataFrame, key: bytes) -> DataFrame:
@@ -350,12 +394,17 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
     """One row per document: doc_id, text, n_entities, entities (kind, begin, end in the new text)."""
     rows = small_batches(docs).select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
     found = cut(distinct_entities(rows.select("key", "text")))
-    again = cut(retried(cut(found.select("kind", "value").distinct()), key))
-    if again.isEmpty():
-        rows = rows.withColumn("again", F.lit(None).cast("array<struct<kind:string,value:string,tweak:int>>"))
+    kinds = cut(found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")))
+    is_a_name = family(F.col("kind")) == "name"
+    kinds = cut(kinds.join(one_kind(kinds), "value", "left").select("kind", "value", F.when(is_a_name, F.col("settled")).otherwise(F.col("kind")).alias("as")))
+    tweaks = cut(retried(cut(kinds.select(F.col("as").alias("kind"), "value").distinct()), key))
+    changes = kinds.join(tweaks.withColumnRenamed("kind", "as"), ["as", "value"], "left").select("kind", "value", "as", F.coalesce("tweak", F.lit(0)).alias("tweak"))
+    changes = cut(changes.filter((F.col("tweak") > 0) | (F.col("as") != F.col("kind"))))
+    if changes.isEmpty():
+        rows = rows.withColumn("again", F.lit(None).cast("array<struct<kind:string,value:string,as:string,tweak:int>>"))
     else:
-        of_doc = found.join(again, ["kind", "value"]).dropDuplicates(["key", "kind", "value"]).groupBy("key").agg(
-            F.collect_list(F.struct("kind", "value", "tweak")).alias("again"))
+        of_doc = join_side_table(found, changes, ["kind", "value"], spread_key="key").dropDuplicates(["key", "kind", "value"]).groupBy("key").agg(
+            F.collect_list(F.struct("kind", "value", "as", "tweak")).alias("again"))
         rows = rows.join(of_doc, "key", "left")
     rows = rows.select("doc_id", "text", "again")
 
@@ -366,11 +415,12 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
             texts, spans = [], []
             for text, again in zip(b.column(1), b.column(2).to_pylist()):
                 text = text.as_py()
-                tweaks = {(x["kind"], x["value"]): x["tweak"] for x in again or ()}
+                changed = {(x["kind"], x["value"]): (x["as"], x["tweak"]) for x in again or ()}
                 at, size, out, span = 0, 0, [], []
                 for kind, f, t in entities(text, pattern) if text else ():
                     value = canonical(kind, text[f:t])
-                    new = in_format(kind, text[f:t], surrogate(key, kind, value, tweaks.get((kind, value), 0)))
+                    kind, tweak = changed.get((kind, value), (kind, 0))
+                    new = in_format(kind, text[f:t], surrogate(key, kind, value, tweak))
                     out += [text[at:f], new]
                     size += f - at
                     span.append({"kind": kind, "begin": size, "end": size + len(new)})

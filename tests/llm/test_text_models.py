@@ -328,3 +328,25 @@ def test_windows_lose_nothing():
         text = rng.choice([" ", "\n", ""]).join(parts)
         want = [m.span() for m in pattern.finditer(text)]
         assert [m.span() for lo, hi in surrogates.windows(text) for m in pattern.finditer(text, lo, hi)] == want
+
+
+def names_in(text, spans, kinds=("given", "givenm", "givenf", "family")):
+    return [text[e.begin:e.end] for e in spans if e.kind in kinds]
+
+
+def test_one_person_one_surrogate(spark):
+    """Titles, salutations and closings of a name agree, within a document and over the corpus."""
+    data = [(1, "Mrs. Ann Lee came. Regards, Ann Lee"), (2, "Dear Ann, we met Mrs. Ann Lee today."), (3, "Mr. John Smith met Dr. John Smith and John."),
+            (4, "Prof. Dr. Max Planck and Max"), (5, "Mr. 王 小明 met 小明 ."), (6, "Dear Ann, hello"), (7, "Name: John"), (8, "Dr. Ms. Eve Stone"),
+            (9, "Mr. דוד לוי and Mrs. رائد")]
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(data, "doc_id long, text string"), b"k").collect()}
+    n = {i: names_in(r.text, r.entities) for i, r in got.items()}
+    assert n[1][0] == n[1][2] and n[1][1] == n[1][3] and n[2] == [n[1][0], n[1][0], n[1][1]] and n[6] == [n[1][0]]
+    assert n[3] == [n[3][0], n[3][1], n[3][0], n[3][1], n[3][0]] and n[7] == [n[3][0]] and n[3][0] != n[3][1]
+    assert n[1][0].endswith("a") and not n[3][0][-1] in "aeiou"  # the gender that the corpus knows
+    assert got[4].text.startswith("Prof. Dr. ") and "Max" not in got[4].text and "Planck" not in got[4].text and n[4][0] == n[4][2]
+    assert n[8][0].endswith("a") and got[8].text.startswith("Dr. Ms. ")
+    assert "王" not in got[5].text and "小明" not in got[5].text and n[5][1] == n[5][2] and all(0x4E00 <= ord(c) < 0x5000 for w in n[5] for c in w)
+    assert len(n[9]) == 3 and all(0x5D0 <= ord(c) < 0x5EB for w in n[9][:2] for c in w) and all(0x628 <= ord(c) < 0x63B for c in n[9][2])
+    every = {w for ws in n.values() for w in ws}
+    assert len(every) == len({"ann", "lee", "john", "smith", "max", "planck", "王", "小明", "eve", "stone", "דוד", "לוי", "رائد"})
