@@ -176,7 +176,7 @@ def test_pipeline_stages(spark, tmp_path):
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "MinHash near-dedup", "mixing sources", "packing"]
     # identifiers beyond those of the labels, so that nothing is learned from chance
-    table = docs(spark, [(90, texts()[0] + " tail", "en", "a", 1, "", 0, 0.0, "")]).withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    table = docs(spark, [(90, texts()[0] + " tail", "en", "a", 1, "", 0, 0.0, "")]).withColumn("doc_id", F.col("doc_id") + 1_000_000).withColumn("a.b", F.lit(1))
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, table, SF)
         out.write.parquet(f"{tmp_path}/{k}")
@@ -232,3 +232,26 @@ def test_near_copies_go_row_by_row(spark):
     assert [t for i, t in left if i == 5] == [clean]
     assert len([t for i, t in left if i == 7]) == 1 and not [t for i, t in left if i == 8]
     assert len(left) == 6 and sum(i == 9 for i, _ in left) == 2
+
+
+def test_folds_are_crc32(spark):
+    ids = [0, 1, 17, 123456789012, -5, None]
+    got = {r.doc_id: r.m for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", queries.remainder().alias("m")).collect()}
+    assert got == {i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 for i in ids}
+
+
+def test_held_out_labels_change_no_score(spark, tmp_path):
+    """Turning every held-out label round leaves all scores of the classifiers as they are; toxic documents leave the pipeline."""
+    for name in ("documents", "labels"):
+        df = queries.table(spark, SF, name)
+        if name == "labels":
+            turned = [F.when(queries.remainder() == 0, 1 - F.col(c)).otherwise(F.col(c)).alias(c) for c in ("quality", "toxic")]
+            df = df.select("doc_id", *turned)
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in (queries.op2_toxic_passages, queries.op4_attention_quality):
+        a, b = ({r.doc_id: (r.score, r.predicted, r.held_out) for r in query(spark, d).collect()} for d in (SF, str(tmp_path)))
+        assert a.keys() == b.keys() and all(abs(a[i][0] - b[i][0]) < 1e-9 and a[i][1:] == b[i][1:] for i in a)
+        assert all(held == (zlib.crc32(str(i).encode()) % 5 == 0) for i, (_, _, held) in a.items())
+        if query is queries.op2_toxic_passages:
+            stays = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, queries.table(spark, SF, "documents"), SF).collect()}
+            assert stays == {i for i, x in a.items() if x[1] == 0} and len(stays) < len(a)
