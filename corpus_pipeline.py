@@ -22,7 +22,7 @@ from linkloom.operators.iterate import cut
 from linkloom.session import table
 
 
-def own(docs: DataFrame) -> list:
+def columns_of(docs: DataFrame) -> list:
     """Its columns, whatever characters their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
@@ -30,7 +30,7 @@ def own(docs: DataFrame) -> list:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents scored 0.5 or more go.  Labels come from the same rows as in its query."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(remainder() != 0))
-    rows = docs.select("doc_id", "text", F.struct(*own(docs)).alias("row"))
+    rows = docs.select("doc_id", "text", F.struct(*columns_of(docs)).alias("row"))
     return toxicity.score(rows, model, keep=("row",)).filter("predicted = 0").select("row.*")
 
 
@@ -43,9 +43,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Operator 3: of each group of near copies the row with the smallest identifier stays, one of them where it repeats."""
     found = cut(minhash.near_duplicates(docs, sets=True).filter("doc_id IS NOT NULL"))
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("stays"))
-    plain = docs.join(ids.filter("n > 1 OR NOT stays").select("doc_id"), "doc_id", "left_anti").select(*own(docs))
+    plain = docs.join(ids.filter("n > 1 OR NOT stays").select("doc_id"), "doc_id", "left_anti").select(*columns_of(docs))
     # rows that share an identifier are told apart by their sets
-    shared = docs.join(ids.filter("n > 1").select("doc_id"), "doc_id", "left_semi").select(*own(docs))
+    shared = docs.join(ids.filter("n > 1").select("doc_id"), "doc_id", "left_semi").select(*columns_of(docs))
     rows = minhash.with_set_ids(shared).withColumn("doc_id", F.col("row.doc_id").cast("long"))
     own = found.filter("kept AND sid IS NOT NULL").select("doc_id", "sid", "group").distinct()
     first = Window.partitionBy("doc_id", "group").orderBy("sid", F.col("row.text"), F.hash("row"))
