@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
-from linkloom.llm.words import Powers, mix, small_batches, word_chunks
+from linkloom.llm.words import Powers, ddl_of, mix, small_batches, word_chunks
 from linkloom.operators.iterate import cut
 
 WIDTH, COORDS, MATCHES = 5, 64, 31
@@ -211,7 +211,7 @@ def with_set_ids(docs: DataFrame) -> DataFrame:
                 at += len(sets)
 
     rows = small_batches(docs).select(F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(run, f"sid long, row {rows.schema['row'].dataType.simpleString()}")
+    return rows.mapInArrow(run, f"sid long, {ddl_of([rows.schema['row']])}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import Powers, mix, no_clash, small_batches, word_chunks
+from linkloom.llm.words import Powers, ddl_of, mix, no_clash, small_batches, word_chunks
 from linkloom.operators.iterate import cut
 
 PASSAGE = 64
@@ -212,6 +212,6 @@ def score(docs: DataFrame, net: Attention, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, w.n_docs) for c in b.columns[1:]), pa.array(y), pa.array(n.astype(np.int32)),
                                                   pa.array(best.astype(np.int32))], [*names, "score", "passages", "key_word"])
 
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    head = ddl_of(rows.schema.fields[1:])
     scored = rows.mapInArrow(run, f"{head}, score double, passages int, key_word int")
     return scored.withColumnsRenamed({f"kept_{c}": c for c in keep}).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.words import Powers, mix, no_clash, small_batches, sums_by_key, word_chunks
+from linkloom.llm.words import Powers, ddl_of, mix, no_clash, small_batches, sums_by_key, word_chunks
 from linkloom.operators.iterate import cut
 
 PREFIX_BYTES = (4, 5)
@@ -257,6 +257,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.float64()), pa.array(spans, kind)],
                                              [*names, "score", "spans"])
 
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    head = ddl_of(rows.schema.fields[1:])
     scored_rows = rows.mapInArrow(scored, f"{head}, score double, spans {SPANS}")
     return scored_rows.withColumnsRenamed({f"kept_{c}": c for c in keep}).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,6 +45,11 @@ def small_batches(df):
     return df
 
 
+def ddl_of(fields) -> str:
+    """Schema text of the fields; names of any characters are quoted."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in fields]).toDDL()
+
+
 class Powers:
     """Powers of the hash base and of its inverse, grown on demand."""
 
