@@ -5,8 +5,8 @@
   clamped to [1, n].  Cluster numbers are not portable across engines.
 * 2-D layout: two principal components per site, a linear stand-in for a
   UMAP embedding.
-* Term SVD: randomized (``operators.svd``) or MLlib's ``computeSVD``, a site at a
-  time; rows are U * S without centring, signs are arbitrary.
+* Term SVD: randomized (``operators.svd``, all sites at once) or MLlib's ``computeSVD``, a
+  site at a time; rows are U * S without centring, signs are arbitrary.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from linkloom.functions import vectors as V
 from linkloom.operators.iterate import cut
@@ -35,6 +36,10 @@ def choose_k(n: int) -> int:
     return max(4, int(math.sqrt(n)))
 
 
+SEED_ROUNDS = 4  # rounds of oversampling before K-means
+OVERSAMPLE = 2   # candidates of a round, as a multiple of k
+
+
 def _sites(df: DataFrame) -> list:
     return [r.site for r in df.select("site").distinct().collect()]
 
@@ -72,9 +77,9 @@ def kmeans(vecs: DataFrame, k: int | None = 7, seed: int = 42, restarts: int = 1
     """(site, url, vec) -> (site, url, cluster); the restart with least inertia wins.
 
     Lloyd rounds of all sites and restarts in one job: tasks sum their rows by
-    (site, restart, cluster), Spark adds the sums up.  Starts are the ``k`` vectors
-    first by hash.  Where the centroids of all sites would exceed ``max_bytes``, sites
-    are done in several groups by hash.
+    (site, restart, cluster), Spark adds the sums up.  Starts come from scalable
+    k-means++ (``_seeds``).  Where the candidates of all sites would exceed ``max_bytes``,
+    sites are done in several groups by hash.
     """
     spark = vecs.sparkSession
     vecs = cut(vecs.select("site", "url", "vec"))
@@ -82,7 +87,7 @@ def kmeans(vecs: DataFrame, k: int | None = 7, seed: int = 42, restarts: int = 1
     fixed = F.lit(k) if k else F.when(F.col("n") <= 5, 1).when(F.col("n") <= 20, 2).when(F.col("n") <= 60, 3).otherwise(
         F.greatest(F.lit(4), F.floor(F.sqrt("n"))))
     sizes = cut(sizes.withColumn("k", F.greatest(F.lit(1), F.least(fixed, F.col("n"))).cast("int")))
-    total = sizes.agg(F.coalesce(F.sum(F.col("k") * F.col("dim") * 8 * max(1, restarts)), F.lit(0))).first()[0]
+    total = sizes.agg(F.coalesce(F.sum(F.col("k") * F.col("dim") * 8 * max(1, restarts) * (1 + SEED_ROUNDS * OVERSAMPLE)), F.lit(0))).first()[0]
     groups = total // max_bytes + 1
     out = None
     for g in range(groups):
@@ -102,8 +107,113 @@ def _starts(vecs: DataFrame, ks: DataFrame, seed: int, restarts: int) -> DataFra
             .join(ks, "site").filter("place <= k").select("site", "url", "restart", (F.col("place") - 1).alias("cluster")))
 
 
+def _unit(urls, restart: int, turn: int, seed: int) -> np.ndarray:
+    """A number in (0, 1) of each row, the same in every run."""
+    h = pd.util.hash_array(np.asarray(urls, dtype=object).astype(str).astype(object), hash_key="vectors-by-hash!")
+    h = h ^ np.uint64((seed * 0x9E3779B97F4A7C15 + restart * 0xC2B2AE3D27D4EB4F + turn * 0x165667B19E3779F9) % 2**64)
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def _centres(frame: pd.DataFrame) -> dict:
+    """{site: {restart: matrix}} of rows (site, restart, vec), in their order."""
+    return {s: {int(r): np.stack(p["vec"].to_list()) for r, p in part.groupby("restart")} for s, part in frame.groupby("site")}
+
+
+def _seeds(vecs: DataFrame, ks: DataFrame, seed: int, restarts: int) -> DataFrame:
+    """(site, restart, cluster, vec): starts by scalable k-means++ (Bahmani et al. 2012).
+
+    Candidates begin as the k rows first by hash.  Each of SEED_ROUNDS rounds draws
+    OVERSAMPLE * k further rows without replacement, in proportion to the squared distance
+    to the nearest candidate: the smallest -log(u) / distance win, so tasks keep their own
+    smallest and Spark merges them, without a pass for the total.  Then candidates, weighted by the
+    rows nearest to them, are reduced to k by weighted k-means++ and a few weighted Lloyd
+    steps in a task per (site, restart).  Candidates number k * (1 + SEED_ROUNDS * OVERSAMPLE)."""
+    spark = vecs.sparkSession
+    url_type = vecs.schema["url"].dataType.simpleString()
+    drawn = f"site string, restart int, url {url_type}, rank double, vec array<double>"
+    types = (pa.string(), pa.int32(), to_arrow_type(vecs.schema["url"].dataType), pa.float64(), pa.list_(pa.float64()))
+    found = cut(_starts(vecs, ks, seed, restarts).join(vecs, ["site", "url"]).select("site", "restart", "url", F.col("cluster").cast("double").alias("rank"), "vec"))
+    sizes = {r.site: r.k for r in ks.collect()}  # bounded with the centroids, by max_bytes
+    take = max(sizes.values(), default=0) * OVERSAMPLE
+
+    def shared():
+        frame = found.select("site", "restart", "vec").toPandas()
+        frame["vec"] = [np.array(v, np.float64) for v in frame["vec"]]
+        return spark.sparkContext.broadcast(_centres(frame))
+
+    for turn in range(SEED_ROUNDS if take else 0):
+        near = shared()
+
+        def draw(it, near=near, turn=turn):
+            best: dict = {}
+            for site, urls, x in _by_site(it):
+                for r, c in near.value[site].items():
+                    d = _closest(x, c)[1]
+                    ok = np.nonzero(d > 1e-12 * (1 + (x * x).sum(1)))[0]
+                    rank = -np.log(_unit(urls.to_numpy()[ok], r, turn, seed)) / d[ok]
+                    first = np.argsort(rank, kind="stable")[:sizes[site] * OVERSAMPLE]
+                    rows = best.setdefault((site, r), [])
+                    rows += [(float(rank[i]), urls.iloc[ok[i]], x[ok[i]].tolist()) for i in first]
+                    if len(rows) > 4 * sizes[site] * OVERSAMPLE:
+                        best[site, r] = sorted(rows, key=lambda t: t[:2])[:sizes[site] * OVERSAMPLE]
+            for (site, r), rows in best.items():
+                rows = sorted(rows, key=lambda t: t[:2])[:sizes[site] * OVERSAMPLE]
+                columns = ([site] * len(rows), [r] * len(rows), [t[1] for t in rows], [t[0] for t in rows], [t[2] for t in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["site", "restart", "url", "rank", "vec"])
+
+        order = Window.partitionBy("site", "restart").orderBy("rank", "url")
+        more = vecs.select("site", "url", "vec").mapInArrow(draw, drawn).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.lit(take))
+        more = more.join(F.broadcast(ks), "site").filter(F.col("place") <= F.col("k") * OVERSAMPLE)
+        found = cut(found.unionByName(more.select(*found.columns)))
+    if not take:
+        return found.select("site", "restart", F.lit(0).alias("cluster"), "vec")
+    frame = found.orderBy("site", "restart", "rank", "url").toPandas()
+    frame["vec"] = [np.array(v, np.float64) for v in frame["vec"]]
+    frame["place"] = frame.groupby(["site", "restart"]).cumcount()
+    near = spark.sparkContext.broadcast(_centres(frame))
+
+    def weigh(it):
+        total: dict = {}
+        for site, _, x in _by_site(it):
+            for r, c in near.value[site].items():
+                total[site, r] = total.get((site, r), 0) + np.bincount(_closest(x, c)[0], minlength=len(c))
+        rows = [(s, r, j, int(n)) for (s, r), counts in total.items() for j, n in enumerate(counts) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (
+            pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["site", "restart", "place", "n"])
+
+    def reduce(table):
+        f = table.to_pandas().sort_values("place")
+        site, r = f["site"].iloc[0], int(f["restart"].iloc[0])
+        c, w, k = near.value[site][r], np.zeros(len(near.value[site][r])), sizes[site]
+        w[f["place"].to_numpy()] = f["n"].to_numpy()
+        rng = np.random.default_rng([seed, r, k])
+        chosen = [int(np.searchsorted(np.cumsum(w), rng.random() * w.sum()))]
+        d = _closest(c, c[chosen])[1]
+        while len(chosen) < k:
+            mass = np.cumsum(w * d)
+            rest = np.setdiff1d(np.arange(len(c)), chosen)
+            at = int(np.searchsorted(mass, rng.random() * mass[-1])) if mass[-1] > 1e-12 else -1
+            at = int(rest[0]) if at < 0 or at in chosen or at >= len(c) else at
+            chosen.append(at)
+            d = np.minimum(d, _closest(c, c[[at]])[1])
+        m = c[chosen].copy()
+        for _ in range(20):
+            own = _closest(c, m)[0]
+            n = np.bincount(own, w, k)
+            z = np.zeros_like(m)
+            np.add.at(z, own, c * w[:, None])
+            m[n > 0] = z[n > 0] / n[n > 0, None]
+        return pa.table({"site": pa.array([site] * k, pa.string()), "restart": pa.array([r] * k, pa.int32()), "cluster": pa.array(range(k), pa.int32()), "vec": m.tolist()})
+
+    counted = vecs.select("site", "url", "vec").mapInArrow(weigh, "site string, restart int, place int, n long")
+    counted = counted.groupBy("site", "restart", "place").agg(F.sum("n").alias("n"))
+    return counted.groupBy("site", "restart").applyInArrow(reduce, "site string, restart int, cluster int, vec array<double>")
+
+
 def _lloyd(spark, vecs: DataFrame, ks: DataFrame, seed: int, restarts: int, max_iter: int, tol: float) -> DataFrame:
-    now = _starts(vecs, ks, seed, restarts).join(vecs, ["site", "url"]).select("site", "restart", "cluster", "vec").orderBy("site", "restart", "cluster").toPandas()
+    now = _seeds(vecs, ks, seed, restarts).orderBy("site", "restart", "cluster").toPandas()
     now["vec"] = [np.array(v, np.float64) for v in now["vec"]]
     url_type = vecs.schema["url"].dataType.simpleString()
     schema = f"site string, url {url_type}, cluster int"
@@ -166,25 +276,15 @@ def svd_components(n_docs: int, n_terms: int, cap: int = 64) -> int:
 def term_svd(weights: DataFrame, vocab: DataFrame, cap: int = 64, method: str = "randomized") -> DataFrame:
     """(site, url, term, w) + vocab(site, term, rank) -> (site, url, svd ARRAY<DOUBLE>).
 
-    ``randomized`` (default): range finder with 5 power iterations and 10
-    oversamples, a fixed number of Spark passes (see ``operators.svd``).
-    ``mllib``: ``IndexedRowMatrix.computeSVD`` (exact; distributed ARPACK
+    ``randomized`` (default): subspace iteration of all sites at once, 10 oversamples,
+    a fixed number of Spark jobs (see ``operators.svd``).
+    ``mllib``: ``IndexedRowMatrix.computeSVD``, a site at a time (exact; distributed ARPACK
     launches one job per multiply on wide matrices).
     """
     if method == "randomized":
-        from linkloom.operators.svd import randomized_svd_site
-
-        outs = []
-        for site in _sites(weights):
-            w = weights.filter(F.col("site") == site)
-            voc = vocab.filter(F.col("site") == site)
-            n_docs = w.select("url").distinct().count()
-            n_terms = voc.count()
-            if n_docs == 0 or n_terms == 0:
-                continue
-            k = svd_components(n_docs, n_terms, cap)
-            outs.append(randomized_svd_site(w, voc, k).select(F.lit(site).alias("site"), "url", "svd"))
-        return _union(outs, weights, f"site string, url {weights.schema['url'].dataType.simpleString()}, svd array<double>")
+        from linkloom.operators.svd import randomized_svd
+
+        return randomized_svd(weights, vocab, cap)
     from pyspark.mllib.linalg import SparseVector
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 

@@ -1,142 +1,183 @@
-"""Randomized truncated SVD of the TF-IDF long table.
+"""Randomized truncated SVD of the TF-IDF long table (F9), all sites in one job.
 
-X is docs x terms, stored long as (site, url, idx, w) with idx < T (T is the
-vocabulary cap, so terms x l matrices are bounded).  A range finder with
-power iterations (Halko, Martinsson & Tropp 2011):
+X is docs x terms, stored long as (site, url, idx, w) with idx below the site's
+vocabulary cap T, so a terms x l matrix of a site is bounded.  Subspace iteration
+on the term side with a Rayleigh-Ritz step (Halko, Martinsson & Tropp 2011):
 
-    Y = X Omega;  repeat q: Z = orth(X^T orth(Y));  Y = X Z
-    Q = orth(Y);  B = Q^T X;  B = Ub S V^T;  rows of U S = Q Ub S
+    Z = orth(Omega);  repeat: W = X^T (X Z);  Z = orth(W)
+    at the end  Z^T W = (X Z)^T (X Z) = V S^2 V^T  and  U S = X (Z V)
 
-Every product with X is one Spark pass: documents are grouped once into
-(url, idx[], w[]) rows and each partition multiplies its documents with NumPy.
-``orth`` of the tall docs x l matrix is Cholesky on the l x l Gram matrix
-(summed from per-partition partials); terms x l and l x l matrices are
-finished on the driver.  Signs are arbitrary, as for any SVD.
+The number of jobs depends on the rounds and not on the sites:
+
+* documents are grouped once into (site, salt, url, idx[], w[]) rows, hash-partitioned
+  by (site, salt) and checkpointed that way; a salt holds about ``ENTRIES`` entries, so a
+  large site is many groups;
+* a round cogroups them with the site's Z, one copy per salt, and multiplies in NumPy
+  by pieces of ``PIECE`` entries; partial rows of W are added up by Spark;
+* a site's Z and W (T x l) meet in one task for the orthogonalisation.
+
+Nothing goes through the driver.  Signs are arbitrary for an SVD; here the entry of
+largest magnitude of each direction of terms is positive.  A site without terms has
+no rows; a site of rank below the components asked for has zeros in the rest.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators.iterate import cut
+from linkloom.operators.iterate import cut, cut_by, discard, partitions_for
+from linkloom.operators.joins import join_side_table
 
+ENTRIES = 1_000_000  # entries of X in a (site, salt) group
+PIECE = 1 << 15      # entries multiplied at a time
 
-def _docs(weights: DataFrame, vocab: DataFrame) -> DataFrame:
-    voc = vocab.select("site", "term", (F.col("rank") - 1).cast("int").alias("idx"))
-    return (
-        weights.join(voc, ["site", "term"])
-        .groupBy("site", "url").agg(F.collect_list("idx").alias("idx"), F.collect_list("w").alias("w"))
-    )
+MATRIX = pa.schema([("site", pa.string()), ("idx", pa.int32()), ("k", pa.int32()), ("z", pa.list_(pa.float64()))])
+MATRIX_SQL = "site string, idx int, k int, z array<double>"
 
 
-def _flat(pdf: pd.DataFrame):
-    lens = pdf["idx"].map(len).to_numpy()
-    rows = np.repeat(np.arange(len(pdf)), lens)
-    idx = np.concatenate([np.asarray(i, dtype=np.int64) for i in pdf["idx"]]) if len(pdf) else np.zeros(0, np.int64)
-    w = np.concatenate([np.asarray(x, dtype=np.float64) for x in pdf["w"]]) if len(pdf) else np.zeros(0)
-    return rows, idx, w
+def _shapes(weights: DataFrame, vocab: DataFrame, cap: int, oversample: int) -> DataFrame:
+    """(site, k, l, salts): components, width of the iterated matrix and groups of documents of each site."""
+    docs = weights.groupBy("site", "url").agg(F.count(F.lit(1)).alias("entries"))
+    docs = docs.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum("entries").alias("entries"))
+    both = docs.join(vocab.groupBy("site").agg(F.max("rank").alias("t")), "site")
+    k = F.least(F.lit(cap), F.greatest(F.lit(2), F.least("n", "t") - 1))
+    return both.select("site", k.cast("int").alias("k"), F.least(k + oversample, F.col("t"), F.col("n")).cast("int").alias("l"),
+                       (F.floor(F.col("entries") / ENTRIES) + 1).cast("int").alias("salts"))
 
 
-def _times(docs: DataFrame, m: np.ndarray, url_type: str) -> DataFrame:
-    """(url, y = x_doc @ m) for every document; NumPy per Arrow batch."""
-    mm = np.ascontiguousarray(m)  # shipped with the task closure (T x l, bounded by the vocabulary cap)
+def _matrix(site: str, idx: np.ndarray, k: int, z: np.ndarray) -> pa.Table:
+    flat = pa.ListArray.from_arrays(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1], np.ascontiguousarray(z).ravel())
+    return pa.Table.from_arrays([pa.array([site] * len(z), pa.string()), pa.array(idx, pa.int32()), pa.array(np.full(len(z), k), pa.int32()), flat], schema=MATRIX)
 
-    def run(it):
-        for pdf in it:
-            rows, idx, w = _flat(pdf)
-            out = np.zeros((len(pdf), mm.shape[1]))
-            np.add.at(out, rows, w[:, None] * mm[idx])
-            yield pd.DataFrame({"url": pdf["url"], "y": list(out)})
 
-    return docs.select("url", "idx", "w").mapInPandas(run, f"url {url_type}, y array<double>")
+def _dense(table: pa.Table, column: str = "z") -> tuple[np.ndarray, np.ndarray]:
+    """(idx, rows) of one site's matrix."""
+    z = table[column].combine_chunks()
+    flat = z.flatten().to_numpy(zero_copy_only=False)
+    return table["idx"].to_numpy(), flat.reshape(len(table), -1) if len(table) else flat.reshape(0, 1)
 
 
-def _summed(part: DataFrame, rows: int, l: int) -> np.ndarray:
-    """Rows (idx, z) added up by idx and position in Spark; the rows x l result."""
-    cells = part.select("idx", F.posexplode("z").alias("pos", "x")).groupBy("idx", "pos").agg(F.sum("x").alias("x")).toPandas()
-    out = np.zeros((rows, l))
-    out[cells["idx"].to_numpy(np.int64), cells["pos"].to_numpy(np.int64)] = cells["x"].to_numpy(np.float64)
+def _spread_rows(idx: np.ndarray, z: np.ndarray) -> np.ndarray:
+    out = np.zeros((int(idx.max()) + 1 if len(idx) else 0, z.shape[1]))
+    out[idx] = z
     return out
 
 
-def _gram(y: DataFrame, l: int) -> np.ndarray:
-    """Y^T Y, l x l."""
-    def run(it):
-        g = np.zeros((l, l))
-        for pdf in it:
-            if len(pdf):
-                a = np.stack(pdf["y"].to_numpy())
-                g += a.T @ a
-        yield pd.DataFrame({"idx": np.arange(l), "z": list(g)})
-
-    return _summed(y.select("y").mapInPandas(run, "idx long, z array<double>"), l, l)
-
-
-def _t_times(docs: DataFrame, y: DataFrame, t: int, l: int, rmat: np.ndarray | None = None) -> np.ndarray:
-    """X^T (Y R): partial T x l sums per task, added up in Spark; the
-    T x l result, bounded by the vocabulary cap, goes to the driver."""
-    r = rmat if rmat is not None else np.eye(l)
-
-    def run(it):
-        acc = np.zeros((t, l))
-        for pdf in it:
-            if not len(pdf):
-                continue
-            rows, idx, w = _flat(pdf)
-            yr = np.stack(pdf["y"].to_numpy()) @ r
-            np.add.at(acc, idx, w[:, None] * yr[rows])
-        nz = np.nonzero(np.any(acc != 0.0, axis=1))[0]
-        if len(nz):
-            yield pd.DataFrame({"idx": nz.astype(np.int64), "z": list(acc[nz])})
-
-    j = docs.join(y, "url").select("idx", "w", "y")
-    return _summed(j.mapInPandas(run, "idx long, z array<double>"), t, l)
-
-
-def _chol_inv(g: np.ndarray) -> np.ndarray:
-    """R^-1 with R^T R = G (G jittered if singular)."""
-    l = g.shape[0]
-    jitter = 0.0
-    for _ in range(6):
-        try:
-            r = np.linalg.cholesky(g + jitter * np.eye(l)).T
-            return np.linalg.inv(r)
-        except np.linalg.LinAlgError:
-            jitter = max(1e-12, jitter * 100) * max(1.0, np.trace(g) / l)
-    raise np.linalg.LinAlgError("Gram matrix not positive definite")
-
-
-def randomized_svd_site(weights: DataFrame, vocab: DataFrame, k: int, oversample: int = 10, n_iter: int = 5,
-                        seed: int = 42) -> DataFrame:
-    """One site's rows of U * S -> (url, svd ARRAY<DOUBLE>) with ``k`` components."""
-    url_type = weights.schema["url"].dataType.simpleString()
-    t = vocab.count()
-    docs = cut(_docs(weights, vocab))
-    n = docs.count()
-    l = int(min(k + oversample, t, n))
-    rng = np.random.default_rng(seed)
-    y = cut(_times(docs, rng.standard_normal((t, l)), url_type))
+def _pieces(docs: pa.Table):
+    """(first document, starts, idx, w) of runs of whole documents, about PIECE entries each."""
+    idx, w = docs["idx"].combine_chunks(), docs["w"].combine_chunks()
+    ends = np.cumsum(idx.value_lengths().to_numpy(zero_copy_only=False))
+    terms, values = idx.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False)
+    first = 0
+    while first < len(ends):
+        base = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + PIECE, "right")))
+        starts = np.concatenate(([0], ends[first:last - 1] - base))
+        yield first, starts, terms[base:ends[last - 1]], values[base:ends[last - 1]]
+        first = last
+
+
+def _start(seed: int, oversized: str = "l"):
+    def run(table: pa.Table) -> pa.Table:
+        site, k, l = (table[c][0].as_py() for c in ("site", "k", oversized))
+        idx = np.sort(table["idx"].to_numpy())
+        rng = np.random.default_rng([seed, zlib.crc32((site or "").encode())])
+        z, _ = np.linalg.qr(rng.standard_normal((len(idx), l)))
+        return _matrix(site, idx, k, z)
+    return run
+
+
+def _partial(docs: pa.Table, z: pa.Table) -> pa.Table:
+    """A group's share of X^T (X Z), as rows of terms that occur in it."""
+    if not len(docs) or not len(z):
+        return MATRIX.empty_table()
+    site, k = z["site"][0].as_py(), z["k"][0].as_py()
+    m = _spread_rows(*_dense(z))
+    out = np.zeros_like(m)
+    for _, starts, idx, w in _pieces(docs):
+        y = np.add.reduceat(w[:, None] * m[idx], starts, axis=0)
+        rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(idx))))
+        order = np.argsort(idx, kind="stable")
+        terms, at = np.unique(idx[order], return_index=True)
+        out[terms] += np.add.reduceat(w[order, None] * y[rows[order]], at, axis=0)
+    seen = np.nonzero(out.any(axis=1))[0]
+    return _matrix(site, seen, k, out[seen])
+
+
+def _orthogonal(table: pa.Table) -> pa.Table:
+    idx, w = _dense(table)
+    order = np.argsort(idx)
+    z, _ = np.linalg.qr(w[order])
+    return _matrix(table["site"][0].as_py(), idx[order], table["k"][0].as_py(), z)
+
+
+def _ritz(z: pa.Table, w: pa.Table) -> pa.Table:
+    """Z V: the directions of terms, by falling singular value."""
+    if not len(z) or not len(w):
+        return MATRIX.empty_table()
+    k = z["k"][0].as_py()
+    a, b = _spread_rows(*_dense(z)), _spread_rows(*_dense(w))
+    g = a[:len(b)].T @ b
+    _, v = np.linalg.eigh((g + g.T) / 2)
+    m = a @ v[:, ::-1][:, :k]
+    m *= np.where(m[np.abs(m).argmax(axis=0), np.arange(m.shape[1])] < 0, -1.0, 1.0)
+    return _matrix(z["site"][0].as_py(), np.arange(len(m)), k, m)
+
+
+def _rows(url_type: pa.DataType):
+    schema = pa.schema([("site", pa.string()), ("url", url_type), ("svd", pa.list_(pa.float64()))])
+
+    def run(docs: pa.Table, z: pa.Table) -> pa.Table:
+        if not len(docs) or not len(z):
+            return schema.empty_table()
+        m = _spread_rows(*_dense(z))
+        y = np.concatenate([np.add.reduceat(w[:, None] * m[idx], starts, axis=0) for _, starts, idx, w in _pieces(docs)])
+        svd = pa.ListArray.from_arrays(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1], y.ravel())
+        return pa.Table.from_arrays([docs["site"].combine_chunks(), docs["url"].combine_chunks(), svd], schema=schema)
+    return run
+
+
+def randomized_svd(weights: DataFrame, vocab: DataFrame, cap: int = 64, oversample: int = 10, n_iter: int = 7, seed: int = 42) -> DataFrame:
+    """(site, url, term, w) and vocab (site, term, rank) -> (site, url, svd ARRAY<DOUBLE>), the rows of U * S.
+
+    Components of a site: min(cap, max(2, min(documents, terms) - 1)).  ``rank`` counts a site's terms
+    from 1; their number is bounded by the vocabulary cap, which bounds a task's memory."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    url_type = weights.schema["url"].dataType
+    weights = weights.select("site", "url", "term", "w")
+    voc = cut(vocab.select("site", "term", "rank"))
+    shapes = cut(_shapes(weights, voc, cap, oversample))
+    entries = weights.join(voc, ["site", "term"]).select("site", "url", (F.col("rank") - 1).cast("int").alias("idx"), "w")
+    docs = entries.groupBy("site", "url").agg(F.collect_list(F.struct("idx", "w")).alias("e"))
+    docs = join_side_table(docs, shapes.select("site", "salts"), ["site"])
+    docs = docs.select("site", F.pmod(F.xxhash64("url"), F.col("salts")).cast("int").alias("salt"), "url", F.col("e.idx").alias("idx"), F.col("e.w").alias("w"))
+    total = int(shapes.agg(F.coalesce(F.sum("salts"), F.lit(0))).first()[0])
+    docs = cut_by(docs, partitions_for(weights.sparkSession, total, 4), ["site", "salt"])
+
+    terms = join_side_table(voc.select("site", (F.col("rank") - 1).cast("int").alias("idx")), shapes.select("site", "k", "l"), ["site"], spread_key="idx")
+    z = cut(terms.groupBy("site").applyInArrow(_start(seed), MATRIX_SQL))
+
+    def meet(m: DataFrame, product, schema: str) -> DataFrame:
+        each = join_side_table(m, shapes.select("site", "salts"), ["site"], spread_key="idx")
+        each = each.select("site", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "idx", "k", "z")
+        return docs.groupBy("site", "salt").cogroup(each.groupBy("site", "salt")).applyInArrow(product, schema)
+
+    def summed(m: DataFrame) -> DataFrame:
+        cells = meet(m, _partial, MATRIX_SQL).select("site", "idx", "k", F.posexplode("z").alias("pos", "x"))
+        cells = cells.groupBy("site", "idx", "k", "pos").agg(F.sum("x").alias("x"))
+        rows = cells.groupBy("site", "idx", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("s"))
+        return rows.select("site", "idx", "k", F.col("s.x").alias("z"))
+
     for _ in range(n_iter):
-        rinv = _chol_inv(_gram(y, l))
-        z = _t_times(docs, y, t, l, rinv)          # X^T orth(Y)
-        z, _ = np.linalg.qr(z)                      # orth on the driver (T x l, bounded)
-        y = cut(_times(docs, z, url_type))
-    rinv = _chol_inv(_gram(y, l))                   # Q = Y R^-1
-    bt = _t_times(docs, y, t, l, rinv)              # B^T = X^T Q  (T x l)
-    ub, s, _ = np.linalg.svd(bt.T, full_matrices=False)
-    proj = (rinv @ ub[:, :k]) * s[:k]               # rows: y R^-1 Ub S
-    return _times_rows(y, proj, url_type)
-
-
-def _times_rows(y: DataFrame, m: np.ndarray, url_type: str) -> DataFrame:
-    mm = np.ascontiguousarray(m)
-
-    def run(it):
-        for pdf in it:
-            ys = np.stack(pdf["y"].to_numpy()) if len(pdf) else np.zeros((0, mm.shape[0]))
-            yield pd.DataFrame({"url": pdf["url"], "svd": list(ys @ mm)})
-
-    return y.mapInPandas(run, f"url {url_type}, svd array<double>")
+        step = cut(summed(z).groupBy("site").applyInArrow(_orthogonal, MATRIX_SQL))
+        discard(z)
+        z = step
+    m = cut(z.groupBy("site").cogroup(summed(z).groupBy("site")).applyInArrow(_ritz, MATRIX_SQL))
+    discard(z)
+    return meet(m, _rows(to_arrow_type(url_type)), f"site string, url {url_type.simpleString()}, svd array<double>")

@@ -158,3 +158,25 @@ def test_kmeans_starts_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in starts._jdf.queryExecution().executedPlan().toString()
     rows = starts.collect()
     assert len(rows) == 12 and {(r.restart, r.cluster) for r in rows} == {(a, b) for a in range(3) for b in range(4)}
+
+
+def test_kmeans_seeds_beat_the_first_by_hash(spark):
+    """One far small group beside two large ones: starts by distance find it; reruns agree, duplicates do no harm."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((150, 3)), rng.standard_normal((150, 3)) + 12, rng.standard_normal((4, 3)) + 60])
+    rows = [("a", i, v.tolist()) for i, v in enumerate(x)] + [("same", 1000 + i, [2.0, 2.0, 2.0]) for i in range(5)]
+    vecs = spark.createDataFrame(rows, "site string, url long, vec array<double>").repartition(4)
+    ks = spark.createDataFrame([("a", 3), ("same", 2)], "site string, k int")
+
+    def inertia(starts, restart):
+        c = np.array([r.vec for r in starts if r.site == "a" and r.restart == restart])
+        return K._closest(x, c)[1].sum()
+
+    hashed = K._starts(vecs, ks, 42, 2).join(vecs, ["site", "url"]).collect()
+    seeds, again = (K._seeds(vecs, ks, 42, 2).orderBy("site", "restart", "cluster").collect() for _ in range(2))
+    assert seeds == again
+    assert {(r.site, r.restart, r.cluster) for r in seeds} == {(s, r, c) for s, k in (("a", 3), ("same", 2)) for r in range(2) for c in range(k)}
+    for r in range(2):
+        assert inertia(seeds, r) <= inertia(hashed, r) and inertia(seeds, r) < 3 * 304 * 2
+    labels = {r.url: r.cluster for r in K.kmeans(vecs.filter("site = 'a'"), k=3, restarts=1).collect()}
+    assert sorted(len({u for u in labels if labels[u] == c}) for c in set(labels.values())) == [4, 150, 150]

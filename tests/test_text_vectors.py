@@ -59,20 +59,47 @@ def test_pillar_falls_back_to_all_members(spark):
     assert len(out) == 1 and out[0].url == 2 and out[0].total_sim == 0.9
 
 
-def test_randomized_svd_matches_numpy(spark):
-    from linkloom.operators.svd import randomized_svd_site
+def test_randomized_svd_matches_numpy(spark, monkeypatch):
+    """Three sites of different shapes in one job, the largest over several salts."""
+    from linkloom.operators import svd
 
+    monkeypatch.setattr(svd, "ENTRIES", 300)
     rng = np.random.default_rng(11)
-    n, t = 40, 25
-    X = rng.random((n, 8)) @ rng.random((8, t))  # rank 8 < l: the range finder is exact
-    rows = [("s", i, f"t{j:02d}", float(X[i, j])) for i in range(n) for j in range(t) if X[i, j] != 0]
-    w = spark.createDataFrame(rows, "site string, url long, term string, w double")
-    voc = spark.createDataFrame([("s", f"t{j:02d}", j + 1) for j in range(t)], "site string, term string, rank int")
-    got = {r.url: np.array(r.svd) for r in randomized_svd_site(w, voc, k=5).collect()}
-    U, S, _ = np.linalg.svd(X, full_matrices=False)
-    want = U[:, :5] * S[:5]
-    G = np.stack([got[i] for i in range(n) if i in got])
-    W = np.stack([want[i] for i in range(n) if i in got])
-    # equal up to the sign of each component
-    for c in range(5):
-        assert min(np.abs(G[:, c] - W[:, c]).max(), np.abs(G[:, c] + W[:, c]).max()) < 1e-6
+    full, rows, voc = {}, [], []
+    for site, n, t in (("big", 60, 25), ("mid", 30, 40), ("lone", 1, 6)):
+        x = rng.random((n, 8)) @ rng.random((8, t))  # rank 8: the iteration is exact
+        full[site] = x
+        rows += [(site, f"{site}{i}", f"t{j:02d}", float(x[i, j])) for i in range(n) for j in range(t)]
+        voc += [(site, f"t{j:02d}", j + 1) for j in range(t)]
+    w = spark.createDataFrame(rows, "site string, url string, term string, w double").repartition(5)
+    v = spark.createDataFrame(voc, "site string, term string, rank int")
+    got = {(r.site, r.url): np.array(r.svd) for r in svd.randomized_svd(w, v, cap=5).collect()}
+    assert len(got) == 91
+    for site, x in full.items():
+        u, s, _ = np.linalg.svd(x, full_matrices=False)
+        have = np.stack([got[site, f"{site}{i}"] for i in range(len(x))])
+        want = (u * s)[:, :have.shape[1]]
+        assert have.shape[1] == (1 if site == "lone" else 5)
+        # equal up to the sign of each component
+        for c in range(have.shape[1]):
+            assert min(np.abs(have[:, c] - want[:, c]).max(), np.abs(have[:, c] + want[:, c]).max()) < 1e-6
+
+
+def test_svd_jobs_do_not_grow_with_sites(spark):
+    from linkloom.operators.svd import randomized_svd
+
+    def jobs(sites):
+        rng = np.random.default_rng(2)
+        rows = [(f"s{s}", i, f"t{j}", float(rng.random())) for s in range(sites) for i in range(6) for j in range(5)]
+        w = spark.createDataFrame(rows, "site string, url long, term string, w double")
+        v = spark.createDataFrame([(f"s{s}", f"t{j}", j + 1) for s in range(sites) for j in range(5)], "site string, term string, rank int")
+        group = f"svd-{sites}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert randomized_svd(w, v, cap=3, n_iter=2).count() == 6 * sites
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, many = jobs(1), jobs(12)
+    assert 0 < many <= few + 5
