@@ -687,6 +687,19 @@ def closeness_sketch(spark, d):
     return exact.join(near, ["site", "url"], "left").select("url", F.coalesce(off, F.lit(False)).alias("ok"))
 
 
+# ------------------------------------------------------------------ H9 by posting lists
+
+from linkloom.operators import anchor_index as AI  # noqa: E402
+
+
+@query("anchor_index_search")
+def anchor_index_search(spark, d):
+    """H9: an index of all links' anchors, asked for four letters and an ending, as the report's search box takes it."""
+    root = f"{ensure_checkpoint_dir(spark)}/anchors-{uuid.uuid4().hex}"
+    AI.build(G.export_edges(_page_edges(spark, d)), root)
+    return AI.AnchorIndex(spark, root).search(FX.ANCHOR_PATTERN).select("source", "target", "weight", "anchors")
+
+
 # ------------------------------------------------------------------ B6, B7 by rules; G2 and F9 as values
 
 from linkloom.operators import suffixes as SX  # noqa: E402

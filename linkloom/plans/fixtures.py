@@ -168,3 +168,6 @@ RUN_LIMIT = 0.15
 
 # Suffix rules for the hosts of ``pages``, with a wildcard and exceptions to it.
 SUFFIX_RULES = ["com", "net", "org", "example.org", "*.example.net", "!tionsh.example.net", "!ththth.example.net", "// a comment"]
+
+# Fixed value: what the report's search box is asked for.
+ANCHOR_PATTERN = "ther[a-z]+"

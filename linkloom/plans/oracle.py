@@ -565,6 +565,13 @@ ex AS (SELECT source, target, weight, coalesce({_anchor_str('anchors', ' | ')},
 SELECT * FROM ex WHERE regexp_matches(coalesce(anchors, ''), '(?i)the')"""
 
 
+@oracle("anchor_index_search")
+def _():
+    return f"""WITH {PAGE_EDGES},
+ex AS (SELECT source, target, weight, coalesce({_anchor_str('anchors', ' | ')}, '') AS anchors FROM pgrp)
+SELECT * FROM ex WHERE regexp_matches(coalesce(anchors, ''), '(?i){FX.ANCHOR_PATTERN}')"""
+
+
 @oracle("anchor_search_count")
 def _():
     return f"""WITH {PAGE_EDGES},

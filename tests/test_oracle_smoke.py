@@ -11,7 +11,7 @@ from linkloom.session import TABLES
 SF = "/root/testdata/sf0.001"
 FAST = ["page_titles", "page_links", "resolved_links", "link_edges", "click_edges", "degrees", "closeness",
         "betweenness", "term_stats", "doc_keywords", "nearest_neighbors", "recommend_links", "node_style",
-        "edge_tooltips", "frontier_focus", "snapshot_diff", "cluster_shifts", "cluster_matches", "suffix_domains", "main_text", "run_comparison"]
+        "edge_tooltips", "frontier_focus", "snapshot_diff", "cluster_shifts", "cluster_matches", "suffix_domains", "main_text", "run_comparison", "anchor_index_search"]
 
 
 def _norm(v):
