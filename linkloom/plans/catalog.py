@@ -735,3 +735,32 @@ def svd_first(spark, d):
     tf = TF.term_counts(docs)
     sv = K.term_svd(TF.tfidf(docs, tf=tf, max_features=10000), TF.vocabulary(tf, max_features=10000))
     return sv.select("url", F.round(F.abs(F.col("svd")[0]), 3).alias("first"))
+
+
+# ------------------------------------------------------------------ G14 by neighbours; F11 and G3 as values
+
+from linkloom.operators import layout as LY  # noqa: E402
+
+
+@query("layout_neighbors")
+def layout_neighbors(spark, d):
+    """The layout that keeps neighbours together."""
+    return LY.neighbour_layout(FX.vectors(spark, d)).select("url", "x", "y")
+
+
+@query("hybrid_dense_part")
+def hybrid_dense_part(spark, d):
+    """the entries of the hybrid vector that come from the dense one, and its length."""
+    docs = FX.labeled_docs(spark, d)
+    tf = TF.term_counts(docs)
+    sv = K.term_svd(TF.tfidf(docs, tf=tf, max_features=10000), TF.vocabulary(tf, max_features=10000))
+    h = FX.vectors(spark, d).join(sv, ["site", "url"]).select("url", F.size("vec").alias("n"), V.hybrid(F.col("vec"), F.col("svd"), 0.5).alias("h"))
+    return h.select("url", F.round(F.col("h")[0], 5).alias("first"), F.round(F.element_at("h", F.col("n")), 5).alias("last"), F.round(V.norm(F.col("h")), 5).alias("norm"))
+
+
+@query("recluster_override")
+def recluster_override(spark, d):
+    """Of all documents, unlabelled before, those with a vector take its new label; vectors without a document are listed too."""
+    v = FX.vectors(spark, d).select("site", "url", "vec")
+    before = FX.all_docs(spark, d).select("site", "url", F.lit(-1).alias("cluster"))
+    return K.recluster(v, before, k=7, restarts=10).select("url", F.col("cluster").between(0, 6).alias("labelled"))

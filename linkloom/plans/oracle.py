@@ -942,3 +942,19 @@ gram AS MATERIALIZED (SELECT p.url AS a, r.url AS b, sum(p.w * r.w) AS dot FROM
 {", ".join(steps)},
 sigma AS (SELECT sqrt(sqrt(sum(y * y))) AS s FROM y{rounds - 1})
 SELECT url, round(abs(x) * s, 3) AS first FROM x{rounds}, sigma"""
+
+
+# ------------------------------------------------------------------ F11 and G3 as values
+
+@oracle("hybrid_dense_part")
+def _():
+    return f"""WITH {tfidf_ctes(LABELED_DOCS, 10000)},
+v AS (SELECT vec_id AS url, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+n AS (SELECT url, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v)
+SELECT url, round(sqrt(0.5) * e[1] / (size + 1e-10), 5) AS first, round(sqrt(0.5) * e[len(e)] / (size + 1e-10), 5) AS last, 1.0::DOUBLE AS norm
+FROM n WHERE url IN (SELECT url FROM tw)"""
+
+
+@oracle("recluster_override")
+def _():
+    return "SELECT coalesce(doc_id, vec_id) AS url, vec_id IS NOT NULL AS labelled FROM documents FULL JOIN embeddings ON doc_id = vec_id"
