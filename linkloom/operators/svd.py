@@ -13,7 +13,8 @@ The number of jobs depends on the rounds and not on the sites:
   by (site, salt) and checkpointed that way; a salt holds about ``ENTRIES`` entries, so a
   large site is many groups;
 * a round cogroups them with the site's Z, one copy per salt, and multiplies in NumPy
-  by pieces of ``PIECE`` entries; partial rows of W are added up by Spark;
+  by pieces of ``PIECE`` entries; partial rows of W are added up in a tree, ``FAN`` salts of
+  ``BLOCK`` terms a task;
 * a site's Z and W (T x l) meet in one task for the orthogonalisation.
 
 Nothing goes through the driver.  Signs are arbitrary for an SVD; here the entry of
@@ -31,19 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.iterate import cut, cut_by, discard, partitions_for
-from linkloom.operators.joins import join_side_table
+from linkloom.operators.joins import site_join, stored_bytes
 
 ENTRIES = 1_000_000  # entries of X in a (site, salt) group
 PIECE = 1 << 15      # entries multiplied at a time
+FAN, BLOCK = 32, 256  # partial products added up by a task, and rows of each
 
 MATRIX = pa.schema([("site", pa.string()), ("idx", pa.int32()), ("k", pa.int32()), ("z", pa.list_(pa.float64()))])
 MATRIX_SQL = "site string, idx int, k int, z array<double>"
+PARTIAL = MATRIX.append(pa.field("salt", pa.int32()))
+PARTIAL_SQL = MATRIX_SQL + ", salt int"
 
 
-def _shapes(weights: DataFrame, vocab: DataFrame, cap: int, oversample: int) -> DataFrame:
+def _shapes(docs: DataFrame, vocab: DataFrame, cap: int, oversample: int) -> DataFrame:
     """(site, k, l, salts): components, width of the iterated matrix and groups of documents of each site."""
-    docs = weights.groupBy("site", "url").agg(F.count(F.lit(1)).alias("entries"))
-    docs = docs.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum("entries").alias("entries"))
+    docs = docs.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("e")).alias("entries"))
     both = docs.join(vocab.groupBy("site").agg(F.max("rank").alias("t")), "site")
     k = F.least(F.lit(cap), F.greatest(F.lit(2), F.least("n", "t") - 1))
     return both.select("site", k.cast("int").alias("k"), F.least(k + oversample, F.col("t"), F.col("n")).cast("int").alias("l"),
@@ -95,8 +98,8 @@ def _start(seed: int, oversized: str = "l"):
 def _partial(docs: pa.Table, z: pa.Table) -> pa.Table:
     """A group's share of X^T (X Z), as rows of terms that occur in it."""
     if not len(docs) or not len(z):
-        return MATRIX.empty_table()
-    site, k = z["site"][0].as_py(), z["k"][0].as_py()
+        return PARTIAL.empty_table()
+    site, k, salt = z["site"][0].as_py(), z["k"][0].as_py(), docs["salt"][0].as_py()
     m = _spread_rows(*_dense(z))
     out = np.zeros_like(m)
     for _, starts, idx, w in _pieces(docs):
@@ -106,7 +109,22 @@ def _partial(docs: pa.Table, z: pa.Table) -> pa.Table:
         terms, at = np.unique(idx[order], return_index=True)
         out[terms] += np.add.reduceat(w[order, None] * y[rows[order]], at, axis=0)
     seen = np.nonzero(out.any(axis=1))[0]
-    return _matrix(site, seen, k, out[seen])
+    return _salted(_matrix(site, seen, k, out[seen]), salt)
+
+
+def _salted(matrix: pa.Table, salt: int) -> pa.Table:
+    return matrix.append_column(PARTIAL.field("salt"), pa.array(np.full(len(matrix), salt), pa.int32()))
+
+
+def _adder(fan: int):
+    """Adds up the partial products of one block of terms from ``fan`` salts."""
+    def run(table: pa.Table) -> pa.Table:
+        idx, z = _dense(table)
+        order = np.argsort(idx, kind="stable")
+        terms, at = np.unique(idx[order], return_index=True)
+        total = _matrix(table["site"][0].as_py(), terms, table["k"][0].as_py(), np.add.reduceat(z[order], at, axis=0))
+        return _salted(total, table["salt"][0].as_py() // fan)
+    return run
 
 
 def _orthogonal(table: pa.Table) -> pa.Table:
@@ -150,29 +168,31 @@ def randomized_svd(weights: DataFrame, vocab: DataFrame, cap: int = 64, oversamp
     from pyspark.sql.pandas.types import to_arrow_type
 
     url_type = weights.schema["url"].dataType
-    weights = weights.select("site", "url", "term", "w")
     voc = cut(vocab.select("site", "term", "rank"))
-    shapes = cut(_shapes(weights, voc, cap, oversample))
     entries = weights.join(voc, ["site", "term"]).select("site", "url", (F.col("rank") - 1).cast("int").alias("idx"), "w")
-    docs = entries.groupBy("site", "url").agg(F.collect_list(F.struct("idx", "w")).alias("e"))
-    docs = join_side_table(docs, shapes.select("site", "salts"), ["site"])
+    held = cut(entries.groupBy("site", "url").agg(F.collect_list(F.struct("idx", "w")).alias("e")))
+    shapes = cut(_shapes(held, voc, cap, oversample))
+    salts, n_bytes = shapes.select("site", "salts"), stored_bytes(shapes)
+    docs = site_join(held, salts, n_bytes)
     docs = docs.select("site", F.pmod(F.xxhash64("url"), F.col("salts")).cast("int").alias("salt"), "url", F.col("e.idx").alias("idx"), F.col("e.w").alias("w"))
-    total = int(shapes.agg(F.coalesce(F.sum("salts"), F.lit(0))).first()[0])
+    total, most = (int(x) for x in shapes.agg(F.coalesce(F.sum("salts"), F.lit(0)), F.coalesce(F.max("salts"), F.lit(0))).first())
     docs = cut_by(docs, partitions_for(weights.sparkSession, total, 4), ["site", "salt"])
+    discard(held)
 
-    terms = join_side_table(voc.select("site", (F.col("rank") - 1).cast("int").alias("idx")), shapes.select("site", "k", "l"), ["site"], spread_key="idx")
+    terms = site_join(voc.select("site", (F.col("rank") - 1).cast("int").alias("idx")), shapes.select("site", "k", "l"), n_bytes, spread_key="idx")
     z = cut(terms.groupBy("site").applyInArrow(_start(seed), MATRIX_SQL))
 
     def meet(m: DataFrame, product, schema: str) -> DataFrame:
-        each = join_side_table(m, shapes.select("site", "salts"), ["site"], spread_key="idx")
+        each = site_join(m, salts, n_bytes, spread_key="idx")
         each = each.select("site", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "idx", "k", "z")
         return docs.groupBy("site", "salt").cogroup(each.groupBy("site", "salt")).applyInArrow(product, schema)
 
     def summed(m: DataFrame) -> DataFrame:
-        cells = meet(m, _partial, MATRIX_SQL).select("site", "idx", "k", F.posexplode("z").alias("pos", "x"))
-        cells = cells.groupBy("site", "idx", "k", "pos").agg(F.sum("x").alias("x"))
-        rows = cells.groupBy("site", "idx", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("s"))
-        return rows.select("site", "idx", "k", F.col("s.x").alias("z"))
+        part, left = meet(m, _partial, PARTIAL_SQL), most
+        while left > 1:
+            part = part.groupBy("site", F.floor(F.col("idx") / BLOCK).alias("block"), F.floor(F.col("salt") / FAN).alias("some")).applyInArrow(_adder(FAN), PARTIAL_SQL)
+            left = -(-left // FAN)
+        return part.drop("salt")
 
     for _ in range(n_iter):
         step = cut(summed(z).groupBy("site").applyInArrow(_orthogonal, MATRIX_SQL))

@@ -64,6 +64,8 @@ def test_randomized_svd_matches_numpy(spark, monkeypatch):
     from linkloom.operators import svd
 
     monkeypatch.setattr(svd, "ENTRIES", 300)
+    monkeypatch.setattr(svd, "BLOCK", 8)
+    monkeypatch.setattr(svd, "FAN", 2)
     rng = np.random.default_rng(11)
     full, rows, voc = {}, [], []
     for site, n, t in (("big", 60, 25), ("mid", 30, 40), ("lone", 1, 6)):
