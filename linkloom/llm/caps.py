@@ -8,11 +8,11 @@ of the first half is followed up only if the best one of the second can still
 reach the height.  Rows meet on (label, filter), and every pair is verified.
 
 The codes grow with the number of vectors of a label, so that a filter holds a
-few vectors at any size, and ``height`` is set from the codes alone: as high as it
+few vectors (beyond MAX_CODE codewords, about 17 million vectors of a label, filters hold more and are cut into more blocks), and ``height`` is set from the codes alone: as high as it
 may be while simulated pairs at the threshold share a filter with probability
 ``recall`` (pairs above the threshold share one more often).
 
-Equal vectors of a label are one class and are compared once.  Classes travel as
+Equal vectors of a label (128-bit hashes) are one class and are compared once.  Classes travel as
 16-bit floats.  A pair whose rounded cosine is clear of the threshold (by far more
 than rounding can change) is decided in the cell; the few others are verified by
 the cosine of their own vectors in double precision.  A filter with many classes
@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
+from linkloom.llm.hot import hot_join
 from linkloom.operators.iterate import cut
 
-BLOCK, TABLES = 512, 8
+BLOCK, TABLES, MAX_CODE = 512, 8, 2048
 MARGIN = 4e-3  # rounding to 16 bits changes a cosine by less than 2 * 2**-11 + 2**-22
+SAME = ["same_a", "same_b"]
 LINK = "cls long, n_links long, low long, sure boolean"
 
 
@@ -158,8 +160,13 @@ def compared(table: pa.Table, cosine: float, caps: Caps) -> pa.Table:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
-    """Of the pairs (cls, low) those whose own vectors reach the cosine, as links of both."""
-    one, two = (classes.select(F.col("cls").alias(c), F.col("v").alias(f"v_{c}"), F.col("copies").alias(f"n_{c}")) for c in ("cls", "low"))
+    """Of the pairs (cls, low) those whose own vectors reach the cosine, as links of both.  Classes with more than a
+    thousandth of the pairs, which are at most about 1,000, are broadcast to them."""
+    total = pairs.count()
+
+    def with_vectors(rows, c):
+        own = classes.select(F.col("cls").alias(c), F.col("v").alias(f"v_{c}"), F.col("copies").alias(f"n_{c}"))
+        return hot_join(rows, pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")).join(own, c), [c], total, most=1000)
 
     def run(batches):
         for b in batches:
@@ -169,7 +176,7 @@ def verified(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
                 ok.append(bool(x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= cosine))
             yield b.select([0, 1, 2, 3]).filter(pa.array(ok, pa.bool_()))
 
-    good = pairs.join(one, "cls").join(two, "low").select("cls", "low", "n_cls", "n_low", "v_cls", "v_low").mapInArrow(
+    good = with_vectors(with_vectors(pairs, "cls"), "low").select("cls", "low", "n_cls", "n_low", "v_cls", "v_low").mapInArrow(
         run, "cls long, low long, n_cls long, n_low long")
     return good.select(F.explode(F.array(F.struct("cls", F.col("n_low").alias("n_links"), "low"),
                                          F.struct(F.col("low").alias("cls"), F.col("n_cls").alias("n_links"), F.col("cls").alias("low")))).alias("x")).select("x.*")
@@ -182,30 +189,33 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                           F.col(vec_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(finite, F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = cut(rows.select("vec_id", F.when(usable, F.xxhash64("label", "v")).alias("cls"), F.col("label"), F.when(usable, F.col("v")).alias("v")))
-    classes = cut(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")))
+    rows = cut(rows.select("vec_id", *[F.when(usable, F.xxhash64(F.lit(i), "label", "v")).alias(c) for i, c in enumerate(SAME)],
+                           F.col("label"), F.when(usable, F.col("v")).alias("v")))
+    # numbered as they are written: no two classes share a number
+    classes = cut(rows.filter(F.col(SAME[0]).isNotNull()).groupBy(*SAME).agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+        .withColumn("cls", F.monotonically_increasing_id()))
 
     found = None
     for dim, of_label in classes.groupBy(F.size("v").alias("dim"), "label").count().groupBy("dim").agg(F.max("count")).collect():
-        size = int(np.clip(2 ** round(np.log2(max(of_label, 1)) / 2 - 1), 16, 2048))
+        size = int(np.clip(2 ** round(np.log2(max(of_label, 1)) / 2 - 1), 16, MAX_CODE))
         part = linked_in_cells(classes.filter(F.size("v") == dim), Caps(dim, size, cosine, recall), cosine)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.lit(True).alias("kept"))
     found = cut(found)
-    unclear = found.filter("not sure").select("cls", "low").distinct()
+    unclear = cut(found.filter("not sure").select("cls", "low").distinct())
     found = cut(found.filter("sure").drop("sure").unionByName(verified(unclear, classes, cosine)))
     linked = found.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
     label = components(found.select(F.col("cls").alias("u"), F.col("low").alias("v")))
     lowest = label.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = label.join(lowest, "label").select(F.col("node").alias("cls"), "component_id")
-    known = (classes.select("cls", "rep", "copies").join(linked, "cls", "left").join(of_class, "cls", "left")
-             .select("cls", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),
+    known = (classes.select("cls", *SAME, "rep", F.col("copies").alias("n")).join(linked, "cls", "left").join(of_class, "cls", "left")
+             .select(*SAME, "n", (F.col("n") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),
                      F.coalesce("component_id", "rep").alias("component_id")).filter("n_links > 0"))
     mine = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", "cls").join(known, "cls", "left").select(
+    return hot_join(rows.select("vec_id", *SAME), known, SAME, rows.count(), how="left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), mine.alias("component_id"),
         F.col("vec_id").eqNullSafe(mine).alias("kept"))
 

@@ -3,7 +3,7 @@
 Every round points nodes at the smallest neighbour known; the graph shrinks to
 stars whose centres are the smallest nodes.  All rounds are joins and grouped
 minima over the links; only a count and a checksum reach the driver, to see that
-a round changed nothing.
+a round changed nothing.  The links of a hub aren't gathered: its minimum goes to them.
 """
 
 from __future__ import annotations
@@ -11,23 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators.iterate import cut
+from linkloom.llm.hot import hot_join
+from linkloom.operators.iterate import cut, discard
 
 
 def _state(links: DataFrame):
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    return hot_join(both, low, ["u"], 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     # rows have u > v; all smaller neighbours of u, and u itself, point at the smallest
-    low = links.groupBy("u").agg(F.min("v").alias("m"))
-    out = links.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    out = hot_join(links, low, ["u"], total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -38,7 +39,9 @@ def components(links: DataFrame) -> DataFrame:
     links = cut(links)
     state = _state(links)
     while state[0]:
-        links = cut(_small_star(_large_star(links)))
+        large = cut(_large_star(links, state[0]))
+        old, links = links, cut(_small_star(large, state[0]))
+        discard(old, large)
         new = _state(links)
         if new == state:
             break

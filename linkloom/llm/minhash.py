@@ -1,7 +1,7 @@
 """Operator 3, MinHash near-dedup by a signature-coordinate inverted join.
 
 A document's set is its distinct five-word shingles (64-bit hashes).  Documents
-with equal sets form one class; a class is posted under each of its COORDS
+with equal sets (128-bit hashes) form one class; a class, numbered when the table of classes is written, is posted under each of its COORDS
 (coordinate, minimum) pairs.  Two classes at similarity 0.75 agree on each
 coordinate with probability 0.75, so asking for MATCHES of 64 agreements loses a
 pair at the very threshold about once in 10**5 and hardly any above it.
@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
+from linkloom.llm.hot import hot_join
 from linkloom.llm.words import Powers, ddl_of, mix, small_batches, word_chunks
 from linkloom.operators.iterate import cut
 
 WIDTH, COORDS, MATCHES = 5, 64, 31
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 MAX_WANTED = 4_000_000
-SIG = "sid long, doc_id long, n_shingles long, sig array<int>"
+SET_ID = ["set_a", "set_b"]
+SIG = "set_a long, set_b long, doc_id long, n_shingles long, sig array<int>"
 
 
 def shingle_sets(column, pw: Powers):
@@ -62,10 +64,16 @@ def shingle_sets(column, pw: Powers):
                 yield s[:0]
 
 
-def set_id(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit identifier of each (non-empty) set."""
-    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    return mix(np.add.reduceat(mix(np.concatenate(sets) + np.uint64(77)), starts)).view(np.int64)
+def set_ids(sets: list[np.ndarray]) -> list[pa.Array]:
+    """A 128-bit identifier of each set, as two columns; null for empty sets."""
+    n = np.array([len(s) for s in sets])
+    out = np.zeros((2, len(sets)), np.int64)
+    if n.any():
+        every = np.concatenate(sets)
+        starts = (np.cumsum(n) - n)[n > 0]
+        for row, plus in zip(out, (77, 0x9E3779B97F4A7C15)):
+            row[n > 0] = mix(np.add.reduceat(mix(every + np.uint64(plus)), starts)).view(np.int64)
+    return [pa.array(row, mask=n == 0) for row in out]
 
 
 def signatures(sets: list[np.ndarray], a, b) -> np.ndarray:
@@ -91,7 +99,7 @@ def grouped(items, weight, most):
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> SIG; sid and sig are null for documents without shingles."""
+    """doc_id, text -> SIG; the set's identifier and sig are null for documents without shingles."""
     rng = np.random.default_rng(20240501)
     a = rng.integers(0, 1 << 63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, COORDS, np.uint64)
@@ -103,13 +111,13 @@ def sign(docs: DataFrame) -> DataFrame:
             for sets in grouped(shingle_sets(batch.column(1), pw), len, 200_000):
                 n = np.array([len(s) for s in sets])
                 full = [s for s in sets if len(s)]
-                sid, sig = np.zeros(len(sets), np.int64), np.zeros((len(sets), COORDS), np.uint32)
+                sig = np.zeros((len(sets), COORDS), np.uint32)
                 if full:
-                    sid[n > 0], sig[n > 0] = set_id(full), signatures(full, a, b)
+                    sig[n > 0] = signatures(full, a, b)
                 sig_column = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDS),
                                                       pa.array(sig.view(np.int32).ravel()), mask=pa.array(n == 0))
-                yield pa.RecordBatch.from_arrays([pa.array(sid, mask=n == 0), ids.slice(at, len(sets)), pa.array(n), sig_column],
-                                                 ["sid", "doc_id", "n_shingles", "sig"])
+                yield pa.RecordBatch.from_arrays([*set_ids(sets), ids.slice(at, len(sets)), pa.array(n), sig_column],
+                                                 [*SET_ID, "doc_id", "n_shingles", "sig"])
                 at += len(sets)
 
     return docs.mapInArrow(run, SIG)
@@ -120,9 +128,9 @@ def full_sets(docs: DataFrame) -> DataFrame:
         pw = Powers()
         for batch in batches:
             for sets in grouped((s for s in shingle_sets(batch.column(1), pw) if len(s)), len, 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(set_id(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "set"])
+                yield pa.RecordBatch.from_arrays([*set_ids(sets), pa.array([s.tobytes() for s in sets], pa.binary())], [*SET_ID, "set"])
 
-    return docs.mapInArrow(run, "sid long, set binary")
+    return docs.mapInArrow(run, "set_a long, set_b long, set binary")
 
 
 class Forest:
@@ -197,31 +205,29 @@ def cells(narrow: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def with_set_ids(docs: DataFrame) -> DataFrame:
-    """(sid, row): each document's set, as ``near_duplicates`` numbers them, and the document as a struct."""
+    """(set_a, set_b, row): each document's set, as ``near_duplicates`` numbers them, and the document as a struct."""
     def run(batches):
         pw = Powers()
         for batch in batches:
             at = 0
             for sets in grouped(shingle_sets(batch.column(0), pw), len, 200_000):
-                n, full = np.array([len(s) for s in sets]), [s for s in sets if len(s)]
-                sid = np.zeros(len(sets), np.int64)
-                if full:
-                    sid[n > 0] = set_id(full)
-                yield pa.RecordBatch.from_arrays([pa.array(sid, mask=n == 0), batch.column(1).slice(at, len(sets))], ["sid", "row"])
+                yield pa.RecordBatch.from_arrays([*set_ids(sets), batch.column(1).slice(at, len(sets))], [*SET_ID, "row"])
                 at += len(sets)
 
     rows = small_batches(docs).select(F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(run, f"sid long, {ddl_of([rows.schema['row']])}")
+    return rows.mapInArrow(run, f"set_a long, set_b long, {ddl_of([rows.schema['row']])}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and with ``sets`` its set's identifier ``sid``
-    and that of its group of linked sets, ``group``."""
+    """One row per document: doc_id, n_shingles, component_id, kept, and with ``sets`` its set's identifier
+    (``set_a``, ``set_b``) and the number of its group of linked sets, ``group``."""
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(sign(texts))
-    known = signed.filter("sid IS NOT NULL AND doc_id IS NOT NULL")
-    reps = cut(known.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-                                        F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+    known = signed.filter("set_a IS NOT NULL AND doc_id IS NOT NULL")
+    # numbered as they are written: no two classes share a number
+    reps = cut(known.groupBy(*SET_ID).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
+                                          F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+               .withColumn("sid", F.monotonically_increasing_id()))
 
     # posting lists, and of each class the rarest of its shared pairs
     posted = reps.select("sid", F.posexplode("sig").alias("coord", "low")).select(
@@ -235,8 +241,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = prefix.groupBy("key").agg(F.min("sid").alias("v"))
     cluster = components(prefix.join(least, "key").select(F.col("sid").alias("u"), "v"))
     members = cut(cluster.select(F.col("node").alias("sid"), F.col("label").alias("cluster")).join(
-        reps.select("sid", "rep", "n_shingles", "sig"), "sid"))
-    met = members.drop("rep").join(_sets_of(members, texts), "sid")
+        reps.select("sid", *SET_ID, "rep", "n_shingles", "sig"), "sid"))
+    met = members.drop("rep").join(_sets_of(members, texts), SET_ID)
     links = cut(cells(members, met).groupBy("cell", "class", "i", "j").applyInArrow(linked_in_cell, "u long, v long"))
     label = components(links)
 
@@ -244,18 +250,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = label.join(reps.select(F.col("sid").alias("node"), "rep"), "node")
     lowest = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = label.join(lowest, "label").select(F.col("node").alias("sid"), "component_id", "label")
-    of_class = (reps.select("sid", "rep", "copies").join(of_class, "sid", "left")
-                .filter("copies > 1 OR component_id IS NOT NULL")
-                .select("sid", F.coalesce("component_id", "rep").alias("component_id"), "label"))
+    of_class = reps.select("sid", *SET_ID, "rep", F.col("copies").alias("n")).join(of_class, "sid", "left")
+    if not sets:
+        of_class = of_class.filter("n > 1 OR component_id IS NOT NULL")
+    of_class = of_class.select(*SET_ID, "n", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("label", "sid").alias("group"))
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    more = ["sid", F.coalesce("label", "sid").alias("group")] if sets else []
-    return (signed.select("doc_id", "n_shingles", "sid").join(of_class, "sid", "left")
-            .select(*more, "doc_id", "n_shingles", mine.alias("component_id"), F.col("doc_id").eqNullSafe(mine).alias("kept")))
+    found = hot_join(signed.select("doc_id", "n_shingles", *SET_ID), of_class, SET_ID, signed.count(), how="left")
+    return found.select(*([*SET_ID, "group"] if sets else []), "doc_id", "n_shingles", mine.alias("component_id"),
+                        F.col("doc_id").eqNullSafe(mine).alias("kept"))
 
 
 def _sets_of(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(sid, set) of all members, made again from one document of each."""
+    """(set_a, set_b, set) of all members, made again from one document of each."""
     wanted = members.select(F.col("rep").alias("doc_id"))
     if wanted.count() <= MAX_WANTED:  # 8 bytes each; beyond it the texts are shuffled to their identifiers
         wanted = F.broadcast(wanted)
-    return full_sets(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")).dropDuplicates(["sid"])
+    return full_sets(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text")).dropDuplicates(SET_ID)

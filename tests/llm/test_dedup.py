@@ -7,7 +7,7 @@ import re
 import numpy as np
 from fixtures import docs, empty, many, rows
 
-from linkloom.llm import caps, components, content_sort, minhash
+from linkloom.llm import caps, components, content_sort, hot, minhash
 
 
 def lowered(text):
@@ -108,6 +108,37 @@ def test_components(spark):
     assert got == {x: want[x] for x in linked}
 
 
+def test_hot_join(spark, monkeypatch):
+    """Hot, cold, null and unmatched keys give what a plain join gives."""
+    monkeypatch.setattr(hot, "FLOOR", 3)
+    keys = [1] * 50 + [2] * 2 + [3] * 9 + [None] * 20 + [7, 8]
+    table = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    side = spark.createDataFrame([(1, 50, "a"), (2, 2, "b"), (3, 9, "c"), (9, 1, "d")], "k long, n long, x string")
+    for how in ("inner", "left"):
+        for most in (100_000, 5):
+            got = hot.hot_join(table, side, ["k"], len(keys), most, how)
+            want = table.join(side.drop("n"), "k", how)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert hot.hot_join(table.limit(0), side.limit(0), ["k"], 0, how="left").columns == ["k", "i", "x"]
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    """Stars whose centre is the largest, a middle and the smallest node, joined by a path."""
+    monkeypatch.setattr(hot, "FLOOR", 5)
+    links = [(100, i) for i in range(40)] + [(220, i) for i in range(200, 240)] + [(300, i) for i in range(301, 340)]
+    links += [(39, 205), (900, 901)]
+    want = reachable(1000, links)
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {x: want[x] for x in {x for a, b in links if a != b for x in (a, b)}}
+
+
+def test_set_identifiers():
+    sets = [np.array(x, np.uint64) for x in ([1, 2, 3], [], [1, 2, 4], [1, 2, 3])]
+    a, b = (x.to_pylist() for x in minhash.set_ids(sets))
+    assert a[1] is None and b[1] is None and a[0] == a[3] and b[0] == b[3] and a[0] != a[2] and b[0] != b[2] and a[0] != b[0]
+    assert [x.to_pylist() for x in minhash.set_ids([sets[1]])] == [[None], [None]]
+
+
 def brute_vectors(data, cosine=0.93):
     ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) and i is not None and l is not None
           for i, v, l in data]
