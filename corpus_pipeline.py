@@ -47,10 +47,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # rows that share an identifier are told apart by their sets
     shared = docs.join(ids.filter("n > 1").select("doc_id"), "doc_id", "left_semi").select(*columns_of(docs))
     rows = minhash.with_set_ids(shared).withColumn("doc_id", F.col("row.doc_id").cast("long"))
-    own = found.filter("kept AND sid IS NOT NULL").select("doc_id", "sid", "group").distinct()
-    first = Window.partitionBy("doc_id", "group").orderBy("sid", F.col("row.text"), F.hash("row"))
-    chosen = rows.join(own, ["doc_id", "sid"]).withColumn("place", F.row_number().over(first)).filter("place = 1")
-    return plain.unionByName(rows.filter("sid IS NULL").select("row.*")).unionByName(chosen.select("row.*"))
+    own = found.filter("kept AND set_a IS NOT NULL").select("doc_id", *minhash.SET_ID, "group").distinct()
+    first = Window.partitionBy("doc_id", "group").orderBy(*minhash.SET_ID, F.col("row.text"), F.hash("row"))
+    chosen = rows.join(own, ["doc_id", *minhash.SET_ID]).withColumn("place", F.row_number().over(first)).filter("place = 1")
+    return plain.unionByName(rows.filter("set_a IS NULL").select("row.*")).unionByName(chosen.select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
