@@ -17,7 +17,8 @@ that location.  A logistic curve on the evidence, fitted on labelled documents
 that the lexicon has not seen, gives the score.
 
 Fitting reads a sample of at most ``max_train`` labelled documents, chosen by
-hash; scoring reads all documents.
+hash, which also bounds the lexicon: every feature of it that stands in enough
+contexts takes part.  Scoring reads all documents.
 
 Defined cases: null text is empty; an empty text has no passage and gets the
 score of no evidence; labels that are null are ignored, a document labelled more
@@ -151,7 +152,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-        max_train: int = 20_000, max_features: int = 1 << 18, min_contexts: int = 5, min_z: float = 3.0,
+        max_train: int = 20_000, min_contexts: int = 5, min_z: float = 3.0,
         min_effect: float = 1.0) -> dict:
     """Model as a small dict: lexicon arrays, K of the extreme-value law, logistic curve."""
     small_batches(docs)
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     seen = cut(seen)
     n_toxic = seen.count()
     counts = (seen.select(F.explode(F.array("f0", "f1", "f2")).alias("f")).groupBy("f").count()
-              .filter(F.col("count") >= min_contexts).orderBy(F.desc("count"), "f").limit(max_features).toPandas())
+              .filter(F.col("count") >= min_contexts).toPandas())
     h = counts["f"].to_numpy(np.int64).view(np.uint64)
     toxic = counts["count"].to_numpy(np.float64)
     order = np.argsort(h)
