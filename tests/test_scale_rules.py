@@ -180,3 +180,17 @@ def test_kmeans_seeds_beat_the_first_by_hash(spark):
         assert inertia(seeds, r) <= inertia(hashed, r) and inertia(seeds, r) < 3 * 304 * 2
     labels = {r.url: r.cluster for r in K.kmeans(vecs.filter("site = 'a'"), k=3, restarts=1).collect()}
     assert sorted(len({u for u in labels if labels[u] == c}) for c in set(labels.values())) == [4, 150, 150]
+
+
+def test_path_sums_by_tasks_equal_joins_on_long_paths(spark):
+    """A graph that is broadcast takes no job per level: a path of 300 nodes with side arcs, two sites, unknown and null ends."""
+    arcs = [("s", i, i + 1, 1) for i in range(300)] + [("s", i, (i * 7) % 40, 1) for i in range(40)] + [("t", 1, 2, 1), ("t", 2, 900, 1), ("t", None, 2, 1), (None, 1, 2, 1)]
+    edges = spark.createDataFrame(arcs, "site string, source long, target long, weight int")
+    nodes = spark.createDataFrame([("s", i) for i in range(301)] + [("t", 1), ("t", 2), ("t", 3), ("t", None)] * 2, "site string, url long")
+    whole, again = (C.path_sums(nodes, edges, batch_pairs=n) for n in (10**6, 700))
+    assert len(whole.inputFiles()) > 0  # written: no plan of as many joins as levels
+    rows = [sorted((r.site, r.url, r.reached_by, r.total, round(r.dependency, 6)) for r in df.collect() if r.reached_by) for df in (whole, again)]
+    few = edges.filter("site = 't' or source < 25 and target < 25")
+    small = [sorted((r.site, r.url, r.reached_by, r.total, round(r.dependency, 6)) for r in C.path_sums(nodes, few, graph_bytes=b).collect() if r.reached_by)
+             for b in (1 << 20, 0)]
+    assert rows[0] == rows[1] and small[0] == small[1] and ("s", 300, 300.0) in {r[:3] for r in rows[0]}
