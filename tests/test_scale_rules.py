@@ -194,3 +194,32 @@ def test_path_sums_by_tasks_equal_joins_on_long_paths(spark):
     small = [sorted((r.site, r.url, r.reached_by, r.total, round(r.dependency, 6)) for r in C.path_sums(nodes, few, graph_bytes=b).collect() if r.reached_by)
              for b in (1 << 20, 0)]
     assert rows[0] == rows[1] and small[0] == small[1] and ("s", 300, 300.0) in {r[:3] for r in rows[0]}
+
+
+def test_small_blocks_travel_in_tiles(spark):
+    """However small its blocks, a vector is sent to a few pairs of tiles; copies of a vector rank by identifier, null components have no neighbours."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 6))
+    x[1::50] = x[0]
+    rows = [("s", i, v.tolist()) for i, v in enumerate(x)] + [("s", 600, None), ("s", 601, [None] * 6)]
+    df = spark.createDataFrame(rows, "site string, url long, vec array<double>")
+    sent = []
+    kept = S._tiles
+
+    def seen(*args):
+        out = kept(*args)
+        sent.append((out[1].count(), out[1].select("tile").distinct().count()))
+        return out
+
+    S._tiles = seen
+    try:
+        got = {(r.source, r["rank"]): r.target for r in S.topk_similar(df, k=3, block_size=5).collect()}
+    finally:
+        S._tiles = kept
+    assert sent[0][0] > 100 and sent[0][1] == S.TILES
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 12)
+    for i in range(600):
+        want = [j for j in sorted(range(600), key=lambda j: (-c[i, j], j)) if j != i][:3]
+        assert [got[i, n] for n in (1, 2, 3)] == want
+    assert {i for i, _ in got} == set(range(600))
