@@ -105,3 +105,19 @@ def test_svd_jobs_do_not_grow_with_sites(spark):
 
     few, many = jobs(1), jobs(12)
     assert 0 < many <= few + 5
+
+
+def test_terms_are_not_shuffled_one_by_one(spark):
+    """Counts are made where the document's text is, ranks of all terms in more than one task; weights equal those from given counts."""
+    docs = spark.createDataFrame([("a" if i % 3 else "b", i % 40, f"w{i % 7} w{i % 5} same words w{i}") for i in range(60)] + [("a", None, "same w1"), (None, 1, "same"), ("b", 99, None)],
+                                 "site string, url long, text string")
+    tf = TF.term_counts(docs)
+    plan = tf._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "term" not in plan[plan.index("Exchange"):].split("\n")[0]
+    voc = TF.vocabulary(tf).collect()
+    for site in ("a", "b"):
+        mine = sorted((r for r in voc if r.site == site), key=lambda r: (-r.cf, r.term))
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
+    key = lambda r: tuple((x is None, x) for x in r)
+    one, two = (sorted(((r.site, r.url, r.term, r.tf, r.df, round(r.w, 12)) for r in w.collect()), key=key) for w in (TF.tfidf(docs), TF.tfidf(docs, tf=tf)))
+    assert one == two and one
