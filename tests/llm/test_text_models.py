@@ -350,3 +350,10 @@ def test_one_person_one_surrogate(spark):
     assert len(n[9]) == 3 and all(0x5D0 <= ord(c) < 0x5EB for w in n[9][:2] for c in w) and all(0x628 <= ord(c) < 0x63B for c in n[9][2])
     every = {w for ws in n.values() for w in ws}
     assert len(every) == len({"ann", "lee", "john", "smith", "max", "planck", "王", "小明", "eve", "stone", "דוד", "לוי", "رائد"})
+
+
+def test_masks_by_table_equal_shifts():
+    y = np.random.default_rng(3).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    y[:3] = (0, (1 << 64) - 1, (1 << 30) - 1)
+    want = [sum({1 << (int(v) >> i & 63) for i in range(0, 30, 6)}) for v in y]
+    assert bloom_lm.mask_of(y).tolist() == want and len(bloom_lm.TWO) == 4096
